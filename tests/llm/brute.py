@@ -26,3 +26,50 @@ def substring_dedup(rows, window=13):
         kept = [x for x, g in zip(w, gone) if not g]
         out.append((d, len(w), sum(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
     return out
+
+
+def grams(text, n=5):
+    w = words(text)
+    if 0 < len(w) < n:
+        return frozenset([tuple(w)])
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+
+def ngram_join(rows, threshold=0.8):
+    """rows: (doc_id, text) -> {position: (class_id, copy_of, n_copies, n_links)}."""
+    sets = [grams(t) for _, t in rows]
+    nodes = sorted({s for s in sets if s}, key=hash)
+    ids = {s: [d for (d, _), x in zip(rows, sets) if x == s] for s in nodes}
+    least = lambda v: min([x for x in v if x is not None], default=None)
+    near = {s: [u for u in nodes if u is not s and len(s & u) / len(s | u) >= threshold] for s in nodes}
+    seen, of = set(), {}
+    for s in nodes:
+        if s in seen:
+            continue
+        todo, comp = [s], []
+        seen.add(s)
+        while todo:
+            x = todo.pop()
+            comp.append(x)
+            for u in near[x]:
+                if u not in seen:
+                    seen.add(u)
+                    todo.append(u)
+        c = least([i for x in comp for i in ids[x]])
+        for x in comp:
+            of[x] = c
+    return [(d, of[s], least(ids[s]), len(ids[s]), len(near[s])) if s else (d, d, d, 1, 0) for (d, _), s in zip(rows, sets)]
+
+
+def rule_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    t = text or ""
+    w = words(t)
+    lines = [x for x in t.split("\n") if words(x)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    hit = [False] * len(w)
+    for i, g in enumerate(grams):
+        if grams.count(g) > 1:
+            hit[i : i + 8] = [True] * 8
+    return len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), dup, sum(hit), len(w) < 20 or 100 * sum(hit) > 30 * len(w)
