@@ -15,6 +15,24 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup,)}
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resharding import digest, reshard
+
+    return digest(reshard(_table(spark, sf_dir, "documents"))[0])
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_ngram_jaccard_join, op7_resharding, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
