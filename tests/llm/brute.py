@@ -73,3 +73,15 @@ def rule_counts(text):
         if grams.count(g) > 1:
             hit[i : i + 8] = [True] * 8
     return len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), dup, sum(hit), len(w) < 20 or 100 * sum(hit) > 30 * len(w)
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Number of bins."""
+    import bisect
+
+    room = []
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(room, n)
+        left = room.pop(k) - n if k < len(room) else capacity - n
+        bisect.insort(room, left)
+    return len(room)
