@@ -45,6 +45,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_sstable, op5_ngram_jaccard_join, op7_resharding, op8_packing, op9_quality_rules)}
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_scoring
+
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm_scoring(_table(spark, sf_dir, "documents"), good)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_substring_dedup, op3_lm_scoring, op4_sstable, op5_ngram_jaccard_join, op7_resharding, op8_packing, op9_quality_rules, op10_decontamination)
+}
 
 ORACLES: dict[str, str] = {}

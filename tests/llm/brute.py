@@ -85,3 +85,23 @@ def best_fit_decreasing(lengths, capacity):
         left = room.pop(k) - n if k < len(room) else capacity - n
         bisect.insort(room, left)
     return len(room)
+
+
+def folded(text):
+    out = []
+    for c in text or "":
+        c = " " if c.isspace() else c.lower() if len(c.lower()) == 1 else c
+        if not (c == " " and out and out[-1] == " "):
+            out.append(c)
+    return "".join(out)
+
+
+def best_edits(item, text):
+    """The least edits of an occurrence of item in text."""
+    row = [0] * (len(text) + 1)
+    for c in item:
+        new = [row[0] + 1]
+        for j, d in enumerate(text):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
