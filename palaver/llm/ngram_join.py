@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -215,6 +215,9 @@ def ngram_jaccard_join(docs: DataFrame, *, gram: int = GRAM, threshold: float =
     at = materialise(nodes.select("node", F.explode("bands").alias("b")))
     buckets = at.groupBy("b").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("b", "least")
     links = at.join(buckets, "b").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    # a node has a link for each band at most; one to the least of its neighbours, and those to each other, join the same
+    links = links.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    links = links.select("u", F.col("m").alias("v")).union(links.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
     candidate = components(links).withColumnRenamed("label", "comp")
     sizes = candidate.groupBy("comp").agg(F.count("*").alias("n"))
     heads = full.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"))
@@ -233,7 +236,7 @@ def ngram_jaccard_join(docs: DataFrame, *, gram: int = GRAM, threshold: float =
     # the texts that are needed first, once each; then to their units
     texts = (
         plain.withColumn("at", F.coalesce("doc_id", none))
-        .join(placed.select(F.coalesce("copy_of", none).alias("at"), "node"), "at")
+        .join(placed.select(F.coalesce("copy_of", none).alias("at"), "node").hint("merge"), "at")
         .select("node", "text")
     )
     blocks = dealt.select("node", "comp", "low", "high", "chunk", "unit").join(texts, "node").repartition("unit")
