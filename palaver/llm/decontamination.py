@@ -258,17 +258,42 @@ def _scan(items, q: int):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, part_chars: int = PART_CHARS) -> DataFrame:
-    """doc_id, item_id, begin, end, edits of each occurrence of a benchmark item."""
-    spark = docs.sparkSession
+def _parts(benchmark: DataFrame, q: int, rate: float, part_chars: int):
+    """Broadcast indexes of the benchmark, each of about ``part_chars`` characters."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-int(chars) // part_chars) or 1
+    for part in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(index([tuple(r) for r in rows], q, rate))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, part_chars: int = PART_CHARS) -> DataFrame:
+    """doc_id, item_id, begin, end, edits of each occurrence of a benchmark item."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for part in range(parts):  # each of about part_chars characters
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(index([tuple(r) for r in rows], q, rate))
+    for shared in _parts(benchmark, q, rate, part_chars):
         found = plain.mapInArrow(_scan(shared, q), "doc_id long, item_id long, begin long, end long, edits int")
         out = found if out is None else out.union(found)
     return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, part_chars: int = PART_CHARS) -> DataFrame:
+    """The rows of docs without an occurrence, all columns, in one pass for each part."""
+
+    def judge(shared):
+        def run(batches):
+            for batch in batches:
+                raw, offsets = tk.string_buffers(batch.column("text"))
+                data = raw.tobytes()
+                for i, j in tk.slices(offsets, SLICE):
+                    texts = [data[offsets[d] : offsets[d + 1]].decode("utf-8", "replace") for d in range(i, j)]
+                    kept = np.ones(j - i, bool)
+                    kept[[d for d, *_ in search(shared.value, texts, q)]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(kept))
+
+        return run
+
+    for shared in _parts(benchmark, q, rate, part_chars):
+        docs = docs.mapInArrow(judge(shared), docs.schema)
+    return docs

@@ -260,3 +260,17 @@ def ngram_jaccard_join(docs: DataFrame, *, gram: int = GRAM, threshold: float =
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """One row of each linked group of docs, that of the least id, with all columns.
+
+    Rows without an id cannot be told apart by the join's result and stay; of
+    rows that repeat the least id, one for each different text stays.
+    """
+    found = ngram_jaccard_join(docs, **settings)
+    keep = materialise(found.where("doc_id = class_id").select(F.col("doc_id").alias("__keep")).distinct())
+    alone = docs.where("doc_id is null")
+    one = docs.join(keep.hint("merge"), docs.doc_id == keep["__keep"], "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
+    return one.withColumn("__turn", turn).where("__turn = 1").drop("__turn").union(alone)

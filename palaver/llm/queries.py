@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import url_filter
+
+    return url_filter(_table(spark, sf_dir, "pages"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -21,6 +27,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import html_extract
+
+    return html_extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resharding import digest, reshard
 
@@ -60,7 +72,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_substring_dedup, op3_lm_scoring, op4_sstable, op5_ngram_jaccard_join, op7_resharding, op8_packing, op9_quality_rules, op10_decontamination)
+    for f in (
+        op1_url_filter,
+        op2_substring_dedup,
+        op3_lm_scoring,
+        op4_sstable,
+        op5_ngram_jaccard_join,
+        op6_html_extract,
+        op7_resharding,
+        op8_packing,
+        op9_quality_rules,
+        op10_decontamination,
+    )
 }
 
 ORACLES: dict[str, str] = {}

@@ -248,7 +248,7 @@ def _cover(starts, n, window):
     return np.cumsum(edge[:-1]) > 0
 
 
-def _group_cut(window, with_text):
+def _group_cut(window, with_text, carry):
     def run(key, left, right):
         keys, more = _unbits(right["keys"], np.uint64)[0], _unbits(right["more"], np.uint32)[0]
         least = _unbits(right["least"], np.int64)[0]
@@ -256,7 +256,7 @@ def _group_cut(window, with_text):
         keys, more, least = keys[order], more[order], least[order]
         table = _ordered(left)
         ids = _ids(table)
-        n_words, n_removed, digest, texts = [], [], [], []
+        n_words, n_removed, digest, texts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
         with np.errstate(over="ignore"):
             for s in _slices(table, window):
                 w = s.words
@@ -306,26 +306,36 @@ def _group_cut(window, with_text):
         }
         if with_text:
             out["kept_text"] = pa.array(texts, pa.binary()).cast(pa.string())
-        return pa.table(out)
+        return pa.table(out | ({"rest": table["rest"]} if carry else {}))
 
-    def guarded(key, left, right):
-        if left.num_rows:
-            return run(key, left, right)
-        return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())} | ({"kept_text": pa.array([], pa.string())} if with_text else {}))
+    return run
 
-    return guarded
 
+def substring_dedup(docs: DataFrame, *, window: int = WINDOW, turns: int = ROUNDS, with_text: bool = False, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256.
 
-def substring_dedup(docs: DataFrame, *, window: int = WINDOW, turns: int = ROUNDS, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and with ``with_text`` the kept text (cut words leave with the space after them)."""
+    ``with_text`` adds kept_text (cut words leave with the space after them),
+    ``carry`` the other columns of docs as a struct ``rest``.
+    """
     groups = groups_for(docs.select("doc_id", "text"), GROUP_BYTES)
     buckets = max(4, groups)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.struct(*others).alias("rest")] if carry and others else []
     dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+        F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest
     )
     held = dealt.groupBy("g").applyInArrow(_group_anchors(window, turns, buckets), _KEYS)
     shared = held.groupBy("bucket").applyInArrow(_bucket_shared, "g int, keys binary")
     found = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_group_windows(window, turns, buckets), _KEYS)
     least = found.groupBy("bucket").applyInArrow(_bucket_least, "g int, keys binary, more binary, least binary")
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return dealt.groupBy("g").cogroup(least.groupBy("g")).applyInArrow(_group_cut(window, with_text), kinds)
+    if rest:
+        kinds += f", rest {dict(dealt.dtypes)['rest']}"
+    return dealt.groupBy("g").cogroup(least.groupBy("g")).applyInArrow(_group_cut(window, with_text, bool(rest)), kinds)
+
+
+def cut_repeats(docs: DataFrame, *, window: int = WINDOW, turns: int = ROUNDS) -> DataFrame:
+    """docs with its columns, repeated words cut from text, and n_chars (if there) that of the new text."""
+    cut = substring_dedup(docs, window=window, turns=turns, with_text=True, carry=True)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    return cut.select(*[(new[f.name] if f.name in new else F.col(f"rest.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema])
