@@ -1,0 +1,156 @@
+"""Causal order of sessions: merges, checks of stored order, and what an order rests on.
+
+Without acknowledgements, or with other than two participants, the merge of
+stream heads by (ts, pid) is a window: a record's key is the greatest (ts, pid)
+up to it in its stream.  With two participants and acknowledgements a record
+released late changes what follows, which no fixed key says: those sessions go,
+without payloads, through one Arrow function for each session.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.serial import HALF, record_end, seq_geq, seq_leq, unwrapped
+from ..schema import SEQ_SPACE
+
+SESSION = ["path", "session_id"]
+
+
+def _length() -> Column:
+    return F.coalesce(F.octet_length("payload"), F.lit(0)).cast("bigint")
+
+
+def seq_regressions(records: DataFrame) -> DataFrame:
+    """Records whose seq_start is before the last one of their participant."""
+    w = Window.partitionBy(*SESSION, "sender_pid").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, -1)
+    last = records.withColumn("previous_seq", F.last("seq_start", ignorenulls=True).over(w))
+    return last.where(F.col("seq_start").isNotNull() & F.col("previous_seq").isNotNull() & ~seq_leq("previous_seq", "seq_start")).select(*SESSION, "sender_pid", "block_seq", "seq_start", "previous_seq")
+
+
+def window_merge(records: DataFrame, ts: str = "ts", pid: str = "sender_pid", order: str = "block_seq", keys: list[str] | None = None) -> DataFrame:
+    """records with ``merge_rank`` (from 1) in the order of the merge by (ts, pid), stable in each stream."""
+    keys = keys or SESSION
+    own = Window.partitionBy(*keys, pid).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    head = records.withColumn("__head", F.max(F.struct(F.col(ts).alias("t"), F.col(pid).alias("p"))).over(own))
+    return head.withColumn("merge_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("__head", order))).drop("__head")
+
+
+def _less(a: int, b: int) -> bool:
+    return a != b and (a - b) % SEQ_SPACE >= HALF
+
+
+def _acked(key, table):
+    """The two-sided merge of one session; a stall leaves the rest without rank."""
+    rows = table.sort_by([("sender_pid", "ascending"), ("block_seq", "ascending")]).to_pylist()
+    pids = sorted({r["sender_pid"] for r in rows})
+    lines = [[r for r in rows if r["sender_pid"] == p] for p in pids]
+    at, rank, out = [0] * len(lines), 0, []
+
+    def head(i):
+        return lines[i][at[i]] if at[i] < len(lines[i]) else None
+
+    while True:
+        ready = []
+        for i in range(len(lines)):
+            own = head(i)
+            if own is None:
+                continue
+            peer = head(1 - i) if len(lines) == 2 else None
+            free = own["ack"] is None or peer is None or peer["seq_start"] is None or _less(own["ack"], (peer["seq_start"] + peer["length"]) % SEQ_SPACE)
+            if free:
+                ready.append((own["ts"], own["sender_pid"], i))
+        if not ready:
+            break
+        i = min(ready)[2]
+        rank += 1
+        out.append((lines[i][at[i]]["block_seq"], rank))
+        at[i] += 1
+    out += [(r["block_seq"], None) for i, line in enumerate(lines) for r in line[at[i] :]]
+    path, session = (k.as_py() for k in key)
+    return pa.table(
+        {"path": [path] * len(out), "session_id": pa.array([session] * len(out), pa.int64()), "block_seq": pa.array([b for b, _ in out], pa.int64()), "merge_rank": pa.array([r for _, r in out], pa.int64())}
+    )
+
+
+def causal_merge(records: DataFrame, participants: DataFrame | None = None, *, strict: bool = True) -> DataFrame:
+    """records with ``merge_rank`` in causal order.
+
+    A session whose heads wait for each other is inconsistent: with ``strict``
+    the job fails, else what cannot be released has a null rank.
+    """
+    facts = records.groupBy(*SESSION).agg(F.countDistinct("sender_pid").alias("senders"), F.max(F.col("ack").isNotNull().cast("int")).alias("acks"))
+    if participants is not None:
+        facts = facts.drop("senders").join(participants.groupBy(*SESSION).agg(F.countDistinct("pid").alias("senders")), SESSION)
+    known = records.join(facts.select(*SESSION, ((F.col("senders") == 2) & (F.col("acks") == 1)).alias("__acked")), SESSION)
+    plain = window_merge(known.where("not __acked")).drop("__acked")
+    lean = known.where("__acked").select("path", F.col("session_id").cast("bigint").alias("session_id"), "block_seq", "sender_pid", "ts", "seq_start", "ack", _length().alias("length"))
+    ranks = lean.groupBy(*SESSION).applyInArrow(_acked, "path string, session_id bigint, block_seq bigint, merge_rank bigint")
+    rank = F.col("merge_rank")
+    if strict:
+        rank = F.when(rank.isNull(), F.raise_error(F.lit("the merge stalls: two records each acknowledge bytes the other has not sent yet")).cast("bigint")).otherwise(rank)
+    acked = known.where("__acked").drop("__acked").join(ranks, [*SESSION, "block_seq"]).withColumn("merge_rank", rank)
+    return plain.withColumn("merge_rank", F.col("merge_rank").cast("bigint")).unionByName(acked.select(*plain.columns))
+
+
+def timeline(records: DataFrame, sessions: DataFrame, participants: DataFrame | None = None) -> DataFrame:
+    """records with ``position``: stored order in sequenced sessions, else the causal merge."""
+    flagged = records.join(sessions.select(*SESSION, (F.coalesce("flags", F.lit(0)).bitwiseAND(F.lit(1)) == 1).alias("__sequenced")), SESSION)
+    stored = flagged.where("__sequenced").drop("__sequenced")
+    stored = stored.withColumn("position", F.row_number().over(Window.partitionBy(*SESSION).orderBy("block_seq")).cast("bigint"))
+    merged = causal_merge(flagged.where("not __sequenced").drop("__sequenced"), participants).withColumnRenamed("merge_rank", "position")
+    return stored.unionByName(merged.select(*stored.columns))
+
+
+def verify_sequenced(records: DataFrame, participant_count: int | None = None) -> DataFrame:
+    """Records that break stored order: rule ``seq-order`` or ``already-acked``.
+
+    The running serial maximum of a peer's acks is taken on unwrapped numbers.
+    Acks are checked in sessions of two senders; with the count not given, up to
+    the first record of a third.
+    """
+    regress = seq_regressions(records).select(*SESSION, "sender_pid", "block_seq", F.lit("seq-order").alias("rule"))
+    r = records.select(*SESSION, "sender_pid", "block_seq", "seq_start", "ack", _length().alias("length"))
+    first = r.groupBy(*SESSION, "sender_pid").agg(F.min("block_seq").alias("first"))
+    turn = F.row_number().over(Window.partitionBy(*SESSION).orderBy("first"))
+    senders = first.withColumn("n", turn).groupBy(*SESSION).agg(F.max("n").alias("senders"), F.min(F.when(F.col("n") == 3, F.col("first"))).alias("third"))
+    if participant_count is None:
+        r = r.join(senders, SESSION).where("third is null or block_seq < third")
+    elif participant_count == 2:
+        r = r.join(senders, SESSION)
+    else:
+        return regress
+    # acks of a sender on a line, and the peer's records placed on the same line
+    acks = unwrapped(r, "ack", [*SESSION, "sender_pid"], ["block_seq"], "__line")
+    w = Window.partitionBy(*SESSION, "sender_pid").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, 0)
+    acks = acks.withColumn("__most", F.max("__line").over(w)).where("ack is not null").select(*SESSION, F.col("sender_pid").alias("peer"), "block_seq", F.pmod("__most", F.lit(SEQ_SPACE)).alias("most"))
+    both = r.select(*SESSION, "sender_pid", "block_seq", "seq_start", "length", F.lit(None).cast("bigint").alias("most")).unionByName(
+        acks.select(*SESSION, F.col("peer").alias("sender_pid"), "block_seq", F.lit(None).cast("bigint").alias("seq_start"), F.lit(0).cast("bigint").alias("length"), "most")
+    )
+    # the last running maximum of the other sender before each record
+    session = Window.partitionBy(*SESSION).orderBy("block_seq").rangeBetween(Window.unboundedPreceding, -1)
+    ends = r.groupBy(*SESSION).agg(F.min("sender_pid").alias("one"))
+    both = both.join(ends, SESSION)
+    of_one = F.last(F.when(F.col("sender_pid") == F.col("one"), F.col("most")), ignorenulls=True).over(session)
+    of_two = F.last(F.when(F.col("sender_pid") != F.col("one"), F.col("most")), ignorenulls=True).over(session)
+    peer = F.when(F.col("sender_pid") == F.col("one"), F.col("__two")).otherwise(F.col("__one"))
+    seen = both.withColumns({"__one": of_one, "__two": of_two}).withColumn("peer_ack", peer)
+    late = seen.where("seq_start is not null and peer_ack is not null").where(seq_geq("peer_ack", record_end("seq_start", F.col("length"))))
+    return regress.unionByName(late.select(*SESSION, "sender_pid", "block_seq", F.lit("already-acked").alias("rule")))
+
+
+def sequenced_basis(sessions: DataFrame, participants: DataFrame, records: DataFrame, headers: DataFrame) -> DataFrame:
+    """What a derived session's order rests on: trivial, protocol, the input's own, clock, or null where nothing supports one."""
+    people = participants.groupBy(*SESSION).agg(F.count("*").alias("people"))
+    hints = records.groupBy(*SESSION).agg(F.max((F.col("seq_start").isNotNull() | F.col("ack").isNotNull()).cast("int")).alias("hints"))
+    h = headers.select("path", (F.coalesce("flags", F.lit(0)).bitwiseAND(F.lit(1)) == 1).alias("single_clock"))
+    s = sessions.select(*SESSION, F.coalesce("flags", F.lit(0)).alias("flags"), F.col("sequenced_basis").alias("given")).join(people, SESSION, "left").join(hints, SESSION, "left").join(h, "path", "left")
+    basis = (
+        F.when(F.coalesce("people", F.lit(0)) <= 1, "trivial")
+        .when(F.col("hints") == 1, "protocol")
+        .when((F.col("flags").bitwiseAND(F.lit(1)) == 1) & F.col("given").isNotNull(), F.col("given"))
+        .when(F.col("single_clock"), "clock")
+    )
+    return s.select(*SESSION, basis.alias("basis"))
