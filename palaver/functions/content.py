@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,8 +90,6 @@ def digest(content, algorithm: str = "sha256") -> Column:
     import hashlib
 
     hashlib.new(algorithm)  # fails here for unknown ones, not on executors
-    import pandas as pd
-
     @F.pandas_udf("string")
     def other(x: pd.Series) -> pd.Series:
         return x.map(lambda b: None if b is None else f"{algorithm}:{hashlib.new(algorithm, b).hexdigest()}")

@@ -111,7 +111,8 @@ def derived_header(t: dict[str, DataFrame]) -> DataFrame:
     """Blocks that make a file a derived one, in a file whose header does not say by what and when."""
     lacking = t["headers"].where("produced_by is null or produced_at is null").select("path")
     inputs = t["sources"].where(f"kind = {FILE_INPUT}").select("path", "source_id").distinct()
-    blocks = t["participants"].where("origin is not null").select("path", "block_seq")
+    origin = t["participants"].where("origin is not null").select("path", "block_seq", F.col("origin.source_id").alias("source_id"))
+    blocks = origin.join(inputs, ["path", "source_id"], "left_semi").select("path", "block_seq")
     blocks = blocks.unionByName(t["session_ends"].where("size(extents) > 0").select("path", "block_seq"))
     for name in ("records", "undecoded"):
         blocks = blocks.unionByName(t[name].select("path", "block_seq", "source_id").join(inputs, ["path", "source_id"], "left_semi").select("path", "block_seq"))

@@ -27,9 +27,9 @@ def coalesce(df: DataFrame, keys: list[str], start: str = "off_start", end: str
 
 
 def complement(df: DataFrame, extents: DataFrame, keys: list[str], start: str = "off_start", end: str = "off_end") -> DataFrame:
-    """The parts of [0, extent) that no interval covers; extents has the keys and ``extent``."""
+    """The parts of [0, extent) that no interval covers; extents has the keys and ``extent``.  Empty intervals part nothing."""
     tail = extents.select(*keys, F.col("extent").alias(start), F.col("extent").alias(end), F.col("extent").alias("__extent"))
-    known = df.join(extents.select(*keys, F.col("extent").alias("__extent")), keys).where(F.col(start) < F.col("__extent"))
+    known = df.join(extents.select(*keys, F.col("extent").alias("__extent")), keys).where((F.col(start) < F.col("__extent")) & (F.col(start) < F.col(end)))
     both = known.select(*keys, start, end, "__extent").unionByName(tail)
     gaps = reach(both, keys, start, end).where(F.col(start) > F.col("reach"))
     return gaps.select(*keys, F.col("reach").alias(start), F.least(start, "__extent").alias(end)).where(F.col(start) < F.col(end))
