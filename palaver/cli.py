@@ -18,7 +18,7 @@ from .sources import build, container, datasource, jsonl
 
 
 def info(spark: SparkSession, path: str, out=print) -> int:
-    blocks = container.read(spark, path)
+    blocks = container.load(spark, path)
     t = container.tables(blocks)
     faces = {r.path: r.face for r in container.faces(spark, path).collect()}
     for face in sorted(set(faces.values()), key=str):
@@ -80,7 +80,7 @@ def convert(spark: SparkSession, path: str, folder: str, to: str, out=print) ->
 
 
 def validate(spark: SparkSession, path: str, *, strict: bool = False, verify: bool = False, raw: str | None = None, out=print) -> int:
-    blocks = container.read(spark, path, strict=strict)
+    blocks = container.load(spark, path, strict=strict)
     t = container.tables(blocks)
     count = 0
 
@@ -98,7 +98,7 @@ def validate(spark: SparkSession, path: str, *, strict: bool = False, verify: bo
         for v in order.verify_sequenced(t["records"].join(flagged, ["path", "session_id"], "left_semi")).orderBy("path", "block_seq").collect():
             say(v.path, "sequenced-order", f"session {v.session_id}, block {v.block_seq}: {v.rule}")
     if raw:
-        u = container.tables(container.read(spark, raw))
+        u = container.tables(container.load(spark, raw))
         facts = offsets.stream_facts(u["participants"], u["records"], u["decoders"], u["sources"])
         extents = offsets.stream_extent(offsets.record_ranges(u["records"], u["discontinuities"], facts), u["participants"])
         source = coverage.input_source(t["sources"], container.digests(spark, raw).first().digest)
@@ -109,7 +109,7 @@ def validate(spark: SparkSession, path: str, *, strict: bool = False, verify: bo
 
 def merge(spark: SparkSession, a: str, b: str, target: str, produced_by: str, out=print) -> int:
     folder, _, name = target.rpartition("/")
-    sides = [container.tables(container.read(spark, p)) for p in (a, b)]
+    sides = [container.tables(container.load(spark, p)) for p in (a, b)]
     digests = tuple(container.digests(spark, p).first().digest for p in (a, b))
     t = build.merged(*sides, name, uris=(a, b), digests=digests, produced_by=produced_by, produced_at=int(time.time()))
     for r in container.write(build.build(t), folder or ".").collect():

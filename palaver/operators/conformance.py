@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content
 from ..schema import CAPTURE, DECODED, FILE_INPUT, REASON_CLASSES, REASONS, STREAM, TRANSPORT
+from ..stages import cut
 from . import coverage, offsets
 from .order import seq_regressions
 
@@ -47,11 +48,12 @@ def undeclared(references: DataFrame, declarations: DataFrame, keys: list[str],
     message = F.lit(f"undeclared {what}")
     if ends is not None:
         r = r.join(ends.groupBy(*SESSION).agg(F.min("block_seq").alias("__ended")), SESSION, "left")
-        message = F.when(F.col("__ended") < F.col("block_seq"), F.lit(f"{what} behind the session's end")).otherwise(message)
-        bad = F.col("__declared").isNull() | (F.col("__declared") > F.col("block_seq")) | (F.col("__ended") < F.col("block_seq"))
+        late = F.coalesce(F.col("__ended") < F.col("block_seq"), F.lit(False))
+        message = F.when(late, F.lit(f"{what} behind the session's end")).otherwise(message)
     else:
-        bad = F.col("__declared").isNull() | (F.col("__declared") > F.col("block_seq"))
-    return r.where(F.coalesce(bad, F.lit(True))).select(*_as("C3", message=message))
+        late = F.lit(False)
+    bad = F.col("__declared").isNull() | (F.col("__declared") > F.col("block_seq")) | late
+    return r.where(bad).select(*_as("C3", message=message))
 
 
 def references(t: dict[str, DataFrame]) -> DataFrame:
@@ -206,7 +208,7 @@ def isolate(t: dict[str, DataFrame], most: int = 16) -> tuple[dict[str, DataFram
         # a record dropped for its order changes what the next is held against
         order = found.where("rule = 'C4'").groupBy("path").agg(F.min("block_seq").alias("__order"))
         now = found.join(edge, "path", "left").join(order, "path", "left").where("block_seq <= least(coalesce(__edge, block_seq), coalesce(__order, block_seq))")
-        now = _written(now.select(*found.columns))
+        now = cut(now.select(*found.columns))
         if now.isEmpty():
             break
         dropped = now if dropped is None else dropped.unionByName(now)
@@ -214,8 +216,3 @@ def isolate(t: dict[str, DataFrame], most: int = 16) -> tuple[dict[str, DataFram
         t = {name: df.join(gone, ["path", "block_seq"], "left_anti") for name, df in t.items()}
     return t, dropped if dropped is not None else block_rules(t).limit(0)
 
-
-def _written(df: DataFrame) -> DataFrame:
-    from .provenance import _cut
-
-    return _cut(df)

@@ -112,9 +112,8 @@ def check_splice(records: DataFrame, source: DataFrame, raw_breaks: DataFrame) -
 def fill(cited: DataFrame, gaps: DataFrame, extents: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """What a stage leaves uncovered, with its reason: gap inside a gap of the input, else skipped."""
     keys = keys or STREAM
-    rest = intervals.complement(cited, extents, keys)
-    lost = intervals.intersect(rest, gaps, keys).withColumn("reason", F.lit("gap"))
-    return lost.unionByName(intervals.subtract(rest, gaps, keys).withColumn("reason", F.lit("skipped")))
+    parts = intervals.overlay(intervals.complement(cited, extents, keys), gaps, keys).where("in_a")
+    return parts.select(*keys, "off_start", "off_end", F.when(F.col("in_b"), "gap").otherwise("skipped").alias("reason"))
 
 
 def unmarked_breaks(records: DataFrame, discontinuities: DataFrame, undecoded: DataFrame, facts: DataFrame) -> DataFrame:

@@ -35,29 +35,34 @@ def complement(df: DataFrame, extents: DataFrame, keys: list[str], start: str =
     return gaps.select(*keys, F.col("reach").alias(start), F.least(start, "__extent").alias(end)).where(F.col(start) < F.col(end))
 
 
-def intersect(a: DataFrame, b: DataFrame, keys: list[str], start: str = "off_start", end: str = "off_end") -> DataFrame:
-    """The parts that both cover, each once: both sides are coalesced, so no overlap is found twice.
+def overlay(a: DataFrame, b: DataFrame, keys: list[str], start: str = "off_start", end: str = "off_end") -> DataFrame:
+    """Maximal stretches that either covers, with in_a and in_b.
 
-    A sweep instead of a range join: over the sorted ends of both, the parts
-    where one of either is open.  Work grows with the intervals, not with pairs.
+    A sweep instead of a range join: over the ends of both in order, how many of
+    either are open.  Work grows with the intervals, not with pairs, and overlaps
+    inside a side count once.  One shuffle on the keys serves all steps.
     """
-    sides = None
-    for i, side in enumerate((a, b)):
-        one = coalesce(side.select(*keys, start, end), keys, start, end)
-        edges = one.select(*keys, F.inline(F.array(
-            F.struct(F.col(start).alias("at"), F.lit(1 if i == 0 else 0).alias("in_a"), F.lit(1 if i else 0).alias("in_b")),
-            F.struct(F.col(end).alias("at"), F.lit(-1 if i == 0 else 0).alias("in_a"), F.lit(-1 if i else 0).alias("in_b")),
-        )))
-        sides = edges if sides is None else sides.unionByName(edges)
-    steps = sides.groupBy(*keys, "at").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
+    edges = None
+    for side, (x, y) in ((a, (1, 0)), (b, (0, 1))):
+        both = F.array(*[F.struct(at.alias("at"), F.lit(x * sign).alias("da"), F.lit(y * sign).alias("db")) for at, sign in ((F.col(start), 1), (F.col(end), -1))])
+        one = side.where(F.col(start) < F.col(end)).select(*keys, F.inline(both))
+        edges = one if edges is None else edges.unionByName(one)
     w = Window.partitionBy(*keys).orderBy("at")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    open_ = steps.select(*keys, F.col("at").alias(start), F.lead("at").over(w).alias(end), F.sum("in_a").over(run).alias("a"), F.sum("in_b").over(run).alias("b"))
-    return coalesce(open_.where("a > 0 and b > 0").select(*keys, start, end), keys, start, end)
+    # of rows at one place all but the last make an empty stretch
+    open_ = edges.select(*keys, "at", F.lead("at").over(w).alias("to"), (F.sum("da").over(run) > 0).alias("in_a"), (F.sum("db").over(run) > 0).alias("in_b"))
+    open_ = open_.where("at < to and (in_a or in_b)")
+    same = (F.lag("to").over(w) == F.col("at")) & (F.lag("in_a").over(w) == F.col("in_a")) & (F.lag("in_b").over(w) == F.col("in_b"))
+    island = open_.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("__island", F.sum("__new").over(run))
+    out = island.groupBy(*keys, "__island").agg(F.min("at").alias(start), F.max("to").alias(end), F.first("in_a").alias("in_a"), F.first("in_b").alias("in_b"))
+    return out.drop("__island")
+
+
+def intersect(a: DataFrame, b: DataFrame, keys: list[str], start: str = "off_start", end: str = "off_end") -> DataFrame:
+    """The parts that both cover, each once."""
+    return overlay(a, b, keys, start, end).where("in_a and in_b").select(*keys, start, end)
 
 
 def subtract(a: DataFrame, b: DataFrame, keys: list[str], start: str = "off_start", end: str = "off_end") -> DataFrame:
     """The parts of a that b does not cover."""
-    extent = a.groupBy(*keys).agg(F.max(end).alias("extent"))
-    rest = complement(b.join(extent, keys, "left_semi"), extent, keys, start, end)
-    return intersect(a, rest, keys, start, end)
+    return overlay(a, b, keys, start, end).where("in_a and not in_b").select(*keys, start, end)

@@ -4,7 +4,7 @@ Without acknowledgements, or with other than two participants, the merge of
 stream heads by (ts, pid) is a window: a record's key is the greatest (ts, pid)
 up to it in its stream.  With two participants and acknowledgements a record
 released late changes what follows, which no fixed key says: those sessions go,
-without payloads, through one Arrow function for each session.
+without payloads and session by session, through an Arrow function.
 """
 
 from __future__ import annotations
@@ -42,9 +42,8 @@ def _less(a: int, b: int) -> bool:
     return a != b and (a - b) % SEQ_SPACE >= HALF
 
 
-def _acked(key, table):
-    """The two-sided merge of one session; a stall leaves the rest without rank."""
-    rows = table.sort_by([("sender_pid", "ascending"), ("block_seq", "ascending")]).to_pylist()
+def _merged(rows: list[dict]) -> list[tuple[int, int | None]]:
+    """(block_seq, rank) of a session's records, in stored order; a stall leaves the rest without rank."""
     pids = sorted({r["sender_pid"] for r in rows})
     lines = [[r for r in rows if r["sender_pid"] == p] for p in pids]
     at, rank, out = [0] * len(lines), 0, []
@@ -68,11 +67,30 @@ def _acked(key, table):
         rank += 1
         out.append((lines[i][at[i]]["block_seq"], rank))
         at[i] += 1
-    out += [(r["block_seq"], None) for i, line in enumerate(lines) for r in line[at[i] :]]
-    path, session = (k.as_py() for k in key)
-    return pa.table(
-        {"path": [path] * len(out), "session_id": pa.array([session] * len(out), pa.int64()), "block_seq": pa.array([b for b, _ in out], pa.int64()), "merge_rank": pa.array([r for _, r in out], pa.int64())}
-    )
+    return out + [(r["block_seq"], None) for i, line in enumerate(lines) for r in line[at[i] :]]
+
+
+def _merge_sorted(batches):
+    """Rows come session by session in stored order; one session is held at a time."""
+    now, held, out = None, [], []
+
+    def table(rows):
+        path, session, seq, rank = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(session, pa.int64()), pa.array(seq, pa.int64()), pa.array(rank, pa.int64())], names=["path", "session_id", "block_seq", "merge_rank"])
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            key = r["path"], r["session_id"]
+            if key != now:
+                out += [(*now, *x) for x in _merged(held)] if held else []
+                now, held = key, []
+            held.append(r)
+        if len(out) >= 10_000:
+            yield table(out)
+            out = []
+    out += [(*now, *x) for x in _merged(held)] if held else []
+    if out:
+        yield table(out)
 
 
 def causal_merge(records: DataFrame, participants: DataFrame | None = None, *, strict: bool = True) -> DataFrame:
@@ -87,7 +105,9 @@ def causal_merge(records: DataFrame, participants: DataFrame | None = None, *, s
     known = records.join(facts.select(*SESSION, ((F.col("senders") == 2) & (F.col("acks") == 1)).alias("__acked")), SESSION)
     plain = window_merge(known.where("not __acked")).drop("__acked")
     lean = known.where("__acked").select("path", F.col("session_id").cast("bigint").alias("session_id"), "block_seq", "sender_pid", "ts", "seq_start", "ack", _length().alias("length"))
-    ranks = lean.groupBy(*SESSION).applyInArrow(_acked, "path string, session_id bigint, block_seq bigint, merge_rank bigint")
+    # many small sessions make long batches, a group for each would cost more than its merge
+    together = lean.repartition(*SESSION).sortWithinPartitions(*SESSION, "block_seq")
+    ranks = together.mapInArrow(_merge_sorted, "path string, session_id bigint, block_seq bigint, merge_rank bigint")
     rank = F.col("merge_rank")
     if strict:
         rank = F.when(rank.isNull(), F.raise_error(F.lit("the merge stalls: two records each acknowledge bytes the other has not sent yet")).cast("bigint")).otherwise(rank)

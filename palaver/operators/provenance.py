@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import STREAM
+from ..stages import cut
 
 #: Longer chains are refused; a file that leads back to itself would never end.
 MOST_HOPS = 32
@@ -41,16 +42,8 @@ def resolve_spans(wanted: DataFrame, ranges: DataFrame, participants: DataFrame,
         deeper = hit.where("coalesce(size(spans), 0) <= 0").join(up, STREAM)
         step = deeper.select("id", F.col("up_path").alias("path"), F.col("up_session").alias("session_id"), F.col("up_pid").alias("pid"), F.col("off_start").alias("lo"), F.col("off_end").alias("hi"))
         # a handful of files deep; each hop is cut so that plans stay small
-        step = _cut(step)
+        step = cut(step)
         if step.isEmpty():
             return out
     raise ValueError("the chain of files is too long, or leads back to itself")
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palaver-checkpoint-"))
-    return df.checkpoint()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DECODED, STREAM
+from ..stages import cut
 from . import intervals, offsets
 from .coverage import fill
 from .order import causal_merge
@@ -40,13 +41,13 @@ def merge_sides(a: dict[str, DataFrame], b: dict[str, DataFrame], path: str, ses
         if not layer.isEmpty():
             raise ValueError("each side needs transport records")
         r = t["records"].withColumns({
-            "path": F.lit(path), "session_id": F.lit(session_id).cast("bigint"), "sender_pid": F.lit(pid), "source_id": F.lit(pid), "spans": F.array().cast(f"array<{SPAN}>"), "decoder_id": F.lit(None).cast("int"),
+            "block_seq": F.col("block_seq") * 2 + pid, "path": F.lit(path), "session_id": F.lit(session_id).cast("bigint"), "sender_pid": F.lit(pid), "source_id": F.lit(pid), "spans": F.array().cast(f"array<{SPAN}>"), "decoder_id": F.lit(None).cast("int"),
         })
         out_p, out_r = (p, r) if out_p is None else (out_p.unionByName(p), out_r.unionByName(r))
     ha, hb = (t["headers"].select("tick_hz", F.coalesce("time_epoch", F.lit(0)).alias("epoch")).first() for t in (a, b))
     if ha != hb:
         raise ValueError("the sides' clocks differ")
-    # block_seq is that of either input: unique in a side, which is all the merge asks for
+    # the sides' places are kept apart by their lowest bit
     merged = causal_merge(out_r, out_p)
     return {"participants": out_p, "records": merged.withColumn("block_seq", F.col("merge_rank")).drop("merge_rank")}
 
@@ -108,7 +109,7 @@ def decode_stage(records: DataFrame, discontinuities: DataFrame, facts: DataFram
     What it neither cites nor marks is filled in; what it does both with fails.
     One stream is a task's group: its size is the unit of memory.
     """
-    chunked = chunks(records, facts)
+    chunked = cut(chunks(records, facts))
     ranges = offsets.record_ranges(records, discontinuities, facts)
     packets = ranges.join(facts.where("not stream_oriented").select(*STREAM), STREAM, "left_semi").select(*STREAM, "off_start", "off_end", "ts", F.col("payload").alias("data"), "block_seq")
     input_units = chunked.where("kind = 'segment'").select(*STREAM, "off_start", "off_end", "ts", "data", F.col("off_start").alias("block_seq")).unionByName(packets)
@@ -128,7 +129,7 @@ def decode_stage(records: DataFrame, discontinuities: DataFrame, facts: DataFram
 
     kinds = "path string, session_id bigint, pid int, unit bigint, payload binary, ts bigint, content_type string, off_start bigint, off_end bigint, reason string"
     lean = input_units.withColumn("session_id", F.col("session_id").cast("bigint"))
-    made = lean.groupBy(*STREAM).applyInArrow(run, kinds)
+    made = cut(lean.groupBy(*STREAM).applyInArrow(run, kinds))  # the decoder runs once
     cited, marked = made.where("payload is not null"), made.where("reason is not null")
     twice = intervals.intersect(cited.select(*STREAM, "off_start", "off_end"), marked.select(*STREAM, "off_start", "off_end"), STREAM)
     both = cited.select(*STREAM, "off_start", "off_end").unionByName(marked.select(*STREAM, "off_start", "off_end"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import content, serial
 from ..operators import conformance, coverage, intervals, offsets, order, provenance, segments, transform
 from ..schema import STREAM
+from ..stages import cut
 from . import synth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -626,6 +627,6 @@ def conformance_of_stored(spark, sf_dir):
     from ..sources import container
 
     blocks = _stored(spark, sf_dir).withColumn("content_type", F.when(F.pmod("session_id", F.lit(7)) == 0, "prim:u32").otherwise(F.col("content_type")))
-    blocks = provenance._cut(blocks)
+    blocks = cut(blocks)
     t = container.tables(blocks)
     return conformance.findings(t, blocks).groupBy("severity", "rule", "category").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import conformance
+from ..stages import cut
 from . import container
 
 _ORDER = ["headers", "sources", "decoders", "sessions", "participants", "stored", "undecoded", "session_ends", "custom_blocks"]
@@ -71,7 +72,7 @@ def build(t: dict[str, DataFrame], *, check: bool = True, close: bool = True) ->
             parts.append(_wide(name, t[name]))
     if close:
         parts.append(container.wide(t["headers"].select("path", F.lit(0).cast("bigint").alias("block_seq"), F.lit(S.END).alias("block_type"))))
-    blocks = container.union(parts)
+    blocks = cut(container.union(parts))  # every rule reads it
     if check:
         found = conformance.findings(container.tables(blocks), blocks).where("severity = 'error'").limit(20).collect()
         if found:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..stages import cut
 from . import codec, datasource, jsonl
 
 
@@ -16,6 +17,11 @@ def read(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame:
     return spark.read.format(datasource.NAME).option("strict", str(strict).lower()).load(path)
 
 
+def load(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame:
+    """read(), parsed once: what many rules and operators look at is kept in the checkpoint folder."""
+    return cut(read(spark, path, strict=strict))
+
+
 def _narrow(column: str) -> Column:
     """BIGINT for unsigned 64-bit numbers; larger ones fail the cast."""
     if S.BLOCK_COLUMNS[column] == "decimal(20,0)":
