@@ -228,13 +228,15 @@ def diagnostic(category: str, message: str, offset: int) -> dict:
     return {"block_type": None, "offset": offset, "parse_error": f"{category}: {message}"}
 
 
-def scan(source, *, strict: bool = False) -> Iterator[dict]:
+def scan(source, *, strict: bool = False, at: int = 0, seq: int = 0) -> Iterator[dict]:
     """Wide rows of a binary stream, with offset and block_seq; needs only read().
 
+    A stream that begins at a later block is told that block's place.
+
     Broken bodies come with parse_error and their content, a cut end and bytes
     behind the end as diagnostics.
     """
-    at, seq, ended = 0, 0, False
+    ended = False
     while True:
         head = source.read(8)
         if not head and seq:

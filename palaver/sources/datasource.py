@@ -1,6 +1,7 @@
 """The Spark data source of containers: batch, and tailing of files that grow.
 
-A batch partition is one file, read block by block.  A stream's offset is, for
+A batch partition is one file, or some hundred megabytes of whole blocks of a
+larger binary one, read block by block.  A stream's offset is, for
 each file, the byte behind its last whole block and that block's number, so a
 cut tail waits for the next micro-batch.
 """
@@ -8,6 +9,7 @@ cut tail waits for the next micro-batch.
 from __future__ import annotations
 
 import io
+import itertools
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -17,6 +19,8 @@ from . import codec, jsonl
 
 NAME = "payload_blocks"
 ROWS = 1000
+#: Larger binary files are read by several tasks.
+SPLIT = 256 << 20
 
 
 def filesystem(uri: str):
@@ -70,7 +74,7 @@ def _batches(rows, path: str):
 
 
 class BlockSource(DataSource):
-    """Option ``path``: a file or folder; ``strict``: a violation fails the job instead of becoming a diagnostic."""
+    """Option ``path``: a file or folder; ``strict``: a violation fails the job instead of becoming a diagnostic; ``splitBytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -89,14 +93,42 @@ class BlockSource(DataSource):
 class _Batch(DataSourceReader):
     def __init__(self, options):
         self.uri, self.strict = options["path"], options.get("strict", "false").lower() == "true"
+        self.split = int(options.get("splitBytes", SPLIT))
 
     def partitions(self):
-        return [InputPartition(p) for p in files(self.uri)]
+        system, _ = filesystem(self.uri)
+        return [InputPartition((path, *part)) for path in files(self.uri) for part in self._parts(system, path)]
+
+    def _parts(self, system, path):
+        """(first byte, number of the first block, end or None): whole blocks, found by their lengths alone."""
+        size = system.get_file_info(path).size
+        if size <= self.split:
+            return [(0, 0, None)]
+        with system.open_input_file(path) as source:
+            if face_of(source.read(12)) != "binary":
+                return [(0, 0, None)]
+            out, begin, first, at, seq = [], 0, 0, 0, 0
+            while at + 8 <= size:
+                source.seek(at)
+                kind, _, n = codec.FRAME.unpack(source.read(8))
+                if at - begin >= self.split:
+                    out.append((begin, first, at))
+                    begin, first = at, seq
+                if kind == S.END or n % 4 or at + 8 + n > size:
+                    break  # what stands here and behind is judged by the last part
+                at, seq = at + 8 + n, seq + 1
+        return [*out, (begin, first, None)]
 
     def read(self, partition):
+        path, at, seq, end = partition.value
         system, _ = filesystem(self.uri)
-        with system.open_input_file(partition.value) as source:
-            yield from _batches(rows_of(source, strict=self.strict), partition.value)
+        with system.open_input_file(path) as source:
+            if not at:
+                rows = rows_of(source, strict=self.strict)
+            else:
+                source.seek(at)
+                rows = codec.scan(source, strict=self.strict, at=at, seq=seq)
+            yield from _batches(rows if end is None else itertools.takewhile(lambda r: r["offset"] < end, rows), path)
 
 
 class _Tail(DataSourceStreamReader):

@@ -60,6 +60,18 @@ def test_cut_and_strict(spark, tmp_path):
         container.read(spark, str(tmp_path / "other")).collect()
 
 
+def test_a_large_file_is_read_by_several_tasks(spark, tmp_path):
+    rows = raw_file([(1001 + 10 * i, 10) for i in range(20)])
+    data = frames(rows)
+    for name, body in (("whole", data), ("cut", data[:-3]), ("more", data + b"tail")):
+        (tmp_path / name).write_bytes(body)
+        one = container.read(spark, str(tmp_path / name))
+        many = spark.read.format("payload_blocks").option("splitBytes", 150).load(str(tmp_path / name))
+        assert many.rdd.getNumPartitions() > 4 and one.rdd.getNumPartitions() == 1
+        key = lambda r: (r.offset, r.block_seq is None)
+        assert sorted(one.collect(), key=key) == sorted(many.collect(), key=key)
+
+
 def test_numbers_beyond_bigint(spark, tmp_path):
     rows = [header(), row(S.SESSION, session_id=2**64 - 1)]
     blocks = container.read(spark, put(tmp_path, "x", rows))
