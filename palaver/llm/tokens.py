@@ -17,6 +17,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words that a process keeps; beyond, the table starts anew.
 KEPT = 1 << 20
 SLICE = 2_000_000
+#: Words encoded in one call: their encodings are many times as large.
+AT_ONCE = 4096
 
 
 def default_vocabulary() -> str:
@@ -40,7 +42,7 @@ class Encoder:
         self.used = 0
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = [e.ids for i in range(0, len(words), AT_ONCE) for e in self.tokenizer.encode_batch_fast(words[i : i + AT_ONCE], add_special_tokens=False)]
         count = np.array([len(x) for x in found], np.int64)
         flat = np.array([i for x in found for i in x], np.uint32)
         while self.used + len(flat) > len(self.ids):
