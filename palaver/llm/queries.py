@@ -86,4 +86,26 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ g AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d) q),
+ m AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),
+ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN m USING (k) WHERE least < doc_id),
+ x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+ kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) AS s FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p WHERE c.p IS NULL GROUP BY x.doc_id),
+ r AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op5_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN NULL WHEN len(w) < 5 THEN [w] ELSE list_sort(list_distinct([list_slice(w, i, i + 4) for i in range(1, len(w) - 3)])) END AS g FROM d),
+ f AS (SELECT doc_id, g, md5(CAST(g AS VARCHAR)) AS k FROM s WHERE g IS NOT NULL),
+ nodes AS (SELECT k, min(doc_id) AS copy_of, count(*) AS n_copies, any_value(g) AS g FROM f GROUP BY k),
+ ng AS (SELECT k, len(g) AS n, unnest(g) AS x FROM nodes),
+ pr AS (SELECT a.k AS ka, b.k AS kb, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM ng a JOIN ng b ON a.x = b.x AND a.k < b.k GROUP BY ALL),
+ ln AS (SELECT ka, kb FROM pr WHERE 9 * c >= 4 * (na + nb)), bo AS (SELECT ka AS u, kb AS v FROM ln UNION ALL SELECT kb, ka FROM ln),
+ re AS (SELECT k, k AS r FROM nodes UNION SELECT re.k, bo.v FROM re JOIN bo ON bo.u = re.r),
+ cl AS (SELECT re.k, min(copy_of) AS class_id FROM re JOIN nodes ON nodes.k = re.r GROUP BY re.k), de AS (SELECT u, count(*) AS n FROM bo GROUP BY u)
+ SELECT s.doc_id, coalesce(class_id, s.doc_id) AS class_id, coalesce(copy_of, s.doc_id) AS copy_of, coalesce(n_copies, 1) AS n_copies, coalesce(de.n, 0) AS n_links
+ FROM s LEFT JOIN f ON f.doc_id = s.doc_id LEFT JOIN nodes ON nodes.k = f.k LEFT JOIN cl ON cl.k = f.k LEFT JOIN de ON de.u = f.k""",
+}
