@@ -34,9 +34,12 @@ def shuffle_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def groups_for(df: DataFrame, stored_bytes: int) -> int:
-    """How many groups of about so many stored bytes the input makes; follows the input, never capped below it."""
+def stored_size(df: DataFrame) -> int:
+    """Bytes that the plan is estimated to read; from the partitions where there is no estimate that can be used."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 50:  # no estimate that can be used
-        size = input_partitions(df) * (64 << 20)
-    return min(max(1, -(-size // stored_bytes)), 1 << 24)
+    return size if size <= 1 << 50 else input_partitions(df) * (64 << 20)
+
+
+def groups_for(df: DataFrame, stored_bytes: int) -> int:
+    """How many groups of about so many stored bytes the input makes."""
+    return max(1, -(-stored_size(df) // stored_bytes))

@@ -34,19 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .cluster import groups_for
+from .cluster import stored_size
 from .recompression import anchors, rounds
 
 WINDOW = 13
 ROUNDS = 2
 SLICE = 2_000_000
-#: Stored bytes of documents in a group.
-GROUP_BYTES = 3 << 20
+#: Stored bytes of documents in a group, and of the input for a bucket: at least the first, and at most the others.
+#: In between both grow with the input, so that groups times buckets, the rows of an exchange, grow no faster.
+GROUP_BYTES, MOST_GROUP, MOST_BUCKET = 3 << 20, 48 << 20, 128 << 20
+PARTS = 2000
 _LAST = np.iinfo(np.int64).max
 _B1 = np.uint64(0x9E3779B97F4A7C15)
 _B2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _INV = np.uint64(pow(int(_B1), -1, 1 << 64))
-_KEYS = "bucket int, g int, keys binary, more binary, least binary, most binary"
+_KEYS = "bucket int, g int, base long, keys binary, more binary, least binary, differs binary, most binary"
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -128,19 +130,51 @@ def _bucket_of(keys, buckets):
     return ((keys >> np.uint64(40)).astype(np.int64) * buckets) >> 24
 
 
+def _above(ids, base):
+    """Ids as numbers above base, in four bytes each where that does."""
+    d = ids.view(np.uint64) - base.view(np.uint64)
+    return d.astype("<u4") if not len(d) or d.max() < 1 << 32 else d
+
+
+def _ids_above(column, base, counts):
+    """The ids of _above, of all rows one after the other."""
+    out = []
+    for x, b, n in zip(column, base, counts, strict=True):
+        d = np.frombuffer(x.as_buffer(), "<u4" if len(x.as_buffer()) == 4 * n else "<u8")
+        out.append((d.astype(np.uint64) + np.int64(b).view(np.uint64)).view(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _bounds(table):
+    """The least and largest id of each key of all rows."""
+    rows = {c: [x for chunk in table[c].chunks for x in chunk] for c in ("keys", "least", "differs", "most")}
+    base = table["base"].to_pylist()
+    counts = [len(x.as_buffer()) // 8 for x in rows["keys"]]
+    least = _ids_above(rows["least"], base, counts)
+    differs, n = _cat(rows["differs"], np.uint32)
+    most = least.copy()
+    ahead = np.cumsum(counts) - counts
+    most[differs + np.repeat(ahead, n)] = _ids_above(rows["most"], base, n)
+    return least, most
+
+
 def _rows(g, keys, more, least, most, buckets):
+    """A row for each bucket; the largest id is sent only where it is not the least."""
     cut = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
     full = np.flatnonzero(np.diff(cut))
-    bits = lambda x: [x[cut[b] : cut[b + 1]].tobytes() for b in full]
+    out = {c: [] for c in ("keys", "more", "least", "differs", "most")}
+    base = least.min() if len(least) else np.int64(0)
+    for b in full:
+        own = slice(cut[b], cut[b + 1])
+        other = np.flatnonzero(most[own] != least[own])
+        out["keys"].append(keys[own].tobytes())
+        out["more"].append(more[own].tobytes())
+        out["least"].append(_above(least[own], base).tobytes())
+        out["differs"].append(other.astype("<u4").tobytes())
+        out["most"].append(_above(most[own][other], base).tobytes())
     return pa.table(
-        {
-            "bucket": pa.array(full, pa.int32()),
-            "g": pa.array(np.full(len(full), g), pa.int32()),
-            "keys": pa.array(bits(keys), pa.binary()),
-            "more": pa.array(bits(more) if len(more) else [b""] * len(full), pa.binary()),
-            "least": pa.array(bits(least), pa.binary()),
-            "most": pa.array(bits(most), pa.binary()),
-        }
+        {"bucket": pa.array(full, pa.int32()), "g": pa.array(np.full(len(full), g), pa.int32()), "base": pa.array(np.full(len(full), base), pa.int64())}
+        | {c: pa.array(v, pa.binary()) for c, v in out.items()}
     )
 
 
@@ -175,8 +209,7 @@ def _group_anchors(window, turns, buckets):
 def _bucket_shared(key, table):
     """For each group the keys that two documents hold, as bits in the order they came."""
     keys, lengths = _unbits(table["keys"], np.uint64)
-    least, _ = _unbits(table["least"], np.int64)
-    most, _ = _unbits(table["most"], np.int64)
+    least, most = _bounds(table)
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     new = np.ones(len(k), bool)
@@ -222,8 +255,7 @@ def _bucket_least(key, table):
     """For each group the window keys that a smaller id holds elsewhere, with that id."""
     keys, lengths = _unbits(table["keys"], np.uint64)
     more, _ = _unbits(table["more"], np.uint32)
-    least, _ = _unbits(table["least"], np.int64)
-    most, _ = _unbits(table["most"], np.int64)
+    least, most = _bounds(table)
     _, _, low, _, place = _folded(keys, more, least)
     low = low[place]
     flag = low < most
@@ -311,14 +343,19 @@ def _group_cut(window, with_text, carry):
     return run
 
 
+def spread(size: int) -> tuple[int, int]:
+    """(groups, buckets) for an input of so many stored bytes, up to some hundred TB."""
+    each = max(GROUP_BYTES, size // PARTS)
+    return max(1, -(-size // min(each, MOST_GROUP))), max(4, -(-size // min(each, MOST_BUCKET)))
+
+
 def substring_dedup(docs: DataFrame, *, window: int = WINDOW, turns: int = ROUNDS, with_text: bool = False, carry: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256.
 
     ``with_text`` adds kept_text (cut words leave with the space after them),
     ``carry`` the other columns of docs as a struct ``rest``.
     """
-    groups = groups_for(docs.select("doc_id", "text"), GROUP_BYTES)
-    buckets = max(4, groups)
+    groups, buckets = spread(stored_size(docs.select("doc_id", "text")))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rest = [F.struct(*others).alias("rest")] if carry and others else []
     dealt = docs.select(

@@ -50,6 +50,13 @@ def test_edges(spark, monkeypatch):
     check(spark, [(5, long), (2, long + " more"), (None, long), (9, None), (10, ""), (11, "  \n "), (12, "a " * 40), (13, "a " * 13), (13, long), (14, "nul\x00   " + long)])
 
 
+def test_spread_grows_with_the_input():
+    for size in (0, 1, 10**6, 10**8, 10**10, 10**12, 10**14):
+        groups, buckets = op.spread(size)
+        assert groups * op.MOST_GROUP >= size and buckets * op.MOST_BUCKET >= size
+        assert groups * buckets <= max(4, op.PARTS**2, size // 24)
+
+
 def test_empty_table(spark):
     assert op.substring_dedup(run(spark, [])).collect() == []
 
