@@ -32,6 +32,12 @@ def seq_regressions(records: DataFrame) -> DataFrame:
 
 def window_merge(records: DataFrame, ts: str = "ts", pid: str = "sender_pid", order: str = "block_seq", keys: list[str] | None = None) -> DataFrame:
     """records with ``merge_rank`` (from 1) in the order of the merge by (ts, pid), stable in each stream."""
+    keys = keys or SESSION
+    # dealt by session once: that serves the streams' windows and the session's
+    return _window_merge(records.repartition(*keys), ts, pid, order, keys)
+
+
+def _window_merge(records: DataFrame, ts: str = "ts", pid: str = "sender_pid", order: str = "block_seq", keys: list[str] | None = None) -> DataFrame:
     keys = keys or SESSION
     own = Window.partitionBy(*keys, pid).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     head = records.withColumn("__head", F.max(F.struct(F.col(ts).alias("t"), F.col(pid).alias("p"))).over(own))
@@ -99,15 +105,18 @@ def causal_merge(records: DataFrame, participants: DataFrame | None = None, *, s
     A session whose heads wait for each other is inconsistent: with ``strict``
     the job fails, else what cannot be released has a null rank.
     """
-    facts = records.groupBy(*SESSION).agg(F.countDistinct("sender_pid").alias("senders"), F.max(F.col("ack").isNotNull().cast("int")).alias("acks"))
+    session = Window.partitionBy(*SESSION)
+    dealt = records.repartition(*SESSION)
     if participants is not None:
-        facts = facts.drop("senders").join(participants.groupBy(*SESSION).agg(F.countDistinct("pid").alias("senders")), SESSION)
-    known = records.join(facts.select(*SESSION, ((F.col("senders") == 2) & (F.col("acks") == 1)).alias("__acked")), SESSION)
-    plain = window_merge(known.where("not __acked")).drop("__acked")
+        people = participants.groupBy(*SESSION).agg(F.size(F.collect_set("pid")).alias("__people"))
+        dealt = dealt.join(people, SESSION)
+    else:
+        dealt = dealt.withColumn("__people", F.size(F.collect_set("sender_pid").over(session)))
+    known = dealt.withColumn("__acked", (F.col("__people") == 2) & (F.max(F.col("ack").isNotNull().cast("int")).over(session) == 1)).drop("__people")
+    plain = _window_merge(known.where("not __acked")).drop("__acked")
     lean = known.where("__acked").select("path", F.col("session_id").cast("bigint").alias("session_id"), "block_seq", "sender_pid", "ts", "seq_start", "ack", _length().alias("length"))
     # many small sessions make long batches, a group for each would cost more than its merge
-    together = lean.repartition(*SESSION).sortWithinPartitions(*SESSION, "block_seq")
-    ranks = together.mapInArrow(_merge_sorted, "path string, session_id bigint, block_seq bigint, merge_rank bigint")
+    ranks = lean.sortWithinPartitions(*SESSION, "block_seq").mapInArrow(_merge_sorted, "path string, session_id bigint, block_seq bigint, merge_rank bigint")
     rank = F.col("merge_rank")
     if strict:
         rank = F.when(rank.isNull(), F.raise_error(F.lit("the merge stalls: two records each acknowledge bytes the other has not sent yet")).cast("bigint")).otherwise(rank)

@@ -67,7 +67,7 @@ def rewrite(records: DataFrame, discontinuities: DataFrame, facts: DataFrame, *,
     kept = ranges.where(keep) if keep is not None else ranges
     order = [*(reorder or []), F.col("block_seq")]
     w = Window.partitionBy(*STREAM).orderBy(*order)
-    kept = kept.withColumns({"position": F.row_number().over(w), "__last_end": F.lag("off_end").over(w)})
+    kept = kept.withColumns({"position": F.row_number().over(w).cast("bigint"), "__last_end": F.lag("off_end").over(w)})
     # each break goes with the next survivor in stored order; after the last it is not carried
     brk = offsets.break_positions(records, discontinuities).join(decoded, STREAM, "left_semi")
     marks = kept.select(*STREAM, "block_seq", F.col("block_seq").alias("survivor"), F.lit(None).cast("bigint").alias("width"))
