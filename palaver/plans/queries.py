@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content, serial
 from ..operators import conformance, coverage, intervals, offsets, order, provenance, segments, transform
-from ..schema import STREAM
+from ..schema import KIND_LABELS, STREAM
 from ..stages import cut
 from . import synth
 
@@ -182,7 +182,7 @@ def _layered(spark, sf_dir):
     return rec, synth.decoders(spark, [("layers", 1, 0), ("layers", 2, 1)]), synth.sources(spark, [("layers", 0, 0, "a"), ("layers", 1, 1, "b")])
 
 
-@query(f"""WITH {LAYERS} SELECT k, CASE WHEN count(DISTINCT kind) = 1 THEN CASE min(kind) WHEN 0 THEN 'capture' ELSE 'zpf-input' END END AS provenance,
+@query(f"""WITH {LAYERS} SELECT k, CASE WHEN count(DISTINCT kind) = 1 THEN CASE min(kind) WHEN 0 THEN '{KIND_LABELS[0]}' ELSE '{KIND_LABELS[1]}' END END AS provenance,
  CASE WHEN count(DISTINCT CASE WHEN d = 1 THEN 0 ELSE 1 END) = 1 THEN CASE min(CASE WHEN d = 1 THEN 0 ELSE 1 END) WHEN 0 THEN 'decoded' ELSE 'transport' END END AS layer FROM m GROUP BY k""")
 def stream_kinds(spark, sf_dir):
     """Provenance and layer, null where records disagree."""
