@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,8 +14,11 @@ def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = getattr(spark, "_palaver_root", None) or "file://" + tempfile.mkdtemp(prefix="palaver-")
-        spark._palaver_root = root
+        root = getattr(spark, "_palaver_root", None)
+        if root is None:
+            own = tempfile.mkdtemp(prefix="palaver-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            root = spark._palaver_root = f"file://{own}"
     return f"{root.rstrip('/')}/palaver-{uuid.uuid4().hex}"
 
 

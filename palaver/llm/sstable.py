@@ -41,8 +41,8 @@ from .cluster import groups_for, shared_folder
 from .tokens import SLICE, closed, default_vocabulary, encoder
 
 END = 2
-#: Stored bytes of documents in a shard, and bytes of a block.
-SHARD_BYTES, BLOCK_BYTES = 24 << 20, 64 << 10
+#: Stored bytes of documents in a shard, more where there would be over MOST_SHARDS, whose rows the driver lists; and bytes of a block.
+SHARD_BYTES, MOST_SHARDS, BLOCK_BYTES = 24 << 20, 200_000, 64 << 10
 BITS, PROBES = 10, 7
 MAGIC = b"PALSST01"
 FOOTER = struct.Struct("<QQQQQQBI8s")  # documents, ids, index at, index bytes, bloom at, bloom bytes, width, crc32 of index, bloom and these, magic
@@ -226,7 +226,7 @@ def write_shards(docs: DataFrame, *, folder: str | None = None, vocabulary: str
     folder = folder or shared_folder(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    n = groups_for(plain, shard_bytes)
+    n = min(groups_for(plain, shard_bytes), MOST_SHARDS)
     sorted_ = plain.repartitionByRange(n, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order)
     rows = sorted_.mapInArrow(_write(folder, vocabulary or default_vocabulary(), end), "number int, name string, documents long, ids long").collect()
     return Shards(folder, [tuple(r) for r in rows])
