@@ -56,24 +56,33 @@ def undeclared(references: DataFrame, declarations: DataFrame, keys: list[str],
     return r.where(bad).select(*_as("C3", message=message))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def _named_sources(t: dict[str, DataFrame]) -> DataFrame:
+    """(path, block_seq, source_id, by) of all blocks that name a source: as a record, undecoded range, origin or span."""
+    r = t["records"]
+    origin = t["participants"].where("origin is not null").select("path", "block_seq", F.col("origin.source_id").alias("source_id"), F.lit("origin").alias("by"))
+    span = r.select("path", "block_seq", F.explode("spans").alias("s")).select("path", "block_seq", F.col("s.source_id").alias("source_id"), F.lit("span").alias("by"))
+    own = [df.select("path", "block_seq", "source_id", F.lit(by).alias("by")) for df, by in ((r, "record"), (t["undecoded"], "undecoded"))]
+    return _union([*own, origin, span.distinct()])
+
+
 def references(t: dict[str, DataFrame]) -> DataFrame:
-    """C3 for sessions, participants, sources and decoders."""
+    """C3 for sessions, participants, sources and decoders: one join for each kind of declaration."""
     r = t["records"].withColumnRenamed("sender_pid", "pid")
     in_session = [t["participants"], t["session_ends"], r, t["discontinuities"], t["names"]]
-    out = None
-    for df in in_session:
-        ends = t["session_ends"] if df is not t["session_ends"] else None
-        one = undeclared(df, t["sessions"], SESSION, "session", ends if ends is not None else t["session_ends"])
-        out = one if out is None else out.unionByName(one)
-    for df in (r, t["discontinuities"], t["names"]):
-        out = out.unionByName(undeclared(df, t["participants"], STREAM, "participant"))
-    origin = t["participants"].where("origin is not null").select("path", "block_seq", F.col("origin.source_id").alias("source_id"))
-    span = r.select("path", "block_seq", F.explode("spans").alias("s")).select("path", "block_seq", F.col("s.source_id").alias("source_id")).distinct()
-    for df in (r, t["undecoded"], origin, span):
-        out = out.unionByName(undeclared(df, t["sources"], ["path", "source_id"], "source"))
-    for df in (r, t["undecoded"]):
-        out = out.unionByName(undeclared(df.where("decoder_id is not null"), t["decoders"], ["path", "decoder_id"], "decoder"))
-    return out.distinct()
+    found = [
+        undeclared(_union([df.select("path", "block_seq", "session_id") for df in in_session]), t["sessions"], SESSION, "session", t["session_ends"]),
+        undeclared(_union([df.select("block_seq", *STREAM) for df in (r, t["discontinuities"], t["names"])]), t["participants"], STREAM, "participant"),
+        undeclared(_named_sources(t).drop("by"), t["sources"], ["path", "source_id"], "source"),
+        undeclared(_union([df.where("decoder_id is not null").select("path", "block_seq", "decoder_id") for df in (r, t["undecoded"])]), t["decoders"], ["path", "decoder_id"], "decoder"),
+    ]
+    return _union(found).distinct()
 
 
 def _kind(df: DataFrame, sources: DataFrame) -> DataFrame:
@@ -84,14 +93,16 @@ def _kind(df: DataFrame, sources: DataFrame) -> DataFrame:
 
 def source_kinds(t: dict[str, DataFrame]) -> DataFrame:
     """C5, C6 and the first half of C7: known kinds; spans and origins name input files."""
-    r, u = t["records"], t["undecoded"]
-    unknown = f"__kind not in ({CAPTURE}, {FILE_INPUT})"
-    out = _kind(r.select("path", "block_seq", "source_id"), t["sources"]).where(unknown).select(*_as("C5", message="source of unknown kind"))
-    out = out.unionByName(_kind(u.select("path", "block_seq", "source_id"), t["sources"]).where(unknown).select(*_as("C5", message="source of unknown kind")))
-    span = r.select("path", "block_seq", F.explode("spans").alias("s")).select("path", "block_seq", F.col("s.source_id").alias("source_id")).distinct()
-    out = out.unionByName(_kind(span, t["sources"]).where(f"__kind <> {FILE_INPUT}").select(*_as("C6", message="a span names a source that is no input file")).distinct())
-    origin = t["participants"].where("origin is not null").select("path", "block_seq", F.col("origin.source_id").alias("source_id"))
-    return out.unionByName(_kind(origin, t["sources"]).where(f"__kind <> {FILE_INPUT}").select(*_as("C7", message="an origin names a source that is no input file")))
+    by, kind = F.col("by"), F.col("__kind")
+    rule = (
+        F.when(by.isin("record", "undecoded") & ~kind.isin(CAPTURE, FILE_INPUT), "C5")
+        .when((by == "span") & (kind != FILE_INPUT), "C6")
+        .when((by == "origin") & (kind != FILE_INPUT), "C7")
+    )
+    text = F.create_map(*[F.lit(x) for kv in {"C5": "source of unknown kind", "C6": "a span names a source that is no input file", "C7": "an origin names a source that is no input file"}.items() for x in kv])
+    bad = _kind(_named_sources(t), t["sources"]).withColumn("__rule", rule).where("__rule is not null")
+    out = bad.select(*_as("", message=text[F.col("__rule")]), "__rule").withColumn("rule", F.col("__rule")).drop("__rule")
+    return out.distinct()
 
 
 def streams(t: dict[str, DataFrame], facts: DataFrame) -> DataFrame:
