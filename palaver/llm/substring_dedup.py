@@ -42,7 +42,7 @@ ROUNDS = 2
 SLICE = 2_000_000
 #: Stored bytes of documents in a group, and of the input for a bucket: at least the first, and at most the others.
 #: In between both grow with the input, so that groups times buckets, the rows of an exchange, grow no faster.
-GROUP_BYTES, MOST_GROUP, MOST_BUCKET = 3 << 20, 48 << 20, 128 << 20
+GROUP_BYTES, MOST_GROUP, MOST_BUCKET = 1 << 20, 48 << 20, 128 << 20
 PARTS = 2000
 _LAST = np.iinfo(np.int64).max
 _B1 = np.uint64(0x9E3779B97F4A7C15)
