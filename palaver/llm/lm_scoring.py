@@ -1,27 +1,33 @@
 """Operator 3 - LM scoring by cross-entropy difference.
 
-Two bigram models, one of target documents and one of all documents, share one
-vocabulary: the 2**WORD_BITS ids that a fixed hash gives to words.  Pairs of
-words have 2**PAIR_BITS cells.  A word's probability is
+Two bigram models, one of target documents and one of all documents, are counted
+exactly: words and pairs are named by 64-bit hashes and each has a count of its
+own.  A word's probability is
 
     m * c(previous, word) / c(previous) + (1 - m) * (WORD * c(word) / n + (1 - WORD) / V)
 
-with m = MIX, or 0 after a word that the model has not seen; both models are
-smoothed alike whatever their sizes, so their losses are matched.
+with m = MIX, or 0 after a word that the model has not seen; V is 2**WORD_BITS,
+or the number of different words where that is more.  Both models are smoothed
+alike whatever their sizes, so their losses are matched.
 
 A document's score is the mean over its words of -log2 p_target + log2 p_all:
 the lower, the more it is like the target.  Counts are over all words of all
-documents of either kind; only the tables' size is fixed, so nothing grows on
-the driver (it holds one table of (V + cells) numbers for either model).
-
-Each task counts into arrays of its own and sends what is not zero, cut into
-segments; segments are summed by streaming tasks.  Targets are found by a join
-on doc_id, so no key gathers more rows than repeat one id.
+documents of either kind.
+
+Documents are dealt by doc_id into chunks of about ``CHUNK`` stored bytes, as
+many as the input needs.  A chunk counts its own different words and pairs and
+sends them, sorted, to ranges of the hash; a range sums the counts of all chunks
+and sends each chunk the sums of just the keys that it asked for, in its order
+and so without the keys.  Chunk and sums then meet, and documents are scored.
+Tables grow with the input in number, not in size, and nothing comes to the
+driver.  A chunk sends a key once, however often it has it, so a common word or
+pair is one row of a block.  Targets are found chunk by chunk, so no key gathers
+more rows than repeat one id.
 
 Cases: null text has no words and a null score; without target documents the
 target model is the flat one; a document's first word follows a start id; rows
-that repeat a doc_id are each counted and scored; null ids are background only;
-other columns are not read.
+that repeat a doc_id are each counted and scored; null ids are background only
+and are dealt by their text; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,143 +38,175 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .cluster import materialise
+from .cluster import groups_for
 
-WORD_BITS, PAIR_BITS = 18, 20
+WORD_BITS = 18
 MIX, WORD = 0.6, 0.9
-SEGMENT = 1 << 10
 SLICE = 2_000_000
+#: Stored bytes of documents in a chunk.
+CHUNK = 3 << 20
+#: Chunks for each range of the hash.
+WIDE = 2
 _U = np.uint64
 _START = _U(0x5BD1E995C6A4A793)
+_WORDS, _PAIRS = 0, 1
 
 
-def cells(raw: np.ndarray, offsets: np.ndarray, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its id, the id before it (V at a text's start) and the cell of the pair; and n + 1 bounds of texts."""
+def keys(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its key and the key of the pair with the word before it (the start at a text's first); and n + 1 bounds of texts."""
+    raw, offsets = tk.string_buffers(column)
+    words, pairs, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     with np.errstate(over="ignore"):
-        w = tk.split_words(raw, offsets)
-        h = tk.hash_words(w)
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[w.first[:-1][np.diff(w.first) > 0]] = _START
-        pair = (tk.mix(before * _U(0x9E3779B97F4A7C15) + h) >> _U(64 - pair_bits)).astype(np.int64)
-    word = (h >> _U(64 - word_bits)).astype(np.int64)
-    last = np.where(before == _START, 1 << word_bits, (before >> _U(64 - word_bits)).astype(np.int64))
-    return word, last, pair, w.first
-
-
-class Counts:
-    """One flat table: words, the start, pairs."""
-
-    def __init__(self, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS, flat: np.ndarray | None = None):
-        self.word_bits, self.pair_bits = word_bits, pair_bits
-        self.flat = np.zeros(self.size, np.int64) if flat is None else flat
-
-    @property
-    def size(self) -> int:
-        return (1 << self.word_bits) + SEGMENT + (1 << self.pair_bits)
-
-    @property
-    def _pairs(self) -> int:
-        return (1 << self.word_bits) + SEGMENT
-
-    def add(self, word: np.ndarray, last: np.ndarray, pair: np.ndarray) -> None:
-        start = 1 << self.word_bits
-        self.flat[: self._pairs] += np.bincount(word, minlength=self._pairs)
-        self.flat[start] += int((last == start).sum())
-        self.flat[self._pairs :] += np.bincount(pair, minlength=1 << self.pair_bits)
-
-    def segments(self):
-        for s in range(0, self.size, SEGMENT):
-            own = self.flat[s : s + SEGMENT]
-            at = np.flatnonzero(own)
-            if len(at):
-                yield s // SEGMENT, at.astype("<u2").tobytes(), own[at].astype("<i8").tobytes()
-
-    def logs(self, word: np.ndarray, last: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """log2 of each word's probability."""
-        v = 1 << self.word_bits
-        flat = WORD * self.flat[word] / max(int(self.flat[:v].sum()), 1) + (1 - WORD) / v
-        context = self.flat[last]
-        mix = np.where(context > 0, MIX, 0)
-        return np.log2(mix * np.minimum(self.flat[self._pairs + pair], context) / np.maximum(context, 1) + (1 - mix) * flat)
-
-
-_KINDS = "model int, segment int, at binary, n binary"
-
-
-def _count(word_bits: int, pair_bits: int):
-    def run(batches):
-        both = [Counts(word_bits, pair_bits), Counts(word_bits, pair_bits)]
-        for batch in batches:
-            raw, offsets = tk.string_buffers(batch.column(0))
-            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in tk.slices(offsets, SLICE):
-                word, last, pair, first = cells(*tk.part(raw, offsets, i, j), word_bits, pair_bits)
-                both[0].add(word, last, pair)
-                on = np.repeat(target[i:j], np.diff(first))
-                if on.any():
-                    both[1].add(word[on], last[on], pair[on])
-        rows = [(m, *x) for m, c in enumerate(both) for x in c.segments()]
-        for k in range(0, len(rows), 256):
-            m, s, at, n = zip(*rows[k : k + 256], strict=True)
-            yield pa.RecordBatch.from_pydict({"model": pa.array(m, pa.int32()), "segment": pa.array(s, pa.int32()), "at": pa.array(at, pa.binary()), "n": pa.array(n, pa.binary())})
+        for i, j in tk.slices(offsets, SLICE):
+            w = tk.split_words(*tk.part(raw, offsets, i, j))
+            h = tk.hash_words(w)
+            before = np.empty_like(h)
+            before[1:] = h[:-1]
+            before[w.first[:-1][np.diff(w.first) > 0]] = _START
+            words.append(h)
+            pairs.append(tk.mix(before * _U(0x9E3779B97F4A7C15) + h))
+            counts.append(np.diff(w.first))
+    return np.concatenate(words), np.concatenate(pairs), np.cumsum(np.concatenate(counts))
+
+
+def _with_starts(word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The keys of words, then the start for each text that has words."""
+    return np.append(word, np.full(int((np.diff(first) > 0).sum()), _START))
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Numbers from 0 as planes of bytes, lowest first, as many as the greatest needs."""
+    if not len(x):
+        return b""
+    width = max(1, -(-int(x.max()).bit_length() // 8))
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _bounds(ranges: int) -> np.ndarray:
+    return np.array([(r << 64) // ranges for r in range(ranges)], np.uint64)
+
+
+_ASKED = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("every", pa.binary()), ("target", pa.binary())])
+_SUMS = pa.schema([("chunk", pa.int32()), ("range", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("every", pa.binary()), ("target", pa.binary()), ("different", pa.int64()), ("n_every", pa.int64()), ("n_target", pa.int64())])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ce_target", pa.float64()), ("ce_background", pa.float64()), ("ce_difference", pa.float64())])
+
+
+def _ask(ranges: int):
+    bounds = _bounds(ranges)
+
+    def run(docs, targets):
+        """The chunk's different keys with its counts, a row for each range and kind."""
+        if not docs.num_rows:
+            return _ASKED.empty_table()
+        chunk = docs["chunk"][0].as_py()
+        word, pair, first = keys(docs["text"])
+        ids = docs["doc_id"].combine_chunks()
+        wanted = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), targets["doc_id"].to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+        size = np.diff(first)
+        on = np.repeat(wanted, size)
+        rows = []
+        for kind, key, mark in ((_WORDS, _with_starts(word, first), np.append(on, wanted[size > 0])), (_PAIRS, pair, on)):
+            u, at, n = np.unique(key, return_inverse=True, return_counts=True)
+            t = np.bincount(at[mark], minlength=len(u))
+            edge = np.append(np.searchsorted(u, bounds), len(u))
+            for r in range(ranges):
+                i, j = edge[r], edge[r + 1]
+                rows.append((r, chunk, kind, j - i, pack(np.diff(u[i:j], prepend=bounds[r])), pack(n[i:j]), pack(t[i:j])))
+        return pa.table(dict(zip(_ASKED.names, zip(*rows, strict=True), strict=True)), _ASKED)
 
     return run
 
 
-def _sum(batches):
-    total: dict[tuple[int, int], np.ndarray] = {}
-    for b in batches:
-        for m, s, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            own = total.setdefault((m, s), np.zeros(SEGMENT, np.int64))
-            own[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
-    if total:
-        out = [(m, s, np.flatnonzero(x).astype("<u2").tobytes(), x[x > 0].astype("<i8").tobytes()) for (m, s), x in total.items()]
-        m, s, at, n = zip(*out, strict=True)
-        yield pa.RecordBatch.from_pydict({"model": pa.array(m, pa.int32()), "segment": pa.array(s, pa.int32()), "at": pa.array(at, pa.binary()), "n": pa.array(n, pa.binary())})
+def _sum(ranges: int):
+    bounds = _bounds(ranges)
+
+    def run(asked):
+        """For each block of keys the sums over all chunks, in the block's order."""
+        out, rows = [], asked.to_pylist()
+        for kind in (_WORDS, _PAIRS):
+            blocks = [x for x in rows if x["kind"] == kind]
+            cut = np.cumsum([0] + [x["n"] for x in blocks])
+            with np.errstate(over="ignore"):
+                key = np.concatenate([np.cumsum(unpack(x["keys"], x["n"]), dtype=np.uint64) + bounds[x["range"]] for x in blocks])
+            u, at = np.unique(key, return_inverse=True)
+            del key
+            # sums of counts below 2**53, exact as floats
+            sums = [np.bincount(at, np.concatenate([unpack(x[c], x["n"]) for x in blocks]), len(u)).astype(np.int64) for c in ("every", "target")]
+            told = (None, None, None)
+            if kind == _WORDS:
+                real = u != _START
+                told = int(real.sum()), int(sums[0][real].sum()), int(sums[1][real].sum())
+            for x, i, j in zip(blocks, cut, cut[1:], strict=False):
+                out.append((x["chunk"], x["range"], kind, x["n"], *(pack(s[at[i:j]]) for s in sums), *told))
+        return pa.table(dict(zip(_SUMS.names, zip(*out, strict=True), strict=True)), _SUMS)
 
+    return run
 
-def train(docs: DataFrame, targets: DataFrame, *, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> tuple[Counts, Counts]:
-    """(all, target) counts; ``targets`` has the doc_id of target documents."""
-    ids = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = plain.join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    parts = marked.mapInArrow(_count(word_bits, pair_bits), _KINDS)
-    model = materialise(parts.repartition("model", "segment").mapInArrow(_sum, _KINDS)).toArrow()
-    out = [Counts(word_bits, pair_bits), Counts(word_bits, pair_bits)]
-    for m, s, at, n in zip(*(c.to_pylist() for c in model.columns), strict=True):
-        out[m].flat[s * SEGMENT + np.frombuffer(at, "<u2").astype(np.int64)] = np.frombuffer(n, "<i8")
-    return out[0], out[1]
-
-
-def _score(models):
-    def run(batches):
-        every, target = (Counts(*x) for x in models.value)
-        for batch in batches:
-            raw, offsets = tk.string_buffers(batch.column(1))
-            for i, j in tk.slices(offsets, SLICE):
-                word, last, pair, first = cells(*tk.part(raw, offsets, i, j), every.word_bits, every.pair_bits)
-                n = np.diff(first)
-                full = np.flatnonzero(n)
-                means = []
-                for model in (target, every):
-                    mean = np.full(j - i, np.nan)
-                    if len(full):
-                        mean[full] = -np.add.reduceat(model.logs(word, last, pair), first[full]) / n[full]
-                    means.append(mean)
-                t, a = means
-                own = lambda x: pa.array(x, mask=n == 0)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), own(t), own(a), own(t - a)], names=["doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference"])
+
+def _logs(word, pair, context, n: int, v: int) -> np.ndarray:
+    """log2 of each word's probability, from the counts of words, pairs and the words before."""
+    flat = WORD * word / max(n, 1) + (1 - WORD) / v
+    mix = np.where(context > 0, MIX, 0)
+    return np.log2(mix * pair / np.maximum(context, 1) + (1 - mix) * flat)
+
+
+def _score(word_bits: int):
+    def run(docs, sums):
+        if not docs.num_rows:
+            return _SCORES.empty_table()
+        word, pair, first = keys(docs["text"])
+        n, size = np.diff(first), len(word)
+        full = np.flatnonzero(n)
+        starts = _with_starts(word, first)
+        rows = sorted(sums.to_pylist(), key=lambda x: (x["kind"], x["range"]))
+        heads = [x for x in rows if x["kind"] == _WORDS]
+        v = max(1 << word_bits, sum(x["different"] for x in heads))
+        at = [np.unique(k, return_inverse=True) for k in (starts, pair)]
+        means = []
+        for c in ("target", "every"):
+            count = []
+            for kind, (u, index) in zip((_WORDS, _PAIRS), at, strict=True):
+                table = np.concatenate([unpack(x[c], x["n"]) for x in rows if x["kind"] == kind]).astype(np.int64)
+                if len(table) != len(u):
+                    raise RuntimeError("documents changed between counting and scoring")
+                count.append(table[index])
+            own, of_pair = count[0][:size], count[1]
+            context = np.empty(size, np.int64)
+            context[1:] = own[:-1]
+            context[first[full]] = count[0][size:]
+            mean = np.full(len(n), np.nan)
+            if len(full):
+                mean[full] = -np.add.reduceat(_logs(own, of_pair, context, sum(x[f"n_{c}"] for x in heads), v), first[full]) / n[full]
+            means.append(mean)
+        t, a = means
+        own = lambda x: pa.array(x, mask=n == 0)
+        return pa.Table.from_arrays([docs["doc_id"], pa.array(n, pa.int64()), own(t), own(a), own(t - a)], schema=_SCORES)
 
     return run
 
 
-def score(docs: DataFrame, models: tuple[Counts, Counts]) -> DataFrame:
-    """doc_id, n_tokens, ce_target, ce_background, ce_difference (bits a word)."""
-    shared = docs.sparkSession.sparkContext.broadcast([(m.word_bits, m.pair_bits, m.flat) for m in models])
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_score(shared), "doc_id long, n_tokens long, ce_target double, ce_background double, ce_difference double")
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary"}
+    return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
-def lm_scoring(docs: DataFrame, targets: DataFrame, **sizes) -> DataFrame:
-    return score(docs, train(docs, targets, **sizes))
+def lm_scoring(docs: DataFrame, targets: DataFrame, *, word_bits: int = WORD_BITS, chunks: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, ce_target, ce_background, ce_difference (bits a word); ``targets`` has the doc_id of target documents."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chunks = chunks or groups_for(plain, CHUNK)
+    ranges = -(-chunks // WIDE)
+    chunk = lambda key: F.pmod(key, F.lit(chunks)).cast("int").alias("chunk")
+    # both readers of the documents ask for the same exchange, so it is made once
+    dealt = plain.select("doc_id", "text", chunk(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))))
+    ids = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", chunk(F.xxhash64("doc_id")))
+    asked = dealt.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_ask(ranges), _ddl(_ASKED))
+    sums = asked.groupBy("range").applyInArrow(_sum(ranges), _ddl(_SUMS))
+    return dealt.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_score(word_bits), _ddl(_SCORES))

@@ -69,3 +69,22 @@ def test_empty(spark):
     assert op.lm_scoring(frame(spark, []), none).collect() == []
     (r,) = op.lm_scoring(frame(spark, [(1, "a b")]), none).collect()
     assert r.n_tokens == 2 and abs(r.ce_target - (op.WORD_BITS - math.log2(1 - op.WORD))) < 1e-9
+
+
+def test_more_words_and_pairs_than_a_fixed_table(spark):
+    """300,000 different words, each pair once: counts stay those of the word and the pair."""
+    a = ["".join(f"{p}{i} {q}{i} " for i in range(k, k + 1000)) for p, q in ("xy", "vw") for k in range(0, 75_000, 1000)]
+    b = [(len(a) + i, "p q") for i in range(3)]
+    df = frame(spark, [*enumerate(a), *b]).repartition(4)
+    got = {r.doc_id: r for r in op.lm_scoring(df, spark.createDataFrame([(0,), (len(a),)], "doc_id long"), chunks=7).collect()}
+    n, v, starts = 2000 * len(a) + 6, 2 * 2 * 75_000 + 2, len(a) + 3
+    assert v > 1 << op.WORD_BITS
+    seen = lambda c, k, before: math.log2(op.MIX * k / before + (1 - op.MIX) * (op.WORD * c / n + (1 - op.WORD) / v))
+    for d in range(len(a)):
+        assert abs(got[d].ce_background + (seen(1, 1, starts) + 1999 * seen(1, 1, 1)) / 2000) < 1e-9
+    assert abs(got[len(a)].ce_background + (seen(3, 3, starts) + seen(3, 3, 3)) / 2) < 1e-9
+    # an unseen pair after an unseen word is flat in the target model, and no other word lends it a count
+    flat = math.log2((1 - op.WORD) / v)
+    for d in range(1, len(a)):
+        first = math.log2((1 - op.MIX) * (1 - op.WORD) / v)
+        assert abs(got[d].ce_target + (first + 1999 * flat) / 2000) < 1e-9
