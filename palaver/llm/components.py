@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 from .cluster import materialise
 
-#: Rounds halve what is left, so this many are enough for any graph that fits a cluster.
-MOST_ROUNDS = 64
-
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every end of links (u, v): label is the component's least node.
 
     Each round takes the least label next door, then the label's own label
-    (pointer jumping), and is written to the shared folder.  An empty table of
-    links gives an empty table.
+    (pointer jumping), and hands what it found to the node of the old label too
+    (hooking), so that all of a cluster follows when one end of it meets a smaller
+    label.  Rounds are written to the shared folder and go on until no label
+    falls; each lowers one at least, so they end.  An empty table of links gives
+    an empty table.
     """
     both = materialise(
         links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).where("u is not null and v is not null").distinct()
     )
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("label")))
-    for _ in range(MOST_ROUNDS):
+    while True:
         near = (
             both.join(labels, both.v == labels.node)
             .select(both.u.alias("node"), "label")
@@ -32,10 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         )
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("higher"))
         old = labels.select("node", F.col("label").alias("old"))
-        step = materialise(
-            near.join(up, "label", "left").join(old, "node").select("node", F.least("label", F.coalesce("higher", "label")).alias("label"), "old")
-        )
+        low = near.join(up, "label", "left").join(old, "node").select("node", F.least("label", F.coalesce("higher", "label")).alias("label"), "old")
+        both_ends = F.array(F.struct("node", "label", "old"), F.struct(F.col("old").alias("node"), "label", F.lit(None).cast("long").alias("old")))
+        step = materialise(low.select(F.inline(both_ends)).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
         labels = step.select("node", "label")
         if step.where("label <> old").isEmpty():
-            break
-    return labels
+            return labels
