@@ -5,7 +5,7 @@ only where it is longer.  The driver sees the histogram of piece lengths (at
 most CAPACITY numbers, whatever the input's size) and solves the configuration
 linear program on it by multiplicative weights: a knapsack over the capacity
 prices configurations, the best one is taken in a step, and the weight of a
-length falls as its demand is covered.  Steps are rounded down to whole
+length falls as its demand is covered, until all demand is.  Steps are rounded down to whole
 sequences that the histogram still holds; what is left is filled best-fit,
 longest first, again whole configurations at a time.  Of the roundings (all
 steps, those that leave no room, none) the one with fewest sequences is taken.
@@ -34,26 +34,31 @@ from .cluster import materialise
 from .tokens import SLICE, closed, default_vocabulary, encoder
 
 CAPACITY, END = 2048, 0
-TURNS, STEP, RATE = 256, 0.25, 1.0
+STEP, RATE = 0.25, 1.0
 
 
 def _best(price: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
     """The unbounded knapsack: counts of the lengths with the greatest price that fit."""
+    # a length is never taken where a shorter one has its price: only the others are tried
+    tried = np.flatnonzero(price > np.maximum.accumulate(np.append(0, price[:-1])))
+    counts = np.zeros(len(lengths), np.int64)
+    price, lengths = price[tried], lengths[tried]
     value, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
+        k = fit[c]
         value[c] = value[c - 1]
         if k:
             step = price[:k] + value[c - lengths[:k]]
             i = int(step.argmax())
             if step[i] > value[c]:
                 value[c], take[c] = step[i], i
-    counts, c = np.zeros(len(lengths), np.int64), capacity
+    c = capacity
     while c > 0:
         if take[c] < 0:
             c -= 1
         else:
-            counts[take[c]] += 1
+            counts[tried[take[c]]] += 1
             c -= int(lengths[take[c]])
     return counts
 
@@ -91,23 +96,31 @@ def _rounded(plan, weight, lengths, demand, capacity, least) -> list[tuple[int,
     return out
 
 
-def configurations(histogram: np.ndarray, capacity: int = CAPACITY, turns: int = TURNS) -> list[tuple[int, dict[int, int]]]:
-    """(sequences, {length: pieces in each}) that use up the histogram (pieces by length, from 0) exactly."""
-    lengths = np.flatnonzero(histogram)
-    left = histogram[lengths].astype(np.int64)
-    demand, covered = left.astype(float), np.zeros(len(lengths))
+def program(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[np.ndarray], list[float]]:
+    """Configurations and how many sequences each has, that cover the whole demand.
+
+    A step covers at least STEP of the demand for one length, so there are at
+    most 1 / STEP steps a length, however many documents there are.
+    """
+    covered = np.zeros(len(lengths))
     plan: list[np.ndarray] = []
     weight: list[float] = []
-    for _ in range(turns if len(lengths) else 0):
+    while (covered < 1).any():
         price = np.where(covered < 1, lengths / capacity * np.exp(-RATE * covered), 0)
-        if not price.any():
-            break
         counts = _best(price, lengths, capacity)
         on = counts > 0
         step = max(1.0, STEP * float((demand[on] / counts[on]).min()))
         plan.append(counts)
         weight.append(step)
         covered += counts * step / demand
+    return plan, weight
+
+
+def configurations(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """(sequences, {length: pieces in each}) that use up the histogram (pieces by length, from 0) exactly."""
+    lengths = np.flatnonzero(histogram)
+    left = histogram[lengths].astype(np.int64)
+    plan, weight = program(lengths, left.astype(float), capacity)
     ways = [_rounded(plan, weight, lengths, left, capacity, least) for least in (0, capacity, capacity + 1)]
     out = min(ways, key=lambda way: sum(n for n, _ in way))
     return [(n, {int(lengths[i]): int(c[i]) for i in np.flatnonzero(c)[::-1]}) for n, c in out]

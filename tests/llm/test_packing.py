@@ -45,6 +45,17 @@ def test_configurations_use_up_the_histogram(seed):
     assert op.configurations(np.zeros(2049, np.int64)) == []
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_program_covers_all_demand(seed):
+    """More lengths than 256 steps cover."""
+    h = np.zeros(2049, np.int64)
+    np.add.at(h, np.minimum(np.random.default_rng(seed).lognormal(6, 1.2, 1500).astype(int) + 1, 2048), 1)
+    lengths = np.flatnonzero(h)
+    plan, weight = op.program(lengths, h[lengths].astype(float), 2048)
+    assert len(plan) > 256
+    assert (sum(n * counts for n, counts in zip(weight, plan, strict=True)) > h[lengths] * (1 - 1e-9)).all()
+
+
 def check(rows, got, capacity):
     t = Tokenizer.from_file(tokens.default_vocabulary())
     want = []
