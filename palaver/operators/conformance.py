@@ -200,15 +200,17 @@ def findings(t: dict[str, DataFrame], blocks: DataFrame | None = None) -> DataFr
     return out.unionByName(header_rules(blocks)) if blocks is not None else out
 
 
-def isolate(t: dict[str, DataFrame], most: int = 16) -> tuple[dict[str, DataFrame], DataFrame]:
+def isolate(t: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
     """Tables without the blocks that a lenient reader drops, and the findings that dropped them.
 
     Only the first offending block of each file is sure to be one, as those
     behind it may suffer from it: each turn drops, in every file, the offending
-    blocks up to the first that declares something, until none is left.
+    blocks up to the first that declares something, until none is left.  A turn
+    drops one block at least, so turns end; what fell is kept in one cut table, so
+    that the plan of a turn does not grow with their number.
     """
-    dropped = None
-    for _ in range(most):
+    whole, dropped = t, None
+    while True:
         found = block_rules(t)
         declares = None
         for name in ("sources", "decoders", "sessions", "participants", "session_ends"):
@@ -221,9 +223,8 @@ def isolate(t: dict[str, DataFrame], most: int = 16) -> tuple[dict[str, DataFram
         now = found.join(edge, "path", "left").join(order, "path", "left").where("block_seq <= least(coalesce(__edge, block_seq), coalesce(__order, block_seq))")
         now = cut(now.select(*found.columns))
         if now.isEmpty():
-            break
-        dropped = now if dropped is None else dropped.unionByName(now)
-        gone = now.select("path", "block_seq").distinct()
-        t = {name: df.join(gone, ["path", "block_seq"], "left_anti") for name, df in t.items()}
-    return t, dropped if dropped is not None else block_rules(t).limit(0)
+            return t, dropped if dropped is not None else now
+        dropped = now if dropped is None else cut(dropped.unionByName(now))
+        gone = dropped.select("path", "block_seq").distinct()
+        t = {name: df.join(gone, ["path", "block_seq"], "left_anti") for name, df in whole.items()}
 

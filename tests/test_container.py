@@ -178,6 +178,15 @@ def test_isolation_feeds_on_itself(spark, tmp_path):
     assert none.isEmpty() and again["records"].count() == 2
 
 
+def test_isolation_goes_on_until_nothing_is_left(spark, tmp_path):
+    """More records that go back one after the other than the 16 turns that once were the most."""
+    back = [row(S.RECORD, session_id=7, pid=0, source_id=0, ts=0, payload=b"", seq_start=1000 - i) for i in range(18)]
+    t = container.tables(container.load(spark, put(tmp_path, "x", add(RAW, 4, row(S.RECORD, session_id=7, pid=0, source_id=0, ts=0, payload=b"", seq_start=1001), *back))))
+    kept, dropped = conformance.isolate(t)
+    assert sorted((d.block_seq, d.rule) for d in dropped.collect()) == [(5 + i, "C4") for i in range(18)]
+    assert conformance.block_rules(kept).isEmpty()
+
+
 def test_coverage_of_a_pair(spark, tmp_path):
     raw = container.tables(container.load(spark, put(tmp_path, "raw", raw_file(((1001, 100), (1101, 39))))))
     facts = offsets.stream_facts(raw["participants"], raw["records"], raw["decoders"], raw["sources"])
