@@ -204,27 +204,34 @@ def _columns(batch):
 
 
 def _counted(batches):
-    """Features and label of labelled rows."""
+    """Id, features and label of labelled rows."""
     for batch in batches:
         for i, j, s in _columns(batch):
             x = features(s)
             yield pa.RecordBatch.from_arrays(
-                [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), pa.array(base_failed(s)), batch.column(2).slice(i, j - i)],
-                names=["x", "failed", "quality"],
+                [batch.column(0).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), pa.array(base_failed(s)), batch.column(2).slice(i, j - i)],
+                names=["doc_id", "x", "failed", "quality"],
             )
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
-    """A forest from at most ``sample_rows`` labelled rows, those of least hash of the id."""
+    """A forest from at most ``sample_rows`` labels, those of least hash of the id.
+
+    A label that is there twice counts once, and so does an id that has several
+    documents: of these it takes the row of least features.
+    """
     rows = (
         labels.where("doc_id is not null and quality in (0, 1)")
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(sample_rows)
     )
     # at most sample_rows rows of 12 bytes
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
-    got = joined.mapInArrow(_counted, "x array<double>, failed boolean, quality int").orderBy("quality", "x").limit(2 * sample_rows).toArrow()
+    counted = joined.mapInArrow(_counted, "doc_id long, x array<double>, failed boolean, quality int")
+    one = counted.groupBy("doc_id", "quality").agg(F.min(F.struct("x", "failed")).alias("row"))
+    got = one.select("row.x", "row.failed", "quality").orderBy("quality", "x").toArrow()
     failed = got["failed"].to_numpy(zero_copy_only=False).astype(bool) if got.num_rows else np.zeros(0, bool)
     if not got.num_rows:
         return None

@@ -50,6 +50,17 @@ def test_held_out_accuracy_and_one_forest(spark):
     assert got == {r.doc_id: r.kept for r in op.quality_rules(docs.repartition(5), labels).collect()}
 
 
+def test_a_repeated_bad_id_leaves_the_good_rows(spark):
+    rnd = random.Random(6)
+    good, bad = texts(rnd, 100, False), texts(rnd, 20, True)
+    rows = [*enumerate(good), *((1000 + i, t) for i, t in enumerate(bad)), *((1000, bad[0]) for _ in range(400))]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(1000 + i, 0, 0) for i in range(20)] * 2, "doc_id long, quality int, toxic int")
+    once = op.fit_labelled(frame(spark, rows[:120]), labels, 120)
+    many = op.fit_labelled(frame(spark, rows), labels, 120)
+    assert once is not None and many is not None and many.threshold == once.threshold
+    assert (many.feature == once.feature).all() and (many.split == once.split).all()
+
+
 def test_paths_as_walked():
     rnd = np.random.default_rng(0)
     x = rnd.random((300, 4))
