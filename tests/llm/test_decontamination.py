@@ -75,3 +75,48 @@ def test_in_spark(spark):
         by = {r.doc_id: r for r in got}
         assert (by[5].begin, by[5].end, by[5].edits) == (120000, 120000 + len(item), 0)
     assert op.decontaminate(d, b.limit(0)).collect() == [] and op.decontaminate(d.limit(0), b).collect() == []
+
+
+@pytest.mark.parametrize("q, rate", [(4, 0.2), (6, 0.1), (12, 0.06)])
+def test_periodic_texts_as_brute_force(q, rate, monkeypatch):
+    """q-grams that an item holds many times, in items and texts of one or two repeated letters, in small pieces."""
+    monkeypatch.setattr(op, "PIECE", 64)
+    monkeypatch.setattr(op, "HITS", 50)
+    monkeypatch.setattr(op, "STARTS", 32)
+    rnd = random.Random(q)
+    piece = lambda: rnd.choice(["a", "ab", "-", "aab", "xyz"]) * rnd.randrange(1, 40)
+    plain = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.choice([30, 90])))
+    items = [(i, "".join(piece() for _ in range(rnd.choice([1, 1, 2, 3])))) for i in range(14)] + [(20 + i, plain() + piece() * (i % 2)) for i in range(6)]
+    texts = ["".join(edited(rnd, rnd.choice([piece(), rnd.choice(items)[1]]), rnd.choice([0, 0, 1, 3])) for _ in range(rnd.choice([1, 2, 5]))) for _ in range(40)]
+    ix = op.index(items, q, rate)
+    assert len(ix.loose.hash) and len(ix.grams.hash)
+    got, ends = {}, {}
+    for d, w, a, z, e in op.search(ix, texts, q):
+        assert best_edits(items[ix.ids[w]][1], texts[d][a:z]) <= e and a >= ends.get((d, w), 0)
+        ends[d, w] = z
+        got[d, ix.ids[w]] = min(e, got.get((d, ix.ids[w]), 99))
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in items:
+            e = best_edits(x, t)
+            if len(x) >= q and e <= op.budget(len(x), q, rate):
+                want[d, i] = e
+    assert set(got) == set(want) and len(want) > 40
+
+
+def test_periodic_long_text_in_bounded_memory():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert len(op.search(op.index([(1, "ab" * 50)]), ["ab" * 1_000_000])) == 20_000
+    assert len(op.search(op.index([(1, "-" * 80), (2, "a plain start " + "-" * 80)]), ["-" * 2_000_000])) == 25_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+
+
+def test_filter_keeps_columns(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away"
+    rows = [(1, f"so {item} so", "x", None), (2, "clean", None, 5), (None, None, "y", 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, begin int")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = op.keep_clean(d, b)
+    assert kept.columns == d.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, rows[1:]))
