@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .cluster import filter_rows
 
 Q, RATE = 12, 0.06
 PART_CHARS = 8 << 20
@@ -412,18 +413,17 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float
     """The rows of docs without an occurrence, all columns, in one pass for each part."""
 
     def judge(shared):
-        def run(batches):
-            for batch in batches:
-                raw, offsets = tk.string_buffers(batch.column("text"))
-                data = raw.tobytes()
-                for i, j in tk.slices(offsets, SLICE):
-                    texts = [data[offsets[d] : offsets[d + 1]].decode("utf-8", "replace") for d in range(i, j)]
-                    kept = np.ones(j - i, bool)
-                    kept[[d for d, *_ in search(shared.value, texts, q)]] = False
-                    yield batch.slice(i, j - i).filter(pa.array(kept))
+        def run(column):
+            raw, offsets = tk.string_buffers(column)
+            data = raw.tobytes()
+            for i, j in tk.slices(offsets, SLICE):
+                texts = [data[offsets[d] : offsets[d + 1]].decode("utf-8", "replace") for d in range(i, j)]
+                kept = np.ones(j - i, bool)
+                kept[[d for d, *_ in search(shared.value, texts, q)]] = False
+                yield i, j, kept
 
         return run
 
     for shared in _parts(benchmark, q, rate, part_chars):
-        docs = docs.mapInArrow(judge(shared), docs.schema)
+        docs = filter_rows(docs, "text", judge(shared))
     return docs

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .cluster import filter_rows
 
 SAMPLE_ROWS = 20_000
 TREES, DRAWN, DEPTH = 128, 512, 10
@@ -264,14 +265,13 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, *, forest: Fores
     if forest is None and labels is not None:
         forest = fit_labelled(docs, labels, sample_rows)
 
-    def judge(batches):
-        for batch in batches:
-            raw, offsets = tk.string_buffers(batch.column("text"))
-            for i, j in tk.slices(offsets, SLICE):
-                s = statistics(*tk.part(raw, offsets, i, j))
-                kept = ~base_failed(s)
-                if forest:
-                    kept &= ~forest.rejects(features(s))
-                yield batch.slice(i, j - i).filter(pa.array(kept))
-
-    return docs.mapInArrow(judge, docs.schema)
+    def judge(column):
+        raw, offsets = tk.string_buffers(column)
+        for i, j in tk.slices(offsets, SLICE):
+            s = statistics(*tk.part(raw, offsets, i, j))
+            kept = ~base_failed(s)
+            if forest:
+                kept &= ~forest.rejects(features(s))
+            yield i, j, kept
+
+    return filter_rows(docs, "text", judge)

@@ -92,7 +92,7 @@ def test_periodic_texts_as_brute_force(q, rate, monkeypatch):
     assert len(ix.loose.hash) and len(ix.grams.hash)
     got, ends = {}, {}
     for d, w, a, z, e in op.search(ix, texts, q):
-        assert best_edits(items[ix.ids[w]][1], texts[d][a:z]) <= e and a >= ends.get((d, w), 0)
+        assert best_edits(dict(items)[ix.ids[w]], texts[d][a:z]) <= e and a >= ends.get((d, w), 0)
         ends[d, w] = z
         got[d, ix.ids[w]] = min(e, got.get((d, ix.ids[w]), 99))
     want = {}
