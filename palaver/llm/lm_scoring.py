@@ -1,33 +1,40 @@
 """Operator 3 - LM scoring by cross-entropy difference.
 
-Two bigram models, one of target documents and one of all documents, are counted
-exactly: words and pairs are named by 64-bit hashes and each has a count of its
-own.  A word's probability is
+Two bigram models, one of target documents and one of all documents, share one
+vocabulary and are smoothed alike.  The vocabulary is the words that the corpus
+holds ``floor`` times or more; all others are one unknown word, in words and in
+pairs.  Words and pairs are counted exactly, by 64-bit key.  A word's
+probability is
 
     m * c(previous, word) / c(previous) + (1 - m) * (WORD * c(word) / n + (1 - WORD) / V)
 
-with m = MIX, or 0 after a word that the model has not seen; V is 2**WORD_BITS,
-or the number of different words where that is more.  Both models are smoothed
-alike whatever their sizes, so their losses are matched.
+with m = MIX, or 0 after a word that the model has not seen, and V the size of
+the vocabulary with the unknown word; a model without words is flat, 1 / V.
+
+No document is scored by itself: its own counts are taken out of each model that
+it went into (leave one out), so a target and a document like it that is no
+target are scored alike.  A document that is there twice does meet its copy.
 
 A document's score is the mean over its words of -log2 p_target + log2 p_all:
 the lower, the more it is like the target.  Counts are over all words of all
 documents of either kind.
 
 Documents are dealt by doc_id into chunks of about ``CHUNK`` stored bytes, as
-many as the input needs.  A chunk counts its own different words and pairs and
-sends them, sorted, to ranges of the hash; a range sums the counts of all chunks
-and sends each chunk the sums of just the keys that it asked for, in its order
-and so without the keys.  Chunk and sums then meet, and documents are scored.
-Tables grow with the input in number, not in size, and nothing comes to the
-driver.  A chunk sends a key once, however often it has it, so a common word or
-pair is one row of a block.  Targets are found chunk by chunk, so no key gathers
-more rows than repeat one id.
+many as the input needs.  In a first round a chunk sends its different words,
+sorted and with its counts, to ranges of the hash; a range sums the counts of
+all chunks and sends each chunk the sums of just the words that it asked for, in
+its order and so without the words.  A second round does the same with pairs of
+the words that are known by then.  Chunk and sums then meet, and documents are
+scored.  Tables grow with the input in number, not in size, and nothing comes to
+the driver.  A chunk sends a key once, however often it has it, so a common word
+or pair is one row of a block.  Targets are found chunk by chunk, so no key
+gathers more rows than repeat one id.
 
 Cases: null text has no words and a null score; without target documents the
 target model is the flat one; a document's first word follows a start id; rows
-that repeat a doc_id are each counted and scored; null ids are background only
-and are dealt by their text; other columns are not read.
+that repeat a doc_id are each counted and scored, and each without its own
+counts only; null ids are background only and are dealt by their text; an empty
+table gives an empty table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +47,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .cluster import groups_for
 
-WORD_BITS = 18
+FLOOR = 2
 MIX, WORD = 0.6, 0.9
 SLICE = 2_000_000
 #: Stored bytes of documents in a chunk.
@@ -48,25 +55,29 @@ CHUNK = 3 << 20
 #: Chunks for each range of the hash.
 WIDE = 2
 _U = np.uint64
-_START = _U(0x5BD1E995C6A4A793)
-_WORDS, _PAIRS = 0, 1
+_START, _UNKNOWN = _U(0x5BD1E995C6A4A793), _U(0x2545F4914F6CDD1D)
+_WORDS, _PAIRS, _TARGETS = 0, 1, 2
 
 
-def keys(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its key and the key of the pair with the word before it (the start at a text's first); and n + 1 bounds of texts."""
+def words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each word, and n + 1 bounds of texts."""
     raw, offsets = tk.string_buffers(column)
-    words, pairs, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     with np.errstate(over="ignore"):
         for i, j in tk.slices(offsets, SLICE):
             w = tk.split_words(*tk.part(raw, offsets, i, j))
-            h = tk.hash_words(w)
-            before = np.empty_like(h)
-            before[1:] = h[:-1]
-            before[w.first[:-1][np.diff(w.first) > 0]] = _START
-            words.append(h)
-            pairs.append(tk.mix(before * _U(0x9E3779B97F4A7C15) + h))
+            keys.append(tk.hash_words(w))
             counts.append(np.diff(w.first))
-    return np.concatenate(words), np.concatenate(pairs), np.cumsum(np.concatenate(counts))
+    return np.concatenate(keys), np.cumsum(np.concatenate(counts))
+
+
+def pairs(word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The key of each word with the word before it, the start at a text's first."""
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[first[:-1][np.diff(first) > 0]] = _START
+    with np.errstate(over="ignore"):
+        return tk.mix(before * _U(0x9E3779B97F4A7C15) + word)
 
 
 def _with_starts(word: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -95,44 +106,60 @@ def _bounds(ranges: int) -> np.ndarray:
 
 
 _ASKED = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("every", pa.binary()), ("target", pa.binary())])
-_SUMS = pa.schema([("chunk", pa.int32()), ("range", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("every", pa.binary()), ("target", pa.binary()), ("different", pa.int64()), ("n_every", pa.int64()), ("n_target", pa.int64())])
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ce_target", pa.float64()), ("ce_background", pa.float64()), ("ce_difference", pa.float64())])
+_SUMS = pa.schema(
+    [("chunk", pa.int32()), ("range", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("every", pa.binary()), ("target", pa.binary())]
+    + [(c, pa.int64()) for c in ("known", "n_every", "n_target", "unknown_every", "unknown_target")]
+)
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64()), ("ce_target", pa.float64()), ("ce_background", pa.float64()), ("ce_difference", pa.float64())])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema) if rows else schema.empty_table()
 
 
-def _ask(ranges: int):
+def _blocks(chunk: int, kind: int, key: np.ndarray, mark: np.ndarray, bounds: np.ndarray) -> list[tuple]:
+    """A row for each range: the chunk's different keys there, how often it has them, and how often in targets."""
+    u, at, n = np.unique(key, return_inverse=True, return_counts=True)
+    t = np.bincount(at[mark], minlength=len(u))
+    edge = np.append(np.searchsorted(u, bounds), len(u))
+    return [
+        (r, chunk, kind, j - i, pack(np.diff(u[i:j], prepend=bounds[r])), pack(n[i:j]), pack(t[i:j]))
+        for r, (i, j) in enumerate(zip(edge, edge[1:], strict=False))
+    ]
+
+
+def _targets(docs: pa.Table, ids: np.ndarray) -> np.ndarray:
+    own = docs["doc_id"].combine_chunks()
+    return np.isin(own.fill_null(0).to_numpy(zero_copy_only=False), ids) & own.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _ask_words(ranges: int):
     bounds = _bounds(ranges)
 
     def run(docs, targets):
-        """The chunk's different keys with its counts, a row for each range and kind."""
+        """The chunk's words, and which of its documents are targets (for itself)."""
         if not docs.num_rows:
             return _ASKED.empty_table()
         chunk = docs["chunk"][0].as_py()
-        word, pair, first = keys(docs["text"])
-        ids = docs["doc_id"].combine_chunks()
-        wanted = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), targets["doc_id"].to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
-        size = np.diff(first)
-        on = np.repeat(wanted, size)
-        rows = []
-        for kind, key, mark in ((_WORDS, _with_starts(word, first), np.append(on, wanted[size > 0])), (_PAIRS, pair, on)):
-            u, at, n = np.unique(key, return_inverse=True, return_counts=True)
-            t = np.bincount(at[mark], minlength=len(u))
-            edge = np.append(np.searchsorted(u, bounds), len(u))
-            for r in range(ranges):
-                i, j = edge[r], edge[r + 1]
-                rows.append((r, chunk, kind, j - i, pack(np.diff(u[i:j], prepend=bounds[r])), pack(n[i:j]), pack(t[i:j])))
-        return pa.table(dict(zip(_ASKED.names, zip(*rows, strict=True), strict=True)), _ASKED)
+        word, first = words(docs["text"])
+        ids = np.unique(targets["doc_id"].to_numpy())
+        wanted, size = _targets(docs, ids), np.diff(first)
+        rows = _blocks(chunk, _WORDS, _with_starts(word, first), np.append(np.repeat(wanted, size), wanted[size > 0]), bounds)
+        return _table([*rows, (chunk % ranges, chunk, _TARGETS, len(ids), ids.astype("<i8").tobytes(), b"", b"")], _ASKED)
 
     return run
 
 
-def _sum(ranges: int):
+def _sum(ranges: int, floor: int):
     bounds = _bounds(ranges)
 
     def run(asked):
-        """For each block of keys the sums over all chunks, in the block's order."""
+        """For each block of keys the sums over all chunks, in the block's order; of words also what the range holds in all."""
         out, rows = [], asked.to_pylist()
         for kind in (_WORDS, _PAIRS):
             blocks = [x for x in rows if x["kind"] == kind]
+            if not blocks:
+                continue
             cut = np.cumsum([0] + [x["n"] for x in blocks])
             with np.errstate(over="ignore"):
                 key = np.concatenate([np.cumsum(unpack(x["keys"], x["n"]), dtype=np.uint64) + bounds[x["range"]] for x in blocks])
@@ -140,55 +167,107 @@ def _sum(ranges: int):
             del key
             # sums of counts below 2**53, exact as floats
             sums = [np.bincount(at, np.concatenate([unpack(x[c], x["n"]) for x in blocks]), len(u)).astype(np.int64) for c in ("every", "target")]
-            told = (None, None, None)
+            told = (None,) * 5
             if kind == _WORDS:
-                real = u != _START
-                told = int(real.sum()), int(sums[0][real].sum()), int(sums[1][real].sum())
+                real, rare = u != _START, (u != _START) & (sums[0] < floor)
+                told = int(real.sum() - rare.sum()), *(int(s[real].sum()) for s in sums), *(int(s[rare].sum()) for s in sums)
             for x, i, j in zip(blocks, cut, cut[1:], strict=False):
                 out.append((x["chunk"], x["range"], kind, x["n"], *(pack(s[at[i:j]]) for s in sums), *told))
-        return pa.table(dict(zip(_SUMS.names, zip(*out, strict=True), strict=True)), _SUMS)
+        out += [(x["chunk"], x["range"], _TARGETS, x["n"], x["keys"], b"", *(None,) * 5) for x in rows if x["kind"] == _TARGETS]
+        return _table(out, _SUMS)
 
     return run
 
 
-def _logs(word, pair, context, n: int, v: int) -> np.ndarray:
-    """log2 of each word's probability, from the counts of words, pairs and the words before."""
-    flat = WORD * word / max(n, 1) + (1 - WORD) / v
+class _Known:
+    """A chunk's documents in words of the vocabulary, with what the first round told."""
+
+    def __init__(self, docs: pa.Table, sums: list[dict], floor: int):
+        word, self.first = words(docs["text"])
+        self.size = np.diff(self.first)
+        heads = sorted((x for x in sums if x["kind"] == _WORDS), key=lambda x: x["range"])
+        self.v = 1 + sum(x["known"] for x in heads)
+        self.n = {c: sum(x[f"n_{c}"] for x in heads) for c in ("every", "target")}
+        every = np.concatenate([unpack(x["every"], x["n"]) for x in heads]).astype(np.int64)
+        target = np.concatenate([unpack(x["target"], x["n"]) for x in heads]).astype(np.int64)
+        u, at = np.unique(_with_starts(word, self.first), return_inverse=True)
+        if len(u) != len(every):
+            raise RuntimeError("documents changed between counting and scoring")
+        rare = (every < floor) & (u != _START)
+        self.word = np.where(rare[at[: len(word)]], _UNKNOWN, word)
+        self.unknown = rare[at[: len(word)]]
+        # the counts of each word and, behind them, of the start
+        self.count = {}
+        for c, table in (("every", every), ("target", target)):
+            table = np.where(rare, sum(x[f"unknown_{c}"] for x in heads), table)
+            self.count[c] = table[at]
+        (ids,) = [x["every"] for x in sums if x["kind"] == _TARGETS]
+        self.wanted = _targets(docs, np.frombuffer(ids, "<i8"))
+        self.doc = np.repeat(np.arange(len(self.size)), self.size)
+
+
+def _ask_pairs(ranges: int, floor: int):
+    bounds = _bounds(ranges)
+
+    def run(docs, sums):
+        if not docs.num_rows:
+            return _ASKED.empty_table()
+        own = _Known(docs, sums.to_pylist(), floor)
+        return _table(_blocks(docs["chunk"][0].as_py(), _PAIRS, pairs(own.word, own.first), own.wanted[own.doc], bounds), _ASKED)
+
+    return run
+
+
+def _logs(word, pair, context, n, v: int) -> np.ndarray:
+    """log2 of each word's probability, from the counts of words, pairs and the words before, of n words in all."""
+    flat = np.where(n > 0, WORD * word / np.maximum(n, 1) + (1 - WORD) / v, 1 / v)
     mix = np.where(context > 0, MIX, 0)
     return np.log2(mix * pair / np.maximum(context, 1) + (1 - mix) * flat)
 
 
-def _score(word_bits: int):
+def _own(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each key stands in its own document."""
+    u, at = np.unique(key, return_inverse=True)
+    _, at, n = np.unique(doc * len(u) + at, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _score(floor: int):
     def run(docs, sums):
         if not docs.num_rows:
             return _SCORES.empty_table()
-        word, pair, first = keys(docs["text"])
-        n, size = np.diff(first), len(word)
-        full = np.flatnonzero(n)
-        starts = _with_starts(word, first)
-        rows = sorted(sums.to_pylist(), key=lambda x: (x["kind"], x["range"]))
-        heads = [x for x in rows if x["kind"] == _WORDS]
-        v = max(1 << word_bits, sum(x["different"] for x in heads))
-        at = [np.unique(k, return_inverse=True) for k in (starts, pair)]
+        rows = sums.to_pylist()
+        k = _Known(docs, rows, floor)
+        n, full = k.size, np.flatnonzero(k.size)
+        pair = pairs(k.word, k.first)
+        u, at = np.unique(pair, return_inverse=True)
+        own_word, own_pair = _own(k.word, k.doc), _own(pair, k.doc)
+        own_context = np.empty_like(own_word)
+        own_context[1:] = own_word[:-1]
+        own_context[k.first[full]] = 1
         means = []
         for c in ("target", "every"):
-            count = []
-            for kind, (u, index) in zip((_WORDS, _PAIRS), at, strict=True):
-                table = np.concatenate([unpack(x[c], x["n"]) for x in rows if x["kind"] == kind]).astype(np.int64)
-                if len(table) != len(u):
-                    raise RuntimeError("documents changed between counting and scoring")
-                count.append(table[index])
-            own, of_pair = count[0][:size], count[1]
-            context = np.empty(size, np.int64)
-            context[1:] = own[:-1]
-            context[first[full]] = count[0][size:]
+            blocks = sorted((x for x in rows if x["kind"] == _PAIRS), key=lambda x: x["range"])
+            table = np.concatenate([unpack(x[c], x["n"]) for x in blocks]).astype(np.int64)
+            if len(table) != len(u):
+                raise RuntimeError("documents changed between counting and scoring")
+            word, of_pair = k.count[c][: len(k.word)], table[at]
+            context = np.empty_like(word)
+            context[1:] = word[:-1]
+            context[k.first[full]] = k.count[c][len(k.word) :]
+            # what the document itself brought to this model is taken out
+            brought = np.ones(len(n), bool) if c == "every" else k.wanted
+            out = brought[k.doc]
+            total = (k.n[c] - np.where(brought, n, 0))[k.doc]
             mean = np.full(len(n), np.nan)
             if len(full):
-                mean[full] = -np.add.reduceat(_logs(own, of_pair, context, sum(x[f"n_{c}"] for x in heads), v), first[full]) / n[full]
+                logs = _logs(word - out * own_word, of_pair - out * own_pair, context - out * own_context, total, k.v)
+                mean[full] = -np.add.reduceat(logs, k.first[full]) / n[full]
             means.append(mean)
         t, a = means
-        own = lambda x: pa.array(x, mask=n == 0)
-        return pa.Table.from_arrays([docs["doc_id"], pa.array(n, pa.int64()), own(t), own(a), own(t - a)], schema=_SCORES)
+        some = lambda x: pa.array(x, mask=n == 0)
+        unknown = np.bincount(k.doc[k.unknown], minlength=len(n))
+        return pa.Table.from_arrays([docs["doc_id"], pa.array(n, pa.int64()), pa.array(unknown, pa.int64()), some(t), some(a), some(t - a)], schema=_SCORES)
 
     return run
 
@@ -198,15 +277,16 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
-def lm_scoring(docs: DataFrame, targets: DataFrame, *, word_bits: int = WORD_BITS, chunks: int | None = None) -> DataFrame:
-    """doc_id, n_tokens, ce_target, ce_background, ce_difference (bits a word); ``targets`` has the doc_id of target documents."""
+def lm_scoring(docs: DataFrame, targets: DataFrame, *, floor: int = FLOOR, chunks: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_unknown, ce_target, ce_background, ce_difference (bits a word); ``targets`` has the doc_id of target documents."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = chunks or groups_for(plain, CHUNK)
     ranges = -(-chunks // WIDE)
     chunk = lambda key: F.pmod(key, F.lit(chunks)).cast("int").alias("chunk")
-    # both readers of the documents ask for the same exchange, so it is made once
-    dealt = plain.select("doc_id", "text", chunk(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))))
+    # all readers of the documents ask for the same exchange, so it is made once
+    dealt = plain.select("doc_id", "text", chunk(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")))).groupBy("chunk")
     ids = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", chunk(F.xxhash64("doc_id")))
-    asked = dealt.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_ask(ranges), _ddl(_ASKED))
-    sums = asked.groupBy("range").applyInArrow(_sum(ranges), _ddl(_SUMS))
-    return dealt.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_score(word_bits), _ddl(_SCORES))
+    summed = lambda asked: asked.groupBy("range").applyInArrow(_sum(ranges, floor), _ddl(_SUMS))
+    of_words = summed(dealt.cogroup(ids.groupBy("chunk")).applyInArrow(_ask_words(ranges), _ddl(_ASKED)))
+    of_pairs = summed(dealt.cogroup(of_words.groupBy("chunk")).applyInArrow(_ask_pairs(ranges, floor), _ddl(_ASKED)))
+    return dealt.cogroup(of_words.unionByName(of_pairs).groupBy("chunk")).applyInArrow(_score(floor), _ddl(_SCORES))
