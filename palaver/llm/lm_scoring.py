@@ -51,7 +51,7 @@ FLOOR = 2
 MIX, WORD = 0.6, 0.9
 SLICE = 2_000_000
 #: Stored bytes of documents in a chunk.
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 #: Chunks for each range of the hash.
 WIDE = 2
 _U = np.uint64
@@ -201,6 +201,7 @@ class _Known:
         for c, table in (("every", every), ("target", target)):
             table = np.where(rare, sum(x[f"unknown_{c}"] for x in heads), table)
             self.count[c] = table[at]
+        del at, u
         (ids,) = [x["every"] for x in sums if x["kind"] == _TARGETS]
         self.wanted = _targets(docs, np.frombuffer(ids, "<i8"))
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
@@ -225,11 +226,15 @@ def _logs(word, pair, context, n, v: int) -> np.ndarray:
     return np.log2(mix * pair / np.maximum(context, 1) + (1 - mix) * flat)
 
 
-def _own(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How often each key stands in its own document."""
-    u, at = np.unique(key, return_inverse=True)
-    _, at, n = np.unique(doc * len(u) + at, return_inverse=True, return_counts=True)
-    return n[at]
+def _own(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often each key stands in its own document, some documents at a time."""
+    out = [np.zeros(0, np.int32)]
+    for i, j in tk.slices(first, 1 << 18):
+        u, at = np.unique(key[first[i] : first[j]], return_inverse=True)
+        doc = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
+        _, at, n = np.unique(doc * len(u) + at, return_inverse=True, return_counts=True)
+        out.append(n[at].astype(np.int32))
+    return np.concatenate(out)
 
 
 def _score(floor: int):
@@ -241,7 +246,8 @@ def _score(floor: int):
         n, full = k.size, np.flatnonzero(k.size)
         pair = pairs(k.word, k.first)
         u, at = np.unique(pair, return_inverse=True)
-        own_word, own_pair = _own(k.word, k.doc), _own(pair, k.doc)
+        at = at.astype(np.int32)
+        own_word, own_pair = _own(k.word, k.first), _own(pair, k.first)
         own_context = np.empty_like(own_word)
         own_context[1:] = own_word[:-1]
         own_context[k.first[full]] = 1
