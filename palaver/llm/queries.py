@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,18 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring(_table(spark, sf_dir, "documents"), good)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can say: host, path and rule of every url."""
+    return op1_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can say: the counts of every document and what the base rules make of them."""
+    from .quality_rules import COUNTS
+
+    return op9_quality_rules(spark, sf_dir).select("doc_id", *COUNTS, "base_failed")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
@@ -83,12 +96,26 @@ QUERIES = {
         op8_packing,
         op9_quality_rules,
         op10_decontamination,
+        url_rules,
+        quality_counts,
     )
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_RULES = " UNION ALL ".join(f"SELECT '{r}' AS rule, '{v}' AS by_rule, '{r.split('/')[0]}' AS h, '/{r.split('/', 1)[1]}' AS p" for v, r in [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")])
+
 ORACLES: dict[str, str] = {
+    "url_rules": f"""WITH u AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ r AS ({_RULES}), f AS (SELECT n, arg_max(rule, len(rule)) AS rule, arg_max(by_rule, len(rule)) AS by_rule FROM h JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY n)
+ SELECT page_id, host, path, rule, by_rule FROM h LEFT JOIN f USING (n)""",
+    "quality_counts": f"""WITH t AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents), d AS (SELECT n, doc_id, text, {_WORDS} AS w FROM t),
+ g AS (SELECT n, i, list_slice(w, i, i + 7) AS k FROM (SELECT n, w, unnest(range(1, len(w) - 6)) AS i FROM d) q),
+ c AS (SELECT n, count(DISTINCT p) AS covered FROM (SELECT n, unnest(range(i, i + 8)) AS p FROM (SELECT n, i, count(*) OVER (PARTITION BY n, k) AS times FROM g) q WHERE times > 1) q GROUP BY n),
+ l AS (SELECT n, count(*) - count(DISTINCT line) AS dup FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM t) q WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY n),
+ x AS (SELECT n, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(covered, 0) AS n_repeat_words FROM d LEFT JOIN l USING (n) LEFT JOIN c USING (n))
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x""",
     "op2_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
  g AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d) q),
  m AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),

@@ -4,31 +4,43 @@ A rule is host and path prefix (``example.com/en/``); it fits its host and all
 subdomains if the url's path starts with its path; the longest rule wins, of
 equal ones the first.  Rules are expressions on the scan, in parts of
 ``RULES_AT_ONCE``.  Other urls are judged by trees that are trained here from
-labelled urls: length, depth, digit ratio, entropy, parameter counts, hyphens,
-and statistics of suffixes and of name parts learnt from the same labels (their
-smoothed share of blocked urls).  Training runs on the driver on at most
-``SAMPLE_ROWS`` labelled urls of least hash.  One pass, no shuffle.
-
-``seed_urls`` makes a labelled set by rule where none is given: hosts of the
-kinds that filters name (gambling, adult, pills, loans, spam, downloads, made-up
-strings of digits) against plain ones, with paths and parameters of either kind
-alike, so that only the host tells.
+labelled urls, a table (url, blocked 0/1): length, depth, digit ratio, entropy,
+parameter counts, hyphens, and statistics of suffixes (zone, last two labels,
+file) and of the path's first part, each the smoothed log odds of being blocked
+among the labelled urls that have it.
+
+Where no table is given the rules label the urls: 1 where a rule blocks, else 0,
+as what no rule names passes today.  The trees then find urls that look like
+those that the rules block, and no names are known to them beforehand.
+
+Hosts fall in ``FOLDS`` parts, and each part is judged by trees that were trained
+on the others, so no url is judged by labels of its own host and what the trees
+say of labelled urls is a held-out figure (``Judges.report``).  The statistics
+that a tree is trained with are also those of other hosts.  A url is blocked
+above the odds at which ``LOST`` of the labelled urls to allow would be, held
+out, and above one half.  Training runs on the driver on a bounded sample of the
+labelled urls, each different one once: at most ``PER_HOST`` of a host, so that
+no host outweighs the others, and ``SAMPLE_ROWS`` in all, those of least hash.
+Judging is one pass without a shuffle.
 
 Cases: a null url or one without ``://`` has empty host and path, no rule, and
-is judged by the trees like any other (no feature speaks against it: allow);
-rows that repeat a page_id are each judged; an empty table gives an empty
-table; other columns are not read.
+nothing to judge by: it is allowed, with odds 0; labels that are null or neither
+0 nor 1 are not used; without labels of both kinds all that no rule names is
+allowed, with odds 0; a url that is labelled both ways counts as both; rows that
+repeat a page_id are each judged; an empty table gives an empty table; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .html_extract import host_of
@@ -36,13 +48,10 @@ from .html_extract import host_of
 #: The query's rules.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 RULES_AT_ONCE = 500
-SAMPLE_ROWS = 50_000
+SAMPLE_ROWS, PER_HOST = 50_000, 64
+LOST = 0.005
 ROUNDS, DEPTH, RATE, BINS, LEAST = 60, 3, 0.2, 32, 8
-#: Words of hosts that url filters block, and of plain hosts.
-BAD_WORDS = "casino bet bets betting poker slots lotto jackpot win winner adult xxx porn sex cams escort dating pills viagra pharma loans payday credit spam farm click clicks traffic warez crack torrent free cheap bonus prize replica".split()
-PLAIN_WORDS = "news journal daily garden kitchen school college library museum science nature travel music sport weather history health books code forum photo city river mountain bridge paper field house market".split()
-SYLLABLES = "th er on in an re at en ou es or ha st nd ti ing tion the ed wh sh ly ea ble".split()
-ZONES = "com net org info co.uk de fr".split()
+FOLDS = 3
 
 
 def path_of(url: Column) -> Column:
@@ -79,82 +88,50 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return best["rule"], best["verdict"]
 
 
-def seed_urls(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
-    """Labelled urls (1: block), half of either kind."""
-    rnd = np.random.Generator(np.random.PCG64(seed))
-    pick = lambda words: words[int(rnd.integers(len(words)))]
-    out = []
-    for i in range(n):
-        bad = i % 2
-        if bad:
-            way = rnd.random()
-            if way < 0.75:
-                name = pick(["-", "-", ""]).join([pick(BAD_WORDS), pick(BAD_WORDS + ["x", "24", "77", "now", "best", "online", "farm"])])
-            else:
-                name = "".join(pick(list("abcdefghijklmnopqrstuvwxyz0123456789")) for _ in range(int(rnd.integers(9, 20)))) + str(int(rnd.integers(10, 999)))
-        elif rnd.random() < 0.5:
-            name = pick(["", "", "-"]).join([pick(PLAIN_WORDS), pick(PLAIN_WORDS)][: int(rnd.integers(1, 3))])
-        else:
-            name = "".join(pick(SYLLABLES) for _ in range(int(rnd.integers(2, 5))))
-        sub = pick(["", "", "www.", "m.", "blog."])
-        zone = pick(ZONES)
-        host = f"{sub}{name}.{pick(['example.', ''])}{zone}"
-        path = "/" + "/".join(pick(["en", "de", "fr", "es", "a", "news", "2024", str(int(rnd.integers(1, 9999)))]) for _ in range(int(rnd.integers(1, 4))))
-        tail = pick(["", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"])
-        out.append((f"{pick(['http', 'https'])}://{host}{path}{tail}", bad))
-    return out
-
-
 def _entropy(s: str) -> float:
     n = len(s)
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-def name_parts(host: str) -> list[str]:
-    """Labels of a host without www and zone, cut at hyphens and digits."""
-    labels = [x for x in host.split(":")[0].split(".") if x and x != "www"]
-    return [p for x in labels[:-1] for p in "".join(c if c.isalpha() else " " for c in x).split()]
+NAMES = (
+    "length host_length path_length depth digit_ratio host_digits host_entropy path_entropy parameters hyphens dots longest_label upper_ratio"
+    " zone_odds domain_odds file_odds part_odds"
+).split()
 
 
-def grams(host: str) -> list[str]:
-    return [g for p in name_parts(host) for g in [p] + [f"^{p}$"[i : i + 4] for i in range(len(p) - 1)]]
+def suffixes(host: str, path: str) -> tuple[str, str, str, str]:
+    """What statistics are kept of: zone, last two labels, file suffix, first part of the path."""
+    labels = host.split(":")[0].split(".")
+    last = path.rsplit("/", 1)[-1]
+    return labels[-1], ".".join(labels[-2:]), last.rsplit(".", 1)[1] if "." in last else "", path.split("/")[1] if path.count("/") > 1 else ""
 
 
-NAMES = "length host_length path_length depth digit_ratio host_digits host_entropy path_entropy parameters hyphens dots longest_label upper_ratio suffix_share part_share part_most".split()
+Odds = list[dict[str, float]]
 
 
-@dataclass
-class Shares:
-    """Smoothed log odds of being blocked, by suffix and by part of a name."""
-
-    suffix: dict[str, float]
-    part: dict[str, float]
-
-    @staticmethod
-    def of(urls: list[str], bad: np.ndarray, least: int = 3) -> Shares:
-        tables = []
-        for take in (lambda h: [h.rsplit(".", 1)[-1]], lambda h: sorted(set(grams(h)))):
-            seen, hit = Counter(), Counter()
-            for u, b in zip(urls, bad, strict=True):
-                for t in take(split_url(u)[0]):
-                    seen[t] += 1
-                    hit[t] += int(b)
-            tables.append({t: math.log((hit[t] + 1) / (n - hit[t] + 1)) for t, n in seen.items() if n >= least})
-        return Shares(*tables)
-
-
-def features(urls: list[str | None], shares: Shares) -> np.ndarray:
+def odds_of(urls: list[str], bad: np.ndarray, least: int = 3) -> Odds:
+    """For each kind of suffix the smoothed log odds of being blocked, against those of all urls."""
+    seen, hit = [Counter() for _ in range(4)], [Counter() for _ in range(4)]
+    for u, b in zip(urls, bad, strict=True):
+        for k, x in enumerate(suffixes(*split_url(u))):
+            seen[k][x] += 1
+            hit[k][x] += int(b)
+    usual = (bad.sum() + 1) / (len(bad) + 2)
+    log = lambda p: math.log(p / (1 - p))
+    return [{x: log((hit[k][x] + usual) / (n + 1)) - log(usual) for x, n in seen[k].items() if n >= least} for k in range(4)]
+
+
+def features(urls: list[str | None], odds: Odds) -> np.ndarray:
     rows = np.zeros((len(urls), len(NAMES)))
     for i, u in enumerate(urls):
         u = u or ""
         host, path = split_url(u)
         query = u.partition("?")[2].partition("#")[0]
         digits = sum(c.isdigit() for c in u)
-        own = [shares.part.get(g, 0.0) for g in grams(host)]
         rows[i] = (
             len(u), len(host), len(path), sum(bool(x) for x in path.split("/")), digits / max(len(u), 1), sum(c.isdigit() for c in host), _entropy(host), _entropy(path),
             query.count("=") + query.count("&"), host.count("-"), host.count("."), max(map(len, host.split("."))), sum(c.isupper() for c in u) / max(len(u), 1),
-            shares.suffix.get(host.rsplit(".", 1)[-1], 0.0), sum(own) / max(len(own), 1), max(own, key=abs, default=0.0),
+            *(table.get(x, 0.0) for table, x in zip(odds, suffixes(host, path), strict=True)),
         )
     return rows
 
@@ -167,7 +144,7 @@ class Trees:
     split: np.ndarray
     value: np.ndarray
     base: float
-    shares: Shares | None = None
+    odds: Odds | None = None
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         out, rows = np.full(len(x), self.base), np.arange(len(x))
@@ -225,45 +202,95 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(np.array(features_), np.array(splits), np.array(values), base)
 
 
-def train(rows: list[tuple[str | None, int]]) -> Trees:
-    """From (url, 1 if blocked); shares are learnt on one half and used on the other, and the other way round."""
+def fold_of(url: str | None, folds: int = FOLDS) -> int:
+    """The part that the url's host falls in."""
+    return zlib.crc32(split_url(url)[0].encode("utf-8", "surrogatepass")) % folds
+
+
+def train(rows: list[tuple[str, int]]) -> Trees | None:
+    """From (url, 1 if blocked); the statistics that a half of the hosts is trained with are those of the other.  None without both kinds."""
     urls, y = [u for u, _ in rows], np.array([b for _, b in rows], float)
+    if len(set(y)) < 2:
+        return None
+    side = np.array([fold_of(u, 2 * FOLDS + 1) % 2 for u in urls])
     x = np.zeros((len(urls), len(NAMES)))
-    order = np.random.Generator(np.random.PCG64(5)).permutation(len(urls))
-    for own, other in ((order[::2], order[1::2]), (order[1::2], order[::2])):
-        x[own] = features([urls[i] for i in own], Shares.of([urls[i] for i in other], y[other]))
+    for own in (0, 1):
+        at, other = np.flatnonzero(side == own), np.flatnonzero(side != own)
+        x[at] = features([urls[i] for i in at], odds_of([urls[i] for i in other], y[other]))
     trees = boost(x, y)
-    trees.shares = Shares.of(urls, y)
+    trees.odds = odds_of(urls, y)
     return trees
 
 
-def train_labelled(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """From a table (url, blocked 0/1): at most ``sample_rows`` rows of least hash."""
-    rows = labelled.where("url is not null and blocked in (0, 1)").orderBy(F.xxhash64("url"), "url", "blocked").limit(sample_rows).select("url", F.col("blocked").cast("int")).collect()
-    return train([tuple(r) for r in rows])
+@dataclass
+class Judges:
+    """For each part of the hosts the trees of the others; and how they fare on labelled urls of hosts that they have not seen."""
+
+    trees: list[Trees | None]
+    threshold: float
+    report: dict[str, float]
+
+    def odds(self, urls: list[str | None]) -> np.ndarray:
+        """The probability that each url is to be blocked."""
+        out, fold = np.zeros(len(urls)), np.array([fold_of(u, len(self.trees)) if split_url(u)[0] else -1 for u in urls], np.int64)
+        for f, trees in enumerate(self.trees):
+            at = np.flatnonzero(fold == f)
+            if trees is not None and len(at):
+                out[at] = 1 / (1 + np.exp(-trees.margin(features([urls[i] for i in at], trees.odds))))
+        return out
+
+
+def train_judges(rows: list[tuple[str, int]], folds: int = FOLDS, lost: float = LOST) -> Judges:
+    fold = np.array([fold_of(u, folds) for u, _ in rows], np.int64)
+    judges = Judges([train([rows[i] for i in np.flatnonzero(fold != f)]) for f in range(folds)], 0.5, {})
+    y, odds = np.array([b for _, b in rows], bool), judges.odds([u for u, _ in rows])
+    if not y.all():
+        allowed = np.sort(odds[~y])
+        judges.threshold = max(0.5, float(allowed[len(allowed) - 1 - int(lost * len(allowed))]))
+    got = odds > judges.threshold
+    share = lambda x: float(x.mean()) if len(x) else math.nan
+    judges.report = {"labelled": len(rows), "hosts": len({split_url(u)[0] for u, _ in rows}), "accuracy": share(got == y), "blocked_caught": share(got[y]), "allowed_blocked": share(got[~y])}
+    return judges
 
 
-def _margins(trees: Trees):
+def label_by_rules(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """(url, blocked): 1 where a rule blocks the url, else 0."""
+    url = F.col("url").cast("string")
+    rows = pages.select(url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path")).where("host <> ''")
+    verdict = rule_of(F.col("host"), F.col("path"), rules)[1]
+    return rows.select("url", F.coalesce((verdict == "block").cast("int"), F.lit(0)).alias("blocked"))
+
+
+def train_labelled(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, per_host: int = PER_HOST) -> Judges:
+    """From a table (url, blocked 0/1): different rows of least hash, at most ``per_host`` of a host and ``sample_rows`` in all."""
+    rows = labelled.where("url is not null and blocked in (0, 1)").select(F.col("url").cast("string").alias("url"), F.col("blocked").cast("int").alias("blocked")).distinct()
+    order = [F.xxhash64("url"), F.col("url"), F.col("blocked")]
+    # the limit of a group is taken before the shuffle too, so no host gathers in a task
+    turn = rows.withColumn("turn", F.row_number().over(Window.partitionBy(host_of(F.col("url"))).orderBy(*order))).where(F.col("turn") <= per_host)
+    return train_judges([tuple(r) for r in turn.orderBy(*order).limit(sample_rows).select("url", "blocked").collect()])
+
+
+def _judged(judges: Judges):
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 own = batch.slice(lo, 4096)
-                margin = trees.margin(features(own.column("url").to_pylist(), trees.shares))
-                margin[[h == "" for h in own.column("host").to_pylist()]] = -np.inf  # nothing to judge by
-                odds = 1 / (1 + np.exp(-margin))
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("page_id", "url", "host", "path", "rule", "verdict")), pa.array(odds)], names=["page_id", "url", "host", "path", "rule", "verdict", "odds"])
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("page_id", "host", "path", "rule", "verdict")), pa.array(judges.odds(own.column("url").to_pylist()))], names=["page_id", "host", "path", "rule", "verdict", "odds"])
 
     return run
 
 
-def url_filter(pages: DataFrame, *, rules: list[tuple[str, str]] = RULES, trees: Trees | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, odds (the trees' probability that the url is to be blocked)."""
-    trees = trees or train(seed_urls())
+def url_filter(pages: DataFrame, *, rules: list[tuple[str, str]] = RULES, labelled: DataFrame | None = None, judges: Judges | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """page_id, host, path, rule, verdict, odds (the trees' probability that the url is to be blocked).
+
+    ``labelled`` is a table (url, blocked 0/1) to train from, by default that of ``label_by_rules``; ``judges`` are trained already.
+    """
+    judges = judges or train_labelled(label_by_rules(pages, rules) if labelled is None else labelled, sample_rows)
     url = F.col("url").cast("string")
     rows = pages.select("page_id", url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
     kind = dict(rows.dtypes)["page_id"]
-    judged = rows.mapInArrow(_margins(trees), f"page_id {kind}, url string, host string, path string, rule string, verdict string, odds double")
-    own = F.when(F.col("odds") > 0.5, "block").otherwise("allow")
+    judged = rows.mapInArrow(_judged(judges), f"page_id {kind}, host string, path string, rule string, verdict string, odds double")
+    own = F.when(F.col("odds") > judges.threshold, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "odds")
