@@ -19,8 +19,8 @@ say of labelled urls is a held-out figure (``Judges.report``).  The statistics
 that a tree is trained with are also those of other hosts.  A url is blocked
 above the odds at which ``LOST`` of the labelled urls to allow would be, held
 out, and above one half.  Training runs on the driver on a bounded sample of the
-labelled urls, each different one once: at most ``PER_HOST`` of a host, so that
-no host outweighs the others, and ``SAMPLE_ROWS`` in all, those of least hash.
+labelled urls, each different one once: ``SAMPLE_ROWS`` chosen by hash, and
+of these at most ``PER_HOST`` of a host, so that no host outweighs the others.
 Judging is one pass without a shuffle.
 
 Cases: a null url or one without ``://`` has empty host and path, no rule, and
@@ -40,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .html_extract import host_of
@@ -262,12 +262,19 @@ def label_by_rules(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> Da
 
 
 def train_labelled(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, per_host: int = PER_HOST) -> Judges:
-    """From a table (url, blocked 0/1): different rows of least hash, at most ``per_host`` of a host and ``sample_rows`` in all."""
-    rows = labelled.where("url is not null and blocked in (0, 1)").select(F.col("url").cast("string").alias("url"), F.col("blocked").cast("int").alias("blocked")).distinct()
-    order = [F.xxhash64("url"), F.col("url"), F.col("blocked")]
-    # the limit of a group is taken before the shuffle too, so no host gathers in a task
-    turn = rows.withColumn("turn", F.row_number().over(Window.partitionBy(host_of(F.col("url"))).orderBy(*order))).where(F.col("turn") <= per_host)
-    return train_judges([tuple(r) for r in turn.orderBy(*order).limit(sample_rows).select("url", "blocked").collect()])
+    """From a table (url, blocked 0/1): the ``sample_rows`` different rows of least hash, and of these at most ``per_host`` of a host."""
+    rows = labelled.where("url is not null and blocked in (0, 1)").select(F.col("url").cast("string").alias("url"), F.col("blocked").cast("int").alias("blocked"))
+    # some times the sample by another hash first, so that no task sends the driver more than a share of that
+    parts = max(1, rows.count() // (4 * sample_rows))
+    rows = rows.where(F.pmod(F.hash("url"), F.lit(parts)) == 0).distinct()
+    seen: Counter[str] = Counter()
+    sample = []
+    for url, blocked in rows.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample_rows).collect():
+        host = split_url(url)[0]
+        seen[host] += 1
+        if seen[host] <= per_host:
+            sample.append((url, blocked))
+    return train_judges(sample)
 
 
 def _judged(judges: Judges):

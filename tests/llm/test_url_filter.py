@@ -36,7 +36,7 @@ def test_rules_and_parts(spark, monkeypatch):
     assert {r.rule for r in op.url_filter(df, rules=[]).collect()} == {None}
 
 
-def made_urls(seed, n=3000):
+def made_urls(seed, n=2000):
     """Labelled urls of several hundred hosts: those to block have long hosts of mixed digits, deep paths and parameters, or a zone of their own."""
     rnd = np.random.Generator(np.random.PCG64(seed))
     letters, digits = list("bcdfglmnprstaeiou"), list("0123456789")
@@ -104,7 +104,7 @@ def test_trees_as_walked():
 def test_labelled_table(spark):
     rows = [*made_urls(3, 900), (None, 1), ("http://a.com", None), ("http://a.com", 7)]
     labelled = spark.createDataFrame(rows * 2, "url string, blocked int")
-    assert op.train_labelled(labelled, 500).report["labelled"] == 500 and op.train_labelled(labelled).report["labelled"] == len(set(rows[:900]))
+    assert 450 < op.train_labelled(labelled, 500).report["labelled"] <= 500 and op.train_labelled(labelled).report["labelled"] == len(set(rows[:900]))
     few = op.train_labelled(labelled, per_host=2).report
     assert few["hosts"] < few["labelled"] <= 2 * few["hosts"]
     pages = spark.createDataFrame([(1, "http://gardens.zip/abc/fed", 5, "x"), (2, "http://garden.de/a/b", 6, None), (3, None, 7, None)], "page_id long, url string, odds int, `a.b` string")
