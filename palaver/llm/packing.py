@@ -4,11 +4,17 @@ Every document is its ids and an end id, cut into pieces of at most ``CAPACITY``
 only where it is longer.  The driver sees the histogram of piece lengths (at
 most CAPACITY numbers, whatever the input's size) and solves the configuration
 linear program on it by multiplicative weights: a knapsack over the capacity
-prices configurations, the best one is taken in a step, and the weight of a
-length falls as its demand is covered, until all demand is.  Steps are rounded down to whole
-sequences that the histogram still holds; what is left is filled best-fit,
-longest first, again whole configurations at a time.  Of the roundings (all
-steps, those that leave no room, none) the one with fewest sequences is taken.
+prices configurations, one within ``SLACK`` of the best is taken in a step, and
+the weight of a length falls as its demand is covered, until all demand is.  One
+knapsack serves several steps: prices only fall, so a configuration of lengths
+that no step has touched since is still as good, and the best is no better.
+
+Steps are rounded down to whole sequences, fullest first; room that they leave
+is filled with the longest pieces that fit, and what the rounding leaves over is
+filled best-fit, longest first, whole configurations at a time.  That is done
+with the steps that leave no room and with all steps, and the way with fewer
+sequences is taken.  The prices also bound every packing from below
+(``Slots.bound``).
 
 A piece's place follows from its length and its rank among pieces of that
 length.  Ranks are counted in each input partition while ids are made and put
@@ -34,33 +40,40 @@ from .cluster import materialise
 from .tokens import SLICE, closed, default_vocabulary, encoder
 
 CAPACITY, END = 2048, 0
-STEP, RATE = 0.25, 1.0
+STEP, RATE, SLACK = 0.25, 1.0, 0.05
+#: Configurations in a row that are not good enough, after which the knapsack is solved anew.
+MISSES = 16
 
 
-def _best(price: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """The unbounded knapsack: counts of the lengths with the greatest price that fit."""
+def _values(price: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The unbounded knapsack: the greatest price that fits into each room up to the capacity."""
     # a length is never taken where a shorter one has its price: only the others are tried
     tried = np.flatnonzero(price > np.maximum.accumulate(np.append(0, price[:-1])))
-    counts = np.zeros(len(lengths), np.int64)
     price, lengths = price[tried], lengths[tried]
-    value, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    value = np.zeros(capacity + 1)
     fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
         k = fit[c]
-        value[c] = value[c - 1]
-        if k:
-            step = price[:k] + value[c - lengths[:k]]
-            i = int(step.argmax())
-            if step[i] > value[c]:
-                value[c], take[c] = step[i], i
-    c = capacity
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
-        else:
-            counts[tried[take[c]]] += 1
-            c -= int(lengths[take[c]])
-    return counts
+        value[c] = max(value[c - 1], (price[:k] + value[c - lengths[:k]]).max()) if k else value[c - 1]
+    return value
+
+
+def _configuration(first: int, price: np.ndarray, value: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
+    """Counts of the lengths with ``first`` among them: each next one has the best price with what can follow it; lengths without price are left out."""
+    counts = np.zeros(len(lengths), np.int64)
+    counts[first] = 1
+    room -= int(lengths[first])
+    while True:
+        k = int(np.searchsorted(lengths, room, side="right"))
+        if not k:
+            return counts
+        worth = np.where(price[:k] > 0, price[:k] + value[room - lengths[:k]], -1)
+        # of equals the longest
+        i = k - 1 - int(worth[::-1].argmax())
+        if worth[i] <= 0:
+            return counts
+        counts[i] += 1
+        room -= int(lengths[i])
 
 
 def _fill(counts: np.ndarray, lengths: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
@@ -79,25 +92,29 @@ def _fill(counts: np.ndarray, lengths: np.ndarray, left: np.ndarray, room: int)
 
 
 def _rounded(plan, weight, lengths, demand, capacity, least) -> list[tuple[int, np.ndarray]]:
-    """Steps of configurations that hold ``least`` ids or more, cut to what is left, fullest first; the rest best-fit."""
+    """Steps that fill ``least`` or more, cut to whole sequences and to what is left, fullest first, its room filled; the rest best-fit."""
     left, out = demand.copy(), []
+
+    def take(counts: np.ndarray, most: int) -> int:
+        counts = _fill(counts, lengths, left, capacity - int((counts * lengths).sum()))
+        on = counts > 0
+        n = min(most, int((left[on] // counts[on]).min()))
+        left[on] -= n * counts[on]
+        out.append((n, counts))
+        return n
+
     for counts, step in sorted(zip(plan, weight, strict=True), key=lambda x: -int((x[0] * lengths).sum())):
         on = counts > 0
         n = min(int(step), int((left[on] // counts[on]).min())) if int((counts * lengths).sum()) >= least else 0
-        if n:
-            left -= n * counts
-            out.append((n, counts))
+        while n:
+            n -= take(counts, n)
     while left.any():
-        counts = _fill(np.zeros(len(lengths), np.int64), lengths, left, capacity)
-        on = counts > 0
-        n = int((left[on] // counts[on]).min())
-        left -= n * counts
-        out.append((n, counts))
+        take(np.zeros(len(lengths), np.int64), int(left.max()))
     return out
 
 
-def program(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[np.ndarray], list[float]]:
-    """Configurations and how many sequences each has, that cover the whole demand.
+def program(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[np.ndarray], list[float], float]:
+    """Configurations and how many sequences each has, that cover the whole demand; and a bound that no packing is below.
 
     A step covers at least STEP of the demand for one length, so there are at
     most 1 / STEP steps a length, however many documents there are.
@@ -105,25 +122,42 @@ def program(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[lis
     covered = np.zeros(len(lengths))
     plan: list[np.ndarray] = []
     weight: list[float] = []
+    bound = 0.0
     while (covered < 1).any():
         price = np.where(covered < 1, lengths / capacity * np.exp(-RATE * covered), 0)
-        counts = _best(price, lengths, capacity)
-        on = counts > 0
-        step = max(1.0, STEP * float((demand[on] / counts[on]).min()))
-        plan.append(counts)
-        weight.append(step)
-        covered += counts * step / demand
-    return plan, weight
-
-
-def configurations(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """(sequences, {length: pieces in each}) that use up the histogram (pieces by length, from 0) exactly."""
+        value = _values(price, lengths, capacity)
+        best = value[capacity]
+        bound = max(bound, float(price @ demand) / best)
+        untouched, misses = price.copy(), 0
+        with_first = price + value[capacity - lengths]
+        for i in np.argsort(-with_first, kind="stable").tolist():
+            if not untouched[i]:
+                continue
+            if with_first[i] < (1 - SLACK) * best or misses == MISSES:
+                break
+            counts = _configuration(i, untouched, value, lengths, capacity)
+            if float(price @ counts) < (1 - SLACK) * best:
+                misses += 1
+                continue
+            misses = 0
+            on = counts > 0
+            step = max(1.0, STEP * float((demand[on] / counts[on]).min()))
+            plan.append(counts)
+            weight.append(step)
+            covered += counts * step / demand
+            untouched[on] = 0
+    return plan, weight, bound
+
+
+def configurations(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[int, dict[int, int]]], int]:
+    """(sequences, {length: pieces in each}) that use up the histogram (pieces by length, from 0) exactly; and the least number that could."""
     lengths = np.flatnonzero(histogram)
     left = histogram[lengths].astype(np.int64)
-    plan, weight = program(lengths, left.astype(float), capacity)
-    ways = [_rounded(plan, weight, lengths, left, capacity, least) for least in (0, capacity, capacity + 1)]
+    plan, weight, bound = program(lengths, left.astype(float), capacity)
+    ways = (_rounded(plan, weight, lengths, left, capacity, least) for least in (capacity, 0))
     out = min(ways, key=lambda way: sum(n for n, _ in way))
-    return [(n, {int(lengths[i]): int(c[i]) for i in np.flatnonzero(c)[::-1]}) for n, c in out]
+    # the bound is that of exact prices; a hair is taken off for their rounding
+    return [(n, {int(lengths[i]): int(c[i]) for i in np.flatnonzero(c)[::-1]}) for n, c in out], int(np.ceil(bound * (1 - 1e-9)))
 
 
 @dataclass
@@ -132,6 +166,7 @@ class Slots:
 
     by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     sequences: int
+    bound: int
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
@@ -145,7 +180,7 @@ class Slots:
         return sequence, offset
 
 
-def slots(plan: list[tuple[int, dict[int, int]]]) -> Slots:
+def slots(plan: list[tuple[int, dict[int, int]]], bound: int = 0) -> Slots:
     by: dict[int, list] = {}
     used: dict[int, int] = {}
     total = 0
@@ -156,7 +191,7 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> Slots:
             used[length] = used.get(length, 0) + n * c
             at += length * c
         total += n
-    return Slots({k: tuple(np.array(v, np.int64).T) for k, v in by.items()}, total)
+    return Slots({k: tuple(np.array(v, np.int64).T) for k, v in by.items()}, total, bound)
 
 
 def _pieces(vocabulary: str, end: int, capacity: int):
@@ -197,7 +232,7 @@ def pack(docs: DataFrame, *, vocabulary: str | None = None, end: int = END, capa
     rows = counts.groupBy("length").agg(F.sum("n").alias("n")).toArrow()
     histogram = np.zeros(capacity + 1, np.int64)
     histogram[rows["length"].to_numpy()] = rows["n"].to_numpy()
-    table = slots(configurations(histogram, capacity))
+    table = slots(*configurations(histogram, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
