@@ -8,9 +8,11 @@ which is the only bounded thing here: every document is counted and judged.
 Trees grow on good rows inside the box of all sampled rows: a node draws a
 feature and a split uniformly in its box, and ends when it holds one good row or
 none, or at ``DEPTH``.  Rows in regions without good rows are isolated after a
-few splits; the mean path length is the score.  The threshold is the score that
-rejects most rows labelled bad while it rejects at most ``LOST`` of those
-labelled good.  A path of that length or less is anomalous.
+few splits; the mean path length is the score.  The threshold is calibrated on
+good rows that grew no tree and on bad ones: it is the length at which the share
+of good rows rejected and the share of bad rows kept are least together.  A path
+of that length or less is anomalous.  Trees on good rows alone are a variant of
+the forest: grown on all rows, bad ones that are many and alike would be normal.
 
 Cases: null text counts as empty (0 words, base rules fail); without labelled
 rows of both kinds only the base rules judge; labels with nulls or other values
@@ -32,7 +34,6 @@ from .cluster import filter_rows
 
 SAMPLE_ROWS = 20_000
 TREES, DRAWN, DEPTH = 128, 512, 10
-LOST = 0.0005
 LEAST_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SLICE = 1_000_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -183,18 +184,24 @@ def grow(good: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7) ->
     return Forest(feature, split, child, path)
 
 
-def fit(x: np.ndarray, quality: np.ndarray, lost: float = LOST) -> Forest | None:
+def calibrated(good: np.ndarray, bad: np.ndarray) -> float:
+    """The path length that separates held-out good rows from bad ones at the least share of good rejected and share of bad kept, together."""
+    good, bad = np.sort(good), np.sort(bad)
+    tried = np.unique(np.append(good, bad))
+    cost = np.searchsorted(good, tried, side="right") / len(good) + 1 - np.searchsorted(bad, tried, side="right") / len(bad)
+    at = int(cost.argmin())
+    if cost[at] >= 1:
+        return -1.0  # none separates them: nothing is rejected
+    return float((tried[at] + tried[at + 1]) / 2) if at + 1 < len(tried) else float(tried[at])
+
+
+def fit(x: np.ndarray, quality: np.ndarray) -> Forest | None:
     """None without rows of both kinds.  Every second good row grows the trees, the others set the threshold."""
     good, bad = x[quality == 1], x[quality == 0]
     if len(good) < 2 or not len(bad):
         return None
     forest = grow(good[::2], x.min(axis=0), x.max(axis=0))
-    held, out = np.sort(forest.paths(good[1::2])), np.sort(forest.paths(bad))
-    allowed = int(lost * len(held))
-    # halfway between the bad rows below and the good row that has to stay
-    edge = held[allowed]
-    below = out[out < edge]
-    forest.threshold = float((edge + below[-1]) / 2) if len(below) else -1.0
+    forest.threshold = calibrated(forest.paths(good[1::2]), forest.paths(bad))
     return forest
 
 

@@ -81,3 +81,19 @@ def test_no_usable_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.kept for r in op.quality_rules(docs, none).collect()] == [False, False]
     assert op.quality_rules(frame(spark, []), none).collect() == []
+
+
+def test_threshold_as_brute_force():
+    rnd = np.random.default_rng(3)
+    for _ in range(50):
+        good, bad = rnd.integers(3, 20, rnd.integers(1, 30)) / 2, rnd.integers(0, 14, rnd.integers(1, 10)) / 2
+        cost = lambda t: (good <= t).mean() + (bad > t).mean()
+        assert abs(cost(op.calibrated(good, bad)) - min(1, *(cost(t) for t in [*good, *bad]))) < 1e-12
+    assert op.calibrated(np.array([5.0, 6]), np.array([7.0])) == -1
+
+
+def test_filter_keeps_columns(spark):
+    rows = [(1, "word " * 30, "x", 1), (2, "a b c d e f g h i j k l m n o p q r s t u v", None, None), (None, None, "y", 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, kept int")
+    kept = op.keep_good(d)
+    assert kept.columns == d.columns and [tuple(r) for r in kept.collect()] == [rows[1]]
