@@ -239,12 +239,13 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
     counted = joined.mapInArrow(_counted, "doc_id long, x array<double>, failed boolean, quality int")
     one = counted.groupBy("doc_id", "quality").agg(F.min(F.struct("x", "failed")).alias("row"))
-    got = one.select("row.x", "row.failed", "quality").orderBy("quality", "x").toArrow()
-    failed = got["failed"].to_numpy(zero_copy_only=False).astype(bool) if got.num_rows else np.zeros(0, bool)
+    got = one.select("row.x", "row.failed", "quality").toArrow()
     if not got.num_rows:
         return None
-    x = np.array(got["x"].to_pylist())[~failed]
-    return fit(x, got["quality"].to_numpy()[~failed])
+    x, quality = np.array(got["x"].to_pylist()), got["quality"].to_numpy()
+    order = np.lexsort((*x.T[::-1], quality))  # the same rows grow the same trees, however they came
+    order = order[~got["failed"].to_numpy(zero_copy_only=False).astype(bool)[order]]
+    return fit(x[order], quality[order])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame | None = None, *, forest: Forest | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
