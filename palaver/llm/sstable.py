@@ -13,13 +13,17 @@ bytes are those of the entry before; a block's first entry shares none.  Ids
 take 2 bytes where the vocabulary allows, else 4.  All numbers else are
 little-endian.
 
-Documents are dealt by ranges of ids; a task streams its range to one file,
-under a name of its own attempt that is renamed when whole, so a lost task or a
-second attempt leaves the same file.  Blocks are the unit of memory.  Only one
-row for each shard comes to the driver.
+Documents are dealt by ranges of ids, rows that repeat an id by ranges of their
+text's hash and of their place in the input, so neither one id nor the null ids
+gather in a task.  A task streams its range to one file, under a name of its own
+attempt that is renamed when whole, so a lost task or a second attempt leaves
+the same file.  Blocks are the unit of memory.  Where a shard's ids stand among
+all ids is read from the footers of the files, of which one row each comes to
+the driver.
 
 Cases: null text is empty (the end id alone); rows that repeat an id are all
-kept, ordered by text; an empty table gives no rows; other columns are not read.
+kept, next to each other; null ids come last; an empty table gives no files and
+no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -42,7 +46,7 @@ from .tokens import SLICE, closed, default_vocabulary, encoder
 
 END = 2
 #: Stored bytes of documents in a shard, more where there would be over MOST_SHARDS, whose rows the driver lists; and bytes of a block.
-SHARD_BYTES, MOST_SHARDS, BLOCK_BYTES = 24 << 20, 200_000, 64 << 10
+SHARD_BYTES, MOST_SHARDS, BLOCK_BYTES = 8 << 20, 200_000, 64 << 10
 BITS, PROBES = 10, 7
 MAGIC = b"PALSST01"
 FOOTER = struct.Struct("<QQQQQQBI8s")  # documents, ids, index at, index bytes, bloom at, bloom bytes, width, crc32 of index, bloom and these, magic
@@ -182,17 +186,47 @@ def filesystem(uri: str):
 @dataclass
 class Shards:
     folder: str
-    table: list[tuple[int, str, int, int]]  # number, name, documents, ids
+    table: list[tuple[str, int, int]]  # name, documents, ids, as the footers say; in ascending order of document ids
 
-    def base(self) -> dict[int, int]:
+    @staticmethod
+    def open(spark: SparkSession, folder: str) -> Shards:
+        """The shards of a folder, by their names and footers."""
+        from pyarrow import fs
+
+        system, root = filesystem(folder)
+        if system.get_file_info(root).type == fs.FileType.NotFound:
+            return Shards(folder, [])
+        names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(".sst") and f.base_name[0] != ".")
+        if not names:
+            return Shards(folder, [])
+        files = spark.createDataFrame([(n,) for n in names], "name string").repartition(min(len(names), 256))
+        rows = files.mapInArrow(_footers(folder), "name string, documents long, ids long").collect()
+        return Shards(folder, sorted(tuple(r) for r in rows))
+
+    def base(self) -> dict[str, int]:
         """Ids in all shards before."""
         out, total = {}, 0
-        for number, _, _, ids in sorted(self.table):
-            out[number] = total
+        for name, _, ids in self.table:
+            out[name] = total
             total += ids
         return out
 
 
+def _footers(folder: str):
+    def run(batches):
+        system, root = filesystem(folder)
+        for batch in batches:
+            names, documents, ids = batch.column(0).to_pylist(), [], []
+            for name in names:
+                with system.open_input_file(f"{root}/{name}") as source:
+                    shard = ShardReader(source, source.size())
+                documents.append(shard.documents)
+                ids.append(shard.ids)
+            yield pa.RecordBatch.from_pydict({"name": names, "documents": pa.array(documents, pa.int64()), "ids": pa.array(ids, pa.int64())})
+
+    return run
+
+
 def _write(folder: str, vocabulary: str, end: int):
     def run(batches):
         task = encoder(vocabulary)
@@ -216,28 +250,30 @@ def _write(folder: str, vocabulary: str, end: int):
             writer.close()
             sink.close()
             system.move(own, f"{root}/{name}")
-            yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int32()), "name": [name], "documents": [len(writer.keys)], "ids": [writer.ids]})
+            yield pa.RecordBatch.from_pydict({"name": [name]})
 
     return run
 
 
 def write_shards(docs: DataFrame, *, folder: str | None = None, vocabulary: str | None = None, end: int = END, shard_bytes: int = SHARD_BYTES) -> Shards:
     """Encodes all documents into shards in ascending order of id."""
-    folder = folder or shared_folder(docs.sparkSession)
+    spark = docs.sparkSession
+    folder = folder or shared_folder(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
     n = min(groups_for(plain, shard_bytes), MOST_SHARDS)
-    sorted_ = plain.repartitionByRange(n, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order)
-    rows = sorted_.mapInArrow(_write(folder, vocabulary or default_vocabulary(), end), "number int, name string, documents long, ids long").collect()
-    return Shards(folder, [tuple(r) for r in rows])
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("place")]
+    placed = plain.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    dealt = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    dealt.mapInArrow(_write(folder, vocabulary or default_vocabulary(), end), "name string").write.format("noop").mode("overwrite").save()
+    return Shards.open(spark, folder)
 
 
-def _scan(folder: str, base: dict[int, int]):
+def _scan(folder: str, base: dict[str, int]):
     def run(batches):
         system, root = filesystem(folder)
         for batch in batches:
-            for number, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path, at = f"{root}/{name}", base[number]
+            for name in batch.column(0).to_pylist():
+                path, at = f"{root}/{name}", base[name]
                 with system.open_input_file(path) as source:
                     shard = ShardReader(source, source.size())
                     for b in range(len(shard.index)):
@@ -253,10 +289,10 @@ def _scan(folder: str, base: dict[int, int]):
     return run
 
 
-def scan_shards(spark, shards: Shards) -> DataFrame:
+def scan_shards(spark: SparkSession, shards: Shards) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of all documents, read from the files."""
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not shards.table:
         return spark.createDataFrame([], kinds)
-    files = spark.createDataFrame([(number, name) for number, name, _, _ in shards.table], "number int, name string")
+    files = spark.createDataFrame([(name,) for name, _, _ in shards.table], "name string")
     return files.repartition(len(shards.table)).mapInArrow(_scan(shards.folder, shards.base()), kinds)

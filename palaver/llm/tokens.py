@@ -1,15 +1,19 @@
-"""Token ids of whole texts, by a tokenizer whose pre-tokenizer never joins words.
+"""Token ids of whole texts.
 
-Equal words get equal ids wherever they stand (the pre-tokenizer cuts at all
-white space and normalisation does not cross it), so each process encodes a
-different word once and keeps its ids in a table of bounded size.
+Where a tokenizer's definition shows that it cuts at all white space and that
+nothing before that reaches across (``cuts_at_space``), equal words get equal ids
+wherever they stand, so each process encodes a different word once and keeps its
+ids in a table of bounded size.  With any other tokenizer texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from itertools import product
 
 import numpy as np
+import regex
 
 from . import textkernel as tk
 
@@ -27,12 +31,50 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: Steps that change characters of a word only, and ones that cut at white space or inside what is cut already.
+_IN_WORDS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+_AT_SPACE, _INSIDE = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}, {"ByteLevel", "Digits", "Punctuation", "Split", "UnicodeScripts"}
+
+
+def _members(step: dict | None, name: str) -> list[dict]:
+    return [] if step is None else step[name] if step["type"] == "Sequence" else [step]
+
+
+def _finds_space(pattern: str) -> bool:
+    """Whether the pattern may match white space, or looks around itself."""
+    if "(?" in pattern or "\\b" in pattern or "^" in pattern.replace("[^", "") or "$" in pattern:
+        return True
+    found = regex.compile(pattern)
+    return any(c in m.group() for a, c, b in product("aZ1'._é漢 ", " \t\n\x0b\x0c\r", "sZ1'._é漢 ") for m in found.finditer(a + c + b))
+
+
+def cuts_at_space(spec: dict) -> bool:
+    """Whether the definition of a tokenizer says that equal words get equal ids wherever they stand."""
+    for step in _members(spec.get("normalizer"), "normalizers"):
+        one_space = step["type"] == "Replace" and step["pattern"] in ({"Regex": "\\s+"}, {"Regex": " +"}) and step["content"] == " "
+        if step["type"] not in _IN_WORDS and not one_space:
+            return False
+    steps = _members(spec.get("pre_tokenizer"), "pretokenizers")
+    if not steps:
+        return False
+    first, *rest = steps
+    words_only = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and "Regex" in first["pattern"] and not _finds_space(first["pattern"]["Regex"])
+    if first["type"] not in _AT_SPACE and not words_only:
+        return False
+    if any(s["type"] not in _INSIDE | _AT_SPACE or s.get("add_prefix_space") for s in rest):
+        return False
+    plain = all(not t["single_word"] and not any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens") or [])
+    return plain and not spec.get("truncation") and not spec.get("padding")
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = cuts_at_space(json.load(f))
         self._clear()
 
     def _clear(self) -> None:
@@ -57,6 +99,10 @@ class Encoder:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and n + 1 bounds."""
+        if not self.by_word:
+            data = raw.tobytes()
+            found = [self.tokenizer.encode(data[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return np.array([i for x in found for i in x], np.uint32), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
         with np.errstate(over="ignore"):
             w = tk.split_words(raw, offsets)
             h = tk.hash_words(w)

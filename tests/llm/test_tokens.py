@@ -1,4 +1,5 @@
 import io
+import os
 import random
 import zlib
 
@@ -69,11 +70,44 @@ def test_shards_in_spark(spark, plain):
     shards = sstable.write_shards(df, shard_bytes=2000)
     assert len(shards.table) > 3
     got = sorted(map(tuple, sstable.scan_shards(spark, shards).collect()), key=lambda r: r[1])
-    want, at = [], 0
-    for d, x in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] is not None, r[1] or ""))):
+    low = lambda d: (d is None, d or 0)
+    assert [low(r[0]) for r in got] == sorted(low(d) for d, _ in rows)
+    assert [r[1] for r in got] == np.cumsum([0] + [r[2] for r in got])[:-1].tolist()
+    want = []
+    for d, x in rows:
         ids = np.array([*plain(x), 2], "<u4")
-        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    assert got == want
+        want.append((low(d), len(ids), zlib.crc32(ids.tobytes())))
+    assert sorted((low(r[0]), *r[2:]) for r in got) == sorted(want)
+    assert sum(n for _, n, _ in shards.table) == len(rows) and sstable.Shards.open(spark, shards.folder) == shards
     empty = sstable.write_shards(df.limit(0))
     assert sstable.scan_shards(spark, empty).collect() == []
+
+
+def test_one_id_in_several_shards(spark):
+    """Rows of one id, even equal ones, do not gather in a task."""
+    df = spark.createDataFrame([(7, "the same words again and again " * 20)] * 400 + [(None, "no id " * 50)] * 400 + [(9, "w")], "doc_id long, text string").repartition(4)
+    shards = sstable.write_shards(df, shard_bytes=3000)
+    assert max(n for _, n, _ in shards.table) < 400 and sum(n for _, n, _ in shards.table) == 801
+    got = sorted(sstable.scan_shards(spark, shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [7] * 400 + [9] + [None] * 400
+
+
+def test_tokenizers_that_join_words():
+    """Definitions that cut at white space are known, and texts are encoded whole by others."""
+    import json
+
+    spec = json.load(open(tokens.default_vocabulary(), encoding="utf-8"))
+    assert tokens.cuts_at_space(spec)
+    cut = lambda **change: tokens.cuts_at_space(spec | change)
+    split = {"type": "Split", "pattern": {"Regex": r" ?\p{L}+|\s+(?!\S)|\s+"}, "behavior": "Isolated", "invert": False}
+    assert cut(pre_tokenizer={"type": "WhitespaceSplit"}) and not cut(pre_tokenizer=None) and not cut(pre_tokenizer=split)
+    assert not cut(pre_tokenizer={"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+    assert not cut(pre_tokenizer=split | {"behavior": "Removed", "invert": True}) and not cut(normalizer={"type": "Prepend", "prepend": "x"})
+    assert not cut(added_tokens=[{"content": "two words", "single_word": False}])
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = os.path.join(os.path.dirname(tokens.default_vocabulary()), name)
+        coder, whole = tokens.Encoder(path), Tokenizer.from_file(path)
+        assert coder.by_word == (name == "word_bpe_49k.json")
+        t = texts()
+        ids, first = coder.encode(*tk.string_buffers(pa.array(t, pa.string())))
+        assert [ids[first[k] : first[k + 1]].tolist() for k in range(len(t))] == [whole.encode(x or "", add_special_tokens=False).ids for x in t]
