@@ -8,16 +8,20 @@ staying is free and a moved byte costs one, gives the bytes that each pair
 exchanges; whole blocks are dealt to fit it, then single blocks move from the
 fullest to the emptiest shard while that narrows the spread.  The table of
 blocks is broadcast (its size is bounded by its rows), documents are dealt once
-to their files, and files of shards that lose or gain are rewritten.
+to their files, one task to a file of about ``FILE_BYTES``, and files of shards
+that lose or gain are rewritten.  Rows of the other shards are given as they are
+read from ``docs``: where that is the old files, these stay in use.
 
 The law is ``bytes``: sizes near equal.  Slots are gapless in each shard: a
 block's first slot is known, so only rows of one block are ranked together.
+Equal texts are not kept together: they lie in different old shards, and to
+bring them together would move bytes that need not move.
 
 Cases: null text is empty (size 16); a null doc_id is placed by its text; rows
 that repeat an id lie in one block, in the order of crc and size; more shards
-than rows leave shards empty; an empty table gives an empty table; other
-columns are carried to the files, names that clash with the plan's are not lost
-but get ``_in`` appended there.
+than rows leave shards empty; an empty table gives an empty table; other columns
+are carried to the files whatever their names; ``shard``, ``slot`` and
+``old_shard`` of the input get ``_in`` appended there, until the name is free.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ import bisect
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import shared_folder
+from .cluster import free_names, shared_folder
 
 OLD, NEW, CELLS = 32, 40, 2048
 OVERHEAD = 16
@@ -135,13 +139,16 @@ def solve(block: np.ndarray, size: np.ndarray, rows: np.ndarray, cells: int, new
     return Plan(block, shard, first, file, size, old, new)
 
 
-def _level(shard: np.ndarray, size: np.ndarray, target: np.ndarray, most: int = 20_000) -> None:
-    """Moves one block at a time from the shard furthest above its target to that furthest below, while that helps."""
+def _level(shard: np.ndarray, size: np.ndarray, target: np.ndarray) -> None:
+    """Moves one block at a time from the shard furthest above its target to that furthest below, while that helps.
+
+    A move lowers the sum of the squares of what shards are off, so moves end.
+    """
     over = np.bincount(shard, weights=size, minlength=len(target)) - target
     own = [[] for _ in target]
     for i in np.argsort(size, kind="stable"):
         own[shard[i]].append((int(size[i]), int(i)))
-    for _ in range(most):
+    while True:
         a, b = int(over.argmax()), int(over.argmin())
         gap = over[a] - over[b]
         k = bisect.bisect_right(own[a], (gap / 2, len(size)))
@@ -156,11 +163,42 @@ def _level(shard: np.ndarray, size: np.ndarray, target: np.ndarray, most: int =
         over[b] += s
 
 
-def _sized(docs: DataFrame, old: Column | None, cells: int) -> DataFrame:
-    """docs with the old shard and the block of each row, and what slots go by."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
-    old = F.pmod(F.xxhash64(key), F.lit(OLD)) if old is None else old
-    return docs.withColumn("__old", old.cast("long")).withColumn("__block", F.col("__old") * cells + F.pmod(F.xxhash64(key, F.lit(11)), F.lit(cells)))
+def _hash_int(x: np.ndarray) -> np.ndarray:
+    """Spark's ``hash`` of int columns (32-bit Murmur3 with its seed 42), by which it deals rows."""
+    u = np.uint32
+    turn = lambda v, n: v << u(n) | v >> u(32 - n)
+    with np.errstate(over="ignore"):
+        h = turn(u(42) ^ turn(x.astype(np.int32).view(u) * u(0xCC9E2D51), 15) * u(0x1B873593), 13) * u(5) + u(0xE6546B64)
+        h ^= u(4)
+        h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+        h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+        return (h ^ h >> u(16)).view(np.int32)
+
+
+def deal_keys(n: int) -> np.ndarray:
+    """For each of n partitions an int that a repartition by it sends there."""
+    out, at = np.zeros(n, np.int32), 0
+    seen = np.zeros(n, bool)
+    while not seen.all():
+        x = np.arange(at, at + 4 * n, dtype=np.int32)
+        to, first = np.unique(_hash_int(x).astype(np.int64) % n, return_index=True)
+        new = ~seen[to]
+        out[to[new]], seen[to[new]] = x[first[new]], True
+        at += 4 * n
+    return out
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+
+
+def _old(old: Column | None) -> Column:
+    """The old shard of each row."""
+    return (F.pmod(F.xxhash64(_key()), F.lit(OLD)) if old is None else old).cast("long")
+
+
+def _block(old: Column, cells: int) -> Column:
+    return old * cells + F.pmod(F.xxhash64(_key(), F.lit(11)), F.lit(cells))
 
 
 def _size() -> Column:
@@ -173,34 +211,46 @@ def _crc() -> Column:
 
 def plan_reshard(docs: DataFrame, *, new: int = NEW, old: Column | None = None, cells: int = CELLS, shares: np.ndarray | None = None) -> Plan:
     """The transfers; at most (old shards) x cells rows come to the driver."""
-    blocks = _sized(docs, old, cells).groupBy("__block").agg(F.sum(_size()).alias("size"), F.count("*").alias("n")).toArrow()
-    cols = [blocks[c].to_numpy().astype(np.int64) for c in ("__block", "size", "n")]
+    blocks = docs.select(_block(_old(old), cells).alias("block"), _size().alias("size")).groupBy("block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).toArrow()
+    cols = [blocks[c].to_numpy().astype(np.int64) for c in ("block", "size", "n")]
     return solve(*cols, cells, new, shares)
 
 
+def _renamed(columns: list[str]) -> list[str]:
+    """The columns without the names that the layout gives; those get _in appended until they are free."""
+    used = {c.lower() for c in columns} | {"shard", "slot", "old_shard"}
+    out = []
+    for c in columns:
+        if c.lower() in ("shard", "slot", "old_shard"):
+            while c.lower() in used:
+                c += "_in"
+            used.add(c.lower())
+        out.append(c)
+    return out
+
+
 def reshard(docs: DataFrame, *, new: int = NEW, old: Column | None = None, cells: int = CELLS, shares: np.ndarray | None = None, path: str | None = None) -> tuple[DataFrame, Plan]:
     """Rewrites the shards that change below ``path`` (folders shard=N) and returns their rows with shard and slot, and the plan."""
     spark = docs.sparkSession
     plan = plan_reshard(docs, new=new, old=old, cells=cells, shares=shares)
-    own = {"shard", "slot", "old_shard"}
-    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in docs.columns if c.lower() in own})
+    carried = _renamed(docs.columns)
     stays = [s for s in range(new) if s not in plan.affected]
+    files, file = np.unique(np.stack([plan.shard, plan.file], axis=1), axis=0, return_inverse=True)
+    deal = deal_keys(max(1, len(files)))
+    p_old, p_block, p_size, p_crc, p_first, p_deal = free_names([*carried, "shard", "slot", "old_shard"], "old", "block", "size", "crc", "first", "deal")
     table = spark.createDataFrame(
-        list(zip(plan.block.tolist(), plan.shard.tolist(), plan.first.tolist(), plan.file.tolist(), strict=True)),
-        "__block long, shard int, __first long, __file int",
+        list(zip(plan.block.tolist(), plan.shard.tolist(), plan.first.tolist(), deal[file.ravel()].tolist(), strict=True)),
+        f"`{p_block}` long, shard int, `{p_first}` long, `{p_deal}` int",
     )
-    placed = _sized(docs, old, cells).withColumns({"__size": _size(), "__crc": _crc()}).join(F.broadcast(table), "__block")
-    dealt = placed.repartition("shard", "__file")
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("shard", "__file", "__block").orderBy("doc_id", "__crc", "__size"))
-    slotted = dealt.withColumn("slot", F.col("__first") + rank - 1).withColumn("old_shard", F.col("__old").cast("int"))
-    out = slotted.drop("__old", "__block", "__first", "__file", "__size", "__crc")
+    # what is computed from the rows comes first, under names that none of them has
+    sized = docs.select(*[F.col(f"`{c}`") for c in docs.columns], _old(old).alias(p_old), _size().alias(p_size), _crc().alias(p_crc), _block(_old(old), cells).alias(p_block))
+    placed = sized.toDF(*carried, p_old, p_size, p_crc, p_block).join(F.broadcast(table), p_block)
+    dealt = placed.repartition(len(deal), p_deal)
+    rank = F.row_number().over(Window.partitionBy(p_deal, p_block).orderBy("doc_id", p_crc, p_size))
+    out = dealt.select(*[F.col(f"`{c}`") for c in carried], (F.col(p_first) + rank - 1).alias("slot"), F.col(p_old).cast("int").alias("old_shard"), "shard")
     path = path or shared_folder(spark)
     out.where(~F.col("shard").isin(stays) if stays else F.lit(True)).write.partitionBy("shard").parquet(path)
-    types = {f.name: f for f in out.schema}
-    schema = type(out.schema)([f for f in out.schema if f.name != "shard"] + [types["shard"]])
-    written = spark.read.schema(schema).parquet(path)
+    written = spark.read.schema(out.schema).parquet(path)
     return (written.unionByName(out.where(F.col("shard").isin(stays))) if stays else written), plan
 
 

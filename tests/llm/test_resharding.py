@@ -67,3 +67,30 @@ def test_edges(spark):
     check(rows, op.digest(op.reshard(df)[0]).collect(), 40)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert op.digest(op.reshard(empty)[0]).collect() == []
+
+
+def test_names_that_clash(spark):
+    """Columns of any name reach the files with their values."""
+    rows = [(i, f"text {i}", i, f"s{i}", i * 2, i * 3, None if i % 2 else "d") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__size` int, shard string, Shard_in int, `block` int, `a.b` string")
+    written, _ = op.reshard(df, new=3)
+    assert written.columns == ["doc_id", "text", "__size", "shard_in_in", "Shard_in", "block", "a.b", "slot", "old_shard", "shard"]
+    assert sorted(tuple(r)[:7] for r in written.collect()) == rows
+    check([r[:2] for r in rows], op.digest(written).collect(), 3)
+
+
+def test_keys_deal_as_spark_does(spark):
+    x = np.array([0, 1, -1, 7, 2**31 - 1, -(2**31), 123456])
+    got = spark.createDataFrame([(int(v),) for v in x], "v int").select(F.hash("v")).collect()
+    assert [r[0] for r in got] == op._hash_int(x).tolist()
+    for n in (1, 2, 40, 211):
+        assert (op._hash_int(op.deal_keys(n)).astype(np.int64) % n == np.arange(n)).all()
+
+
+def test_one_task_for_each_file(spark, monkeypatch):
+    monkeypatch.setattr(op, "FILE_BYTES", 20_000)
+    df = spark.createDataFrame([(i, "z" * 84) for i in range(4000)], "doc_id long, text string")
+    written, plan = op.reshard(df, new=4)
+    n = sum(int(plan.file[plan.shard == s].max()) + 1 for s in range(4))
+    assert n > 10 and len(written.inputFiles()) == n
+    check([(i, "z" * 84) for i in range(4000)], op.digest(written).collect(), 4)
