@@ -6,9 +6,14 @@ and order left out).  Votes are summed per host in Spark and every host's first
 path wins.  Pages are then extracted again from the containers on the winning
 path; a page without it uses its own best.
 
-Votes are pre-aggregated, so a host gives one row for each of its paths; the
-join back is dealt by host and a salt of the page, so a host with a third of all
-pages lies in ``SALT`` parts.
+Votes are pre-aggregated, so a host gives one row for each of its paths.  The
+winners are broadcast where they measure ``BROADCAST_BYTES`` or less, and pages
+stay where they are; else hosts with more than one in ``cluster.HOT`` of all
+pages are broadcast, which are few, and the others are joined by a shuffle.
+
+A page is read once from left to right.  Each element knows whether it is on
+the winning path so far, what it lies in and the nearest list or table part
+above it, so work grows with the page and not with its depth.
 
 A block is the text between two block-level tags; character references are
 decoded, white space inside it is one space, empty blocks go, blocks are joined
@@ -25,15 +30,16 @@ from __future__ import annotations
 
 import html as entities
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import materialise
+from .cluster import join_hot, materialise
 
-SALT = 16
+BROADCAST_BYTES = 32 << 20
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -60,6 +66,9 @@ ENDS = {  # what an opening tag ends, up to the element that holds both
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
+_SCOPES = tuple(dict.fromkeys(ENDS.values()))
+_SCOPE_OF = {tag: _SCOPES.index(way) for tag, way in ENDS.items()}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z]+")
@@ -75,8 +84,12 @@ class Element:
     score: float = 0.0
     chars: int = 0
     linked: int = 0
-    blocks: list = field(default_factory=list)
-    number: int = 0
+    depth: int = 0
+    on: bool = True  # its path is the winning one as far as it goes
+    near: tuple = ()  # for each scope the nearest element, itself included, that ends there or that is ended
+    inside: bool = False
+    dead: bool = False
+    under: bool = False
 
     @property
     def path(self) -> str:
@@ -95,7 +108,7 @@ def _element(tag: str, raw: str, parent: Element | None) -> Element:
             if name in ("class", "id"):
                 words = _WORD.findall(_CAMEL.sub(" ", value).lower())
                 if name == "class":
-                    classes += [re.sub(r"\d+", "", c) for c in value.lower().split()]
+                    classes += [re.sub(r"[\d>]+", "", c) for c in value.lower().split()]
                 if not off and tag not in ("html", "body", "article", "main") and not OFF_WORDS.isdisjoint(words):
                     off = True
             elif name == "role" and value.lower() in OFF_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -106,9 +119,12 @@ def _element(tag: str, raw: str, parent: Element | None) -> Element:
     return Element(tag, step, off, parent)
 
 
-def parse(text: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
-    """Block-level elements in page order, and blocks: (element, text, characters in links)."""
+def parse(text: str, path: str | None = None) -> tuple[list[Element], list[tuple[Element, str, int]]]:
+    """Block-level elements in page order, and blocks: (element, text, characters in links); elements are held against ``path``."""
+    steps = path.split(">") if path else []
     top: Element | None = None
+    open_: Counter[str] = Counter()  # tags from the top to the root
+    endless: set[str] = set()  # tags whose end does not come any more
     everything: list[Element] = []
     blocks: list[tuple[Element, str, int]] = []
     run: list[str] = []
@@ -132,7 +148,13 @@ def parse(text: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
             if link:
                 linked += len(s.strip())
 
-    root = Element("", "", False, None)
+    def close_to(e: Element) -> None:
+        nonlocal top
+        while top is not e:
+            open_[top.tag] -= 1
+            top = top.parent
+
+    root = Element("", "", False, None, depth=1, near=(None,) * len(_SCOPES))
     top = root
     at, size = 0, len(text)
     while at < size:
@@ -148,8 +170,10 @@ def parse(text: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
             continue
         tag = tag.lower()
         if tag in RAW and not closing:
-            if not raw.rstrip().endswith("/"):
+            if not raw.rstrip().endswith("/") and tag not in endless:
                 end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(text, at)
+                if end is None:
+                    endless.add(tag)
                 at = end.end() if end else size if tag in ("script", "style", "textarea", "title", "iframe") else at
             continue
         if tag in BLOCK:
@@ -157,27 +181,31 @@ def parse(text: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
             link, quiet = 0, 0
             inline.clear()
             if closing:
-                e = top
-                while e is not root and e.tag != tag:
-                    e = e.parent
-                if e is not root:
-                    top = e.parent
+                if open_[tag]:
+                    e = top
+                    while e.tag != tag:
+                        e = e.parent
+                    close_to(e.parent)
                 continue
-            e = top
             if tag in ENDS:
                 ends, until = ENDS[tag]
-                while e is not root and e.tag not in until:
-                    if e.tag in ends:
-                        top = e.parent
-                    e = e.parent
+                scope = _SCOPE_OF[tag]
+                e, to = top.near[scope], top
+                while e is not None and e.tag not in until:
+                    to = e.parent
+                    e = to.near[scope]
+                close_to(to)
             else:
-                while e is not root and e.tag == "p":  # a block ends an open paragraph
-                    top = e = e.parent
+                while top.tag == "p":  # a block ends an open paragraph
+                    close_to(top.parent)
             if tag in VOID:
                 continue
             new = _element(tag, raw, top)
-            new.number = len(everything)
+            new.depth = top.depth + 1
+            new.on = top.on and new.depth <= len(steps) and new.step == steps[new.depth - 1]
+            new.near = tuple(new if tag in ends or tag in until else above for (ends, until), above in zip(_SCOPES, top.near, strict=True))
             everything.append(new)
+            open_[tag] += 1
             top = new
             continue
         if tag == "br":
@@ -203,15 +231,15 @@ def parse(text: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
     return everything, blocks
 
 
-def _kept(e: Element, inside: Element) -> bool:
-    """Main text below ``inside``; of a header there, its headings."""
-    heading = False
-    while e is not None and e is not inside:
-        heading |= e.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if e.off or e.tag == "header" and not heading:
-            return False
-        e = e.parent
-    return e is inside
+def _mark(elements: list[Element], chosen: set[Element]) -> None:
+    """Which elements hold main text below one of ``chosen``; of a header there, its headings."""
+    for e in elements:
+        above = e.parent
+        if e in chosen:
+            e.inside = True
+        elif above.inside:
+            e.inside, e.dead = True, above.dead or e.off
+            e.under = e.tag == "header" or e.tag not in HEADINGS and above.under
 
 
 def best_container(elements: list[Element], blocks) -> Element | None:
@@ -221,7 +249,7 @@ def best_container(elements: list[Element], blocks) -> Element | None:
             continue
         value = 1 + own.count(",") + min(len(own) / 100, 3)
         p, share = e, 1.0
-        if e.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "td", "dd", "dt"):
+        if e.tag in HEADINGS or e.tag in ("p", "pre", "blockquote", "li", "td", "dd", "dt"):
             p = e.parent
         while p is not None and p.tag and share > 0.1:
             p.score += value * share
@@ -244,22 +272,16 @@ def best_container(elements: list[Element], blocks) -> Element | None:
 
 def extract(text: str, path: str | None = None) -> str:
     """Main text from the containers on ``path``; without such, from the page's own best."""
-    elements, blocks = parse(text)
-    on = [e for e in elements if not e.off and e.path == path] if path else []
+    elements, blocks = parse(text, path)
+    goal = path.count(">") + 1 if path else 0
+    on = [e for e in elements if e.on and e.depth == goal and not e.off] if path else []
     if not on:
         own = best_container(elements, blocks)
         if own is None:  # text without containers
             return "\n".join(b for e, b, _ in blocks if e.tag == "")
         on = [own]
-    chosen = set(on)
-    out = []
-    for e, own, _ in blocks:
-        inside = e
-        while inside is not None and inside not in chosen:
-            inside = inside.parent
-        if inside is not None and _kept(e, inside):
-            out.append(own)
-    return "\n".join(out)
+    _mark(elements, set(on))
+    return "\n".join(own for e, own, _ in blocks if e.inside and not e.dead and not e.under)
 
 
 def vote(text: str) -> tuple[str, float] | None:
@@ -280,14 +302,12 @@ def _texts(column) -> list[str]:
 
 
 def _vote(batches):
+    """Each page's host, and the path and score of its best container; nulls where it has none."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             own = batch.slice(lo, 256)
-            found = [vote(x) for x in _texts(own.column(1))]
-            keep = [i for i, v in enumerate(found) if v]
-            yield pa.RecordBatch.from_arrays(
-                [own.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i][0] for i in keep], pa.string()), pa.array([found[i][1] for i in keep], pa.float64())], names=["host", "path", "score"]
-            )
+            found = [vote(x) or (None, None) for x in _texts(own.column(1))]
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([p for p, _ in found], pa.string()), pa.array([v for _, v in found], pa.float64())], names=["host", "path", "score"])
 
 
 def _again(batches):
@@ -301,19 +321,23 @@ def _again(batches):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path, score, pages: the winning path of each host."""
+    """host, path, score, votes, pages: the winning path of each host (null where no page of it has a container), and how many pages it has."""
     ballots = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_vote, "host string, path string, score double")
     # scores as whole hundredths, so that sums do not depend on their order
-    votes = ballots.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 100).cast("long")).alias("score"), F.count("*").alias("pages"))
-    first = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), F.desc("pages"), "path"))
-    return votes.withColumn("place", first).where("place = 1").drop("place")
+    votes = ballots.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 100).cast("long")).alias("score"), F.count("*").alias("votes"))
+    # the first of (score, votes, path), as the least of a struct: one row for each path of a host comes together in part sums
+    best = F.min_by(F.struct("path", "score", "votes"), F.struct((-F.coalesce("score", F.lit(-1))).alias("s"), (-F.col("votes")).alias("n"), "path"))
+    return votes.groupBy("host").agg(best.alias("best"), F.sum("votes").alias("pages")).select("host", "best.*", "pages")
 
 
 def html_extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, path (that of the host, if any page of it had a container)."""
-    winners = materialise(host_paths(pages).select("host", "path"))
-    salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    dealt = rows.withColumns({"host": host_of(F.col("url")), "salt": F.pmod(F.xxhash64("page_id", "html"), F.lit(SALT)).cast("int")})
+    winners = materialise(host_paths(pages).select("host", "path", "pages"))
+    size, total = winners.agg(F.sum(F.octet_length("host") + F.coalesce(F.octet_length("path"), F.lit(0)) + 32), F.sum("pages")).first()
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
+    if (size or 0) <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(winners), "host", "left")
+    else:
+        joined = join_hot(rows, winners, "host", F.col("pages"), int(total), "left")
     kind = dict(rows.dtypes)["page_id"]
-    return dealt.join(salted.hint("merge"), ["host", "salt"], "left").select("page_id", "url", "html", "path").mapInArrow(_again, f"page_id {kind}, url string, text string, n_chars long, path string")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(_again, f"page_id {kind}, url string, text string, n_chars long, path string")
