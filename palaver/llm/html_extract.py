@@ -68,6 +68,7 @@ ENDS = {  # what an opening tag ends, up to the element that holds both
 }
 _SCOPES = tuple(dict.fromkeys(ENDS.values()))
 _SCOPE_OF = {tag: _SCOPES.index(way) for tag, way in ENDS.items()}
+_SCOPED = frozenset(tag for ends, until in _SCOPES for tag in ends | until)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -203,7 +204,7 @@ def parse(text: str, path: str | None = None) -> tuple[list[Element], list[tuple
             new = _element(tag, raw, top)
             new.depth = top.depth + 1
             new.on = top.on and new.depth <= len(steps) and new.step == steps[new.depth - 1]
-            new.near = tuple(new if tag in ends or tag in until else above for (ends, until), above in zip(_SCOPES, top.near, strict=True))
+            new.near = tuple(new if tag in ends or tag in until else above for (ends, until), above in zip(_SCOPES, top.near, strict=True)) if tag in _SCOPED else top.near
             everything.append(new)
             open_[tag] += 1
             top = new
