@@ -8,14 +8,18 @@ through buckets form a candidate component; inside one every pair is verified on
 the full sets, in blocks, by counting common 5-grams.  Pairs are counted, not
 written, so that a group of g near copies makes g rows and not g * g.
 
-Components above ``BLOCK`` nodes are cut into chunks, and each pair of chunks is
-a unit of its own; links that cross chunks are put together by a last
-components step.
+Components above ``BLOCK`` nodes or ``BLOCK_BYTES`` of text are cut into chunks,
+and each pair of chunks is a unit of its own; links that cross chunks are put
+together by a last components step.  Keys that may hold a large share of the
+rows (a bucket, a star's centre, a class, a set with many copies) are met by
+``cluster.join_hot``: their rows stay where they are.
 
 Cases: words are those of the text as it is; 1 to 4 words make one gram of them
 all; null text or no word: no gram, a class of its own without links; rows that
 repeat a doc_id are nodes by their text; a null doc_id stays null and is never a
-class's id unless all ids of the class are null; other columns are not read.
+class's id unless all ids of the class are null; an empty table gives an empty
+table; other columns, whatever their names, are not read, and ``keep_one`` keeps
+them.
 """
 
 from __future__ import annotations
@@ -26,18 +30,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from . import textkernel as tk
-from .cluster import materialise
+from .cluster import free_names, join_hot, materialise, release
 from .components import components
 
 GRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MOST = 128
-BLOCK = 1024
-#: Nodes of small components that are verified together.
-UNIT_NODES = 1000
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Nodes and bytes of text of small components that are verified together.
+UNIT_NODES, UNIT_BYTES = 1000, 4 << 20
 SLICE = 1_000_000
 _U = np.uint64
 
@@ -129,8 +134,8 @@ def _signatures(gram, bands, rows):
                 at = np.zeros(j - i + 1, np.int32)
                 at[1:] = np.cumsum(np.where(count > 0, bands, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(node, mask=count == 0), pa.ListArray.from_arrays(pa.array(at), pa.array(sketch.ravel()))],
-                    names=["doc_id", "node", "bands"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), pa.array(node, mask=count == 0), pa.ListArray.from_arrays(pa.array(at), pa.array(sketch.ravel()))],
+                    names=["doc_id", "at", "size", "node", "bands"],
                 )
 
     return run
@@ -208,58 +213,55 @@ def ngram_jaccard_join(docs: DataFrame, *, gram: int = GRAM, threshold: float =
     counts the other sets at or above the threshold.
     """
     bands, rows = banding(threshold, recall, most)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(plain.mapInArrow(_signatures(gram, bands, rows), "doc_id long, node long, bands array<long>"))
+    # a text is found again by its id, or by its hash where it has none
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("at", F.coalesce("doc_id", F.xxhash64("text")))
+    signed = materialise(plain.select("doc_id", "text", "at").mapInArrow(_signatures(gram, bands, rows), "doc_id long, at long, size long, node long, bands array<long>"))
     full = signed.where("node is not null")
-    nodes = full.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    nodes = full.groupBy("node").agg(F.first("bands").alias("bands"))
     at = materialise(nodes.select("node", F.explode("bands").alias("b")))
-    buckets = at.groupBy("b").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("b", "least")
-    links = at.join(buckets, "b").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    buckets = at.groupBy("b").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("held")).where("least < most").select("b", "least", "held")
+    links = join_hot(at, materialise(buckets), "b", F.col("held"), at.count()).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     # a node has a link for each band at most; one to the least of its neighbours, and those to each other, join the same
     links = links.withColumn("m", F.min("v").over(Window.partitionBy("u")))
     links = links.select("u", F.col("m").alias("v")).union(links.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
     candidate = components(links).withColumnRenamed("label", "comp")
-    sizes = candidate.groupBy("comp").agg(F.count("*").alias("n"))
-    heads = full.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"))
-    placed = materialise(candidate.join(sizes, "comp").join(heads, "node"))
-    total = placed.count()
-    units = max(1, total // UNIT_NODES)
-    chunks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    member = placed.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
+    release(at)
+    heads = full.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), F.min(F.struct("at", "size")).alias("text"))
+    member = materialise(candidate.join(heads, "node").select("node", "comp", "text.at", "text.size"))
+    sizes = materialise(member.groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
+    total, total_bytes = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    units = max(1, total // UNIT_NODES, total_bytes // UNIT_BYTES)
+    chunks = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
+    # no component has more chunks than nodes
+    placed = join_hot(member, sizes, "comp", F.col("n"), total).withColumn("chunks", F.least(chunks, F.col("n").cast("int")))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = (
-        member.select("*", other.alias("with"))
+        placed.select("*", other.alias("with"))
         .withColumns({"low": F.least("chunk", "with"), "high": F.greatest("chunk", "with")})
         .withColumn("unit", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("comp"), F.lit(units))).otherwise(F.xxhash64("comp", "low", "high")))
     )
-    none = F.lit(-(1 << 63))
     # the texts that are needed first, once each; then to their units
-    texts = (
-        plain.withColumn("at", F.coalesce("doc_id", none))
-        .join(placed.select(F.coalesce("copy_of", none).alias("at"), "node").hint("merge"), "at")
-        .select("node", "text")
-    )
+    texts = plain.join(member.select("at", "node").hint("merge"), "at").select("node", "text")
     blocks = dealt.select("node", "comp", "low", "high", "chunk", "unit").join(texts, "node").repartition("unit")
     verified = materialise(blocks.groupBy("unit").applyInArrow(_verify(gram, threshold), "node long, root long, links long"))
     per_node = verified.groupBy("node").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
-    if not sizes.where(F.col("n") > block).isEmpty():
+    if not sizes.where((F.col("n") > block) | (F.col("bytes") > BLOCK_BYTES)).isEmpty():
         whole = components(verified.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
         per_node = per_node.drop("root").join(whole.withColumnRenamed("label", "root"), "node", "left")
     per_node = per_node.select("node", "n_links", F.coalesce("root", "node").alias("root"))
-    facts = (
-        heads.join(per_node, "node", "left")
+    facts = materialise(
+        heads.drop("text")
+        .join(per_node, "node", "left")
         .select("node", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("root"))
     )
-    classes = facts.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    facts = materialise(facts.join(classes, "root").drop("root"))
-    own = F.when(F.col("node").isNull(), F.col("doc_id"))
-    return signed.select("doc_id", "node").join(facts, "node", "left").select(
-        "doc_id",
-        F.coalesce("class_id", own).alias("class_id"),
-        F.coalesce("copy_of", own).alias("copy_of"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+    classes = materialise(facts.groupBy("root").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("nodes")))
+    known = materialise(join_hot(facts, classes, "root", F.col("nodes"), facts.count()).drop("root", "nodes"))
+    release(facts, classes, member, sizes, verified)
+    out = ["doc_id", "class_id", "copy_of", "n_copies", "n_links"]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), one.alias("n_copies"), none.alias("n_links"))
+    return join_hot(full.select("doc_id", "node"), known, "node", F.col("n_copies"), signed.count()).select(*out).unionByName(alone)
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
@@ -269,8 +271,9 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     rows that repeat the least id, one for each different text stays.
     """
     found = ngram_jaccard_join(docs, **settings)
-    keep = materialise(found.where("doc_id = class_id").select(F.col("doc_id").alias("__keep")).distinct())
-    alone = docs.where("doc_id is null")
-    one = docs.join(keep.hint("merge"), docs.doc_id == keep["__keep"], "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text"))
-    return one.withColumn("__turn", turn).where("__turn = 1").drop("__turn").union(alone)
+    keep, turn = free_names(docs.columns, "keep", "turn")
+    kept = materialise(found.where("doc_id = class_id").select(F.col("doc_id").alias(keep)).distinct())
+    one = docs.where("doc_id is not null").join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col(keep), "left_semi")
+    order = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order))
+    return one.withColumn(turn, first).where(F.col(turn) == 1).drop(turn).union(docs.where("doc_id is null"))

@@ -2,11 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from brute import ngram_join as model
 
-from palaver.llm import ngram_join as op
+from palaver.llm import cluster, ngram_join as op
 
-KEY = lambda r: tuple((x is None, x or 0) for x in r)
+KEY = lambda r: tuple((x is None, str(x or 0)) for x in r)
 
 
 def check(spark, rows, **more):
@@ -64,3 +65,26 @@ def test_recall_of_linked_pairs():
         x = op.band_hashes(g, f, bands, rows)
         missed += not (x[0] == x[1]).any()
     assert missed <= 1
+
+
+def test_hot_keys_as_brute_force(spark, monkeypatch):
+    """One set with many copies, one large group of near copies, many documents without words and without ids; blocks by bytes."""
+    monkeypatch.setattr(cluster, "HOT", 6)
+    monkeypatch.setattr(op, "BLOCK_BYTES", 4000)
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(500)}" for _ in range(120)]
+    rows = [(i, "one text that many hold, word for word") for i in range(60)]
+    rows += [(100 + i, near(rnd, base, rnd.choice([0, 1, 2, 3]))) for i in range(60)]
+    rows += [(200 + i, rnd.choice([None, "", " "])) for i in range(40)]
+    rows += [(300 + i, near(rnd, base, 100)) for i in range(20)] + [(None, near(rnd, base, 1)) for _ in range(10)] + [(None, None)] * 5
+    check(spark, rows)
+
+
+def test_keep_one(spark):
+    t = " ".join(f"a{i}" for i in range(60))
+    rows = [(5, t, 1, "x"), (3, t + " z", 2, None), (3, t + " z", 2, None), (4, "other words here", 3, "y"), (None, t, 4, "n"), (6, None, 5, None), (7, "", 6, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, turn int, `a.b` string").withColumnRenamed("turn", "__turn").withColumn("keep", F.lit(1))
+    kept = op.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted([tuple(r)[:4] for r in kept.collect()], key=KEY) == sorted([rows[1], rows[3], rows[4], rows[5], rows[6]], key=KEY)
+    assert op.keep_one(df.limit(0)).collect() == []
