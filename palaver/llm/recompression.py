@@ -6,9 +6,11 @@ the right class.  Names and classes are fixed 64-bit functions of the symbols,
 so they are the same in all documents, on all executors and in every attempt,
 without a dictionary that grows with the corpus.
 
-Beside its words [a, b) a symbol keeps its context [lo, hi): the words that
-determined it.  Wherever those words occur again, the same symbol stands, so
-any repeated passage that spans a symbol's context holds that symbol.
+Beside its words [a, b) a symbol of the first rounds keeps its context [lo, hi):
+the words that determined it.  Wherever those words occur again, the same symbol
+stands, so any repeated passage that spans a symbol's context holds that symbol.
+Later rounds go on without contexts: their symbols stand for long passages, and
+two that have one name stand for the same words.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ import numpy as np
 
 from .textkernel import expand, mix
 
+#: A later round's symbol is kept where its span in words first reaches one of these.
+SPANS = np.array([32, 128, 512, 2048])
+
 _U = np.uint64
 _RUN, _PAIR, _SIDE = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)
 
@@ -63,19 +68,28 @@ def name_runs(x: Level) -> Level:
     return _spread(x, begin - 1, end, begin, end, name)
 
 
-def name_pairs(x: Level, turn: int) -> Level:
-    n = len(x.name)
-    if n == 0:
-        return x
-    right = (mix(x.name + _U((int(_SIDE) * (turn + 1)) % (1 << 64))) & _U(1)).astype(bool)
+def _pairs(name: np.ndarray, doc: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the round's symbols where each begins, which are pairs, their names, and which symbols are of the right class."""
+    n = len(name)
+    right = (mix(name + _U((int(_SIDE) * (turn + 1)) % (1 << 64))) & _U(1)).astype(bool)
     joined = np.zeros(n, bool)  # with the next
-    joined[:-1] = ~right[:-1] & right[1:] & (x.doc[1:] == x.doc[:-1])
+    joined[:-1] = ~right[:-1] & right[1:] & (doc[1:] == doc[:-1])
     follows = np.zeros(n, bool)
     follows[1:] = joined[:-1]
     begin = np.flatnonzero(~follows)
     pair = joined[begin]
+    new = name[begin]
+    at = begin[pair]
+    new[pair] = mix(name[at] * _PAIR + mix(name[at + 1] + _U(turn)))
+    return begin, pair, new, right
+
+
+def name_pairs(x: Level, turn: int) -> Level:
+    n = len(x.name)
+    if n == 0:
+        return x
+    begin, pair, name, right = _pairs(x.name, x.doc, turn)
     end = begin + 1 + pair
-    name = np.where(pair, mix(x.name[begin] * _PAIR + mix(x.name[end - 1] + _U(turn))), x.name[begin])
     lone_right = right[begin] & ~pair
     lo_at = np.where(lone_right, begin - 1, begin)
     hi_at = np.where(~right[begin] & ~pair, end, end - 1)
@@ -89,6 +103,36 @@ def rounds(h: np.ndarray, first: np.ndarray, n: int) -> list[Level]:
     return levels
 
 
+def long_symbols(x: Level, turn: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, a, b) of the symbols of level x and of rounds ``turn`` to ``most`` whose span first reaches one of SPANS."""
+    reach = lambda a, b: np.searchsorted(SPANS, b - a, side="right")
+    name, a, b, doc = x.name, x.a, x.b, x.doc
+    on = reach(a, b) > 0
+    out = [(name[on], a[on], b[on])]
+
+    def merge(begin: np.ndarray, end: np.ndarray, new: np.ndarray) -> None:
+        nonlocal name, a, b, doc
+        many = np.flatnonzero(end - begin > 1)
+        i, j = begin[many], end[many] - 1
+        span = reach(a[i], b[j])
+        first = many[span > np.maximum(reach(a[i], b[i]), reach(a[j], b[j]))]
+        out.append((new[first], a[begin[first]], b[end[first] - 1]))
+        name, a, b, doc = new, a[begin], b[end - 1], doc[begin]
+
+    for k in range(turn, most):
+        if not (doc[1:] == doc[:-1]).any():
+            break
+        same = (name[1:] == name[:-1]) & (doc[1:] == doc[:-1])
+        if same.any():
+            begin = np.flatnonzero(np.append(True, ~same))
+            end = np.append(begin[1:], len(name))
+            length = end - begin
+            merge(begin, end, np.where(length > 1, mix(name[begin] * _RUN + length.astype(np.uint64)), name[begin]))
+        begin, pair, new, _ = _pairs(name, doc, k)
+        merge(begin, begin + 1 + pair, new)
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
 def anchors(levels: list[Level], first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window of words its anchor, fixed by the window's words alone.
 
