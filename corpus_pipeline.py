@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm.cluster import materialise
+from palaver.llm.cluster import materialise, release
 from palaver.llm.decontamination import keep_clean
 from palaver.llm.ngram_join import keep_one
 from palaver.llm.packing import pack
@@ -52,9 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows.  Each stage's table is deleted when the next is written; the last stage keeps what it needs itself."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs)
+        if last is not None:
+            release(last)
+        last = docs
     return docs

@@ -76,3 +76,13 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_columns_of_any_name_pass_all_stages(spark, folder):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumnsRenamed({"lang": "a.b", "source": "__turn"}).selectExpr("*", "1 AS keep", "array(doc_id) AS `rest`", "map('k', doc_id) AS node")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        docs = out
+    assert docs.count() > 40 and all(r["rest"] == [r.doc_id] and r["node"] == {"k": r.doc_id} for r in docs.where("doc_id is not null").collect())
