@@ -65,10 +65,15 @@ def prim_fault(payload, token) -> Column:
 
 
 def wallclock(ticks, tick_hz, epoch=None) -> Column:
-    """Timestamp of a tick count, microseconds rounded down."""
+    """Timestamp of a tick count, microseconds rounded down; exact for all 64-bit ticks and rates."""
     start = F.coalesce(_c(epoch), F.lit(0)) if epoch is not None else F.lit(0)
-    total = (start.cast("decimal(20,0)") + _c(ticks)).cast("decimal(28,0)") * F.lit(1_000_000).cast("decimal(7,0)")
-    return F.timestamp_micros(F.floor(total.cast("decimal(38,6)") / _c(tick_hz).cast("decimal(20,0)")).cast("bigint"))
+    wide = lambda x: x.cast("decimal(38,0)")
+    total, hz = wide(start) + wide(_c(ticks)), wide(_c(tick_hz))
+    # whole numbers only: a quotient of decimals is rounded before it could be rounded down
+    rest = F.pmod(total, hz)
+    seconds = F.call_function("div", total - rest, hz)
+    micros = F.call_function("div", wide(rest) * F.lit(1_000_000), hz)
+    return F.timestamp_micros(seconds * 1_000_000 + micros)
 
 
 def unix_seconds(when: int | datetime) -> int:
@@ -143,13 +148,30 @@ class ContentRegistry:
             raise ValueError("a decoder's name and a token are needed")
         self._dec[decoder, token] = handler
 
-    def content(self, payload, label, decoder_name=None) -> Column:
-        """String content: primitives as numbers, handlers' results, null where no handler is known."""
+    def _found(self, payload, label, decoder_name=None) -> Column:
         p, s, v = _c(payload), scheme(label), value(label)
-        out = F.when((s == "prim") & (v != "bytes"), decode_prim(p, v).cast("string"))
+        out = F.when((s == "prim") & (v != "bytes"), F.encode(decode_prim(p, v).cast("string"), "utf-8"))
         for media, handler in self._mime.items():
-            out = out.when((s == "mime") & (media_type(v) == media), handler(p).cast("string"))
+            out = out.when((s == "mime") & (media_type(v) == media), F.encode(handler(p).cast("string"), "utf-8"))
         if decoder_name is not None:
             for (name, token), handler in self._dec.items():
-                out = out.when((s == "dec") & (_c(decoder_name) == name) & (v == token), handler(p).cast("string"))
-        return out
+                out = out.when((s == "dec") & (_c(decoder_name) == name) & (v == token), F.encode(handler(p).cast("string"), "utf-8"))
+        # a label that asks for the bytes has them
+        return out.when((s == "prim") & (v == "bytes"), p)
+
+    def content(self, payload, label, decoder_name=None, *, strict: bool = False) -> Column:
+        """What a payload is by its label, as bytes: a primitive's number or a handler's string in UTF-8, else the payload itself.
+
+        With ``strict`` the job fails where neither the label's primitive nor a handler can say.
+        """
+        p = _c(payload)
+        found = self._found(p, label, decoder_name)
+        if not strict:
+            return F.coalesce(found, p)
+        why = F.concat(F.lit("no reading of "), F.coalesce(_c(label), F.lit("a payload without label")), F.coalesce(F.concat(F.lit(": "), F.when(scheme(label) == "prim", prim_fault(p, value(label)))), F.lit("")))
+        return F.when(found.isNull() & p.isNotNull(), F.raise_error(why).cast("binary")).otherwise(found)
+
+    def text(self, payload, label, decoder_name=None) -> Column:
+        """String content: primitives as numbers, handlers' results, null where neither says and for bytes."""
+        s, v = scheme(label), value(label)
+        return F.when((s == "prim") & (v == "bytes"), F.lit(None).cast("string")).otherwise(F.decode(self._found(payload, label, decoder_name), "utf-8"))

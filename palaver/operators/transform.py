@@ -99,15 +99,81 @@ def rewrite(records: DataFrame, discontinuities: DataFrame, facts: DataFrame, *,
     }
 
 
+#: What a decoder's units become: a row for each span of a record, for each range that it marks, and for each break.
+_UNITS = (
+    "path string, session_id bigint, pid int, unit bigint, position bigint, kind string, payload binary, ts bigint, content_type string, flags int, seq_start bigint, ack bigint,"
+    " width bigint, reason string, source_id int, in_session_id bigint, in_pid int, off_start bigint, off_end bigint"
+)
+_NAMES = [x.split()[0] for x in _UNITS.split(", ")]
+_KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _spans(cites, own: tuple[int, int, int]) -> list[tuple]:
+    """Spans (source_id, in_session_id, in_pid, off_start, off_end) of a pair of offsets, a span, or a sequence of either.
+
+    A pair is a range of the unit's own stream; a span is a dict and may name another.
+    """
+    if cites is None:
+        return []
+    if isinstance(cites, dict):
+        return [(int(cites["source_id"]), int(cites["in_session_id"]), int(cites["in_pid"]), int(cites["off_start"]), int(cites["off_end"]))]
+    if isinstance(cites, tuple) and len(cites) == 2 and all(isinstance(x, int) for x in cites):
+        return [(*own, *cites)]
+    return [span for one in cites for span in _spans(tuple(one) if isinstance(one, list) else one, own)]
+
+
+def _run_decoder(decoder, key: tuple, units: list[dict], source_id: int) -> list[dict]:
+    """The rows of one stream; a record that cites nothing is refused."""
+    path, session, pid = key
+    own, out, position, emitted = (source_id, session, pid), [], 0, False
+
+    def add(unit: int, kind: str, **values) -> None:
+        out.append({"path": path, "session_id": session, "pid": pid, "unit": unit, "position": position, "kind": kind, **values})
+
+    for i, u in enumerate(decoder(units)):
+        if "discontinuity" in u:
+            position += 1
+            add(i, "break", **{k: u["discontinuity"].get(k) for k in ("width", "reason")})
+        if u.get("payload") is not None:
+            spans = _spans(u.get("cites"), own)
+            if not spans:
+                raise ValueError(f"session {session}, pid {pid}: a decoded record has to cite the input that it was made from")
+            # a first record has no seam before it
+            if u.get("seam") is not None and emitted:
+                position += 1
+                add(i, "break", **{k: u["seam"].get(k) for k in ("width", "reason")})
+            emitted = True
+            position += 1
+            hints = u.get("hints") or {}
+            record = {"payload": u["payload"], "ts": u["ts"], "content_type": u.get("content_type"), "flags": int(u.get("flags") or 0), "seq_start": hints.get("seq_start"), "ack": hints.get("ack")}
+            for span in spans:
+                add(i, "record", **record, **dict(zip(_NAMES[-5:], span, strict=True)))
+        elif u.get("cites") is not None or u.get("seam") is not None:
+            raise ValueError(f"session {session}, pid {pid}: a unit without payload cites nothing and has no seam")
+        for start, end, reason in u.get("undecoded", ()):
+            add(i, "mark", reason=reason, **dict(zip(_NAMES[-5:], (*own, start, end), strict=True)))
+    return out
+
+
 def decode_stage(records: DataFrame, discontinuities: DataFrame, facts: DataFrame, decoder: Callable[[list[dict]], list[dict]], *, source_id: int = 0) -> dict[str, DataFrame]:
     """Runs a decoder over each input stream and accounts for all of its bytes.
 
     The decoder gets a stream's units in order (dicts with data, off_start,
     off_end, ts; segments where the stream has hints, else datagrams) and returns
-    dicts with payload, ts, cites (pairs of offsets), and if wanted content_type
-    and undecoded (triples start, end, reason; with payload None nothing else).
+    dicts, each with any of
+
+    payload, ts, cites    a record.  cites is a pair of offsets, a span (a dict that
+                          may name another stream), or a sequence of either; a
+                          record without any is refused.  Beside it content_type,
+                          flags, hints (seq_start, ack; of a transport layer) and
+                          seam (width, reason; a break before this record, unless
+                          it is the stream's first)
+    discontinuity         a break of the output (width, reason) at this place
+    undecoded             triples (start, end, reason) that the decoder declines
+
     What it neither cites nor marks is filled in; what it does both with fails.
-    One stream is a task's group: its size is the unit of memory.
+    ``position`` orders records and breaks of a stream.  One stream is a task's
+    group: its size is the unit of memory.
     """
     chunked = cut(chunks(records, facts))
     ranges = offsets.record_ranges(records, discontinuities, facts)
@@ -115,32 +181,41 @@ def decode_stage(records: DataFrame, discontinuities: DataFrame, facts: DataFram
     input_units = chunked.where("kind = 'segment'").select(*STREAM, "off_start", "off_end", "ts", "data", F.col("off_start").alias("block_seq")).unionByName(packets)
 
     def run(key, table):
-        path, session, pid = (k.as_py() for k in key)
         units = table.sort_by([("block_seq", "ascending")]).select(["off_start", "off_end", "ts", "data"]).to_pylist()
-        out = []
-        for i, u in enumerate(decoder(units)):
-            for start, end in u.get("cites", ()):
-                out.append((path, session, pid, i, u["payload"], u["ts"], u.get("content_type"), start, end, None))
-            for start, end, reason in u.get("undecoded", ()):
-                out.append((path, session, pid, i, None, None, None, start, end, reason))
-        names = ["path", "session_id", "pid", "unit", "payload", "ts", "content_type", "off_start", "off_end", "reason"]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
-
-    kinds = "path string, session_id bigint, pid int, unit bigint, payload binary, ts bigint, content_type string, off_start bigint, off_end bigint, reason string"
+        rows = _run_decoder(decoder, tuple(k.as_py() for k in key), units, source_id)
+        return pa.table({n: pa.array([r.get(n) for r in rows], _KINDS[x.split()[1]]) for n, x in zip(_NAMES, _UNITS.split(", "), strict=True)})
+
     lean = input_units.withColumn("session_id", F.col("session_id").cast("bigint"))
-    made = cut(lean.groupBy(*STREAM).applyInArrow(run, kinds))  # the decoder runs once
-    cited, marked = made.where("payload is not null"), made.where("reason is not null")
-    twice = intervals.intersect(cited.select(*STREAM, "off_start", "off_end"), marked.select(*STREAM, "off_start", "off_end"), STREAM)
-    both = cited.select(*STREAM, "off_start", "off_end").unionByName(marked.select(*STREAM, "off_start", "off_end"))
+    made = cut(lean.groupBy(*STREAM).applyInArrow(run, _UNITS))  # the decoder runs once
+    # what is covered is counted by input stream, whichever output stream cites it
+    of_input = [F.col("path"), F.col("in_session_id").alias("session_id"), F.col("in_pid").alias("pid"), "off_start", "off_end"]
+    cited, marked = (made.where((F.col("kind") == k) & (F.col("source_id") == source_id) & (F.col("off_start") < F.col("off_end"))) for k in ("record", "mark"))
+    twice = intervals.intersect(cited.select(*of_input), marked.select(*of_input), STREAM).limit(1).collect()
+    if twice:
+        x = twice[0]
+        raise ValueError(f"session {x.session_id}, pid {x.pid}: [{x.off_start}, {x.off_end}) is both decoded and marked undecoded")
+    both = cited.select(*of_input).unionByName(marked.select(*of_input))
     extents = input_extent(chunked, ranges, facts)
     gaps = chunked.where("kind = 'gap'").select(*STREAM, "off_start", "off_end")
     filled = fill(both, gaps, extents.select(*STREAM, F.col("extent").cast("bigint").alias("extent")))
-    span = cite(source_id, F.col("session_id"), F.col("pid"), F.col("off_start"), F.col("off_end"))
-    out = cited.groupBy(*STREAM, "unit").agg(F.first("payload").alias("payload"), F.first("ts").alias("ts"), F.first("content_type").alias("content_type"), F.sort_array(F.collect_list(span)).alias("spans"))
+    span = F.struct(*_NAMES[-5:])
+    values = [F.first(c).alias(c) for c in ("position", "payload", "ts", "content_type", "flags", "seq_start", "ack")]
+    out = made.where("kind = 'record'").groupBy(*STREAM, "unit").agg(*values, F.sort_array(F.collect_list(span)).alias("spans"))
     return {
         "records": out,
-        "undecoded": marked.select(*STREAM, "off_start", "off_end", "reason").unionByName(filled.select(*STREAM, "off_start", "off_end", "reason")),
+        "discontinuities": made.where("kind = 'break'").select(*STREAM, "unit", "position", "width", "reason"),
+        "undecoded": made.where("kind = 'mark'").select(*of_input, "reason").unionByName(filled.select(*STREAM, "off_start", "off_end", "reason")),
         "extents": extents,
-        "conflicts": twice,
     }
+
+
+def linearize(records: DataFrame, participants: DataFrame | None = None) -> DataFrame:
+    """records of sessions that were written side by side, each side in its own order, with block_seq in causal order.
+
+    A session that no causal order can be given fails the job.  Breaks stand
+    between records of one side and are not moved, so sessions with breaks are
+    not for this.
+    """
+    ranked = causal_merge(records, participants)
+    place = F.row_number().over(Window.partitionBy("path").orderBy("session_id", "merge_rank")).cast("bigint")
+    return ranked.withColumn("block_seq", place).drop("merge_rank")

@@ -259,12 +259,40 @@ def test_decode_stage_accounts_for_all(spark, tmp_path):
     def halves(units):
         return [{"payload": u["data"][:4], "ts": u["ts"], "cites": [(u["off_start"], u["off_start"] + 4)], "undecoded": [(u["off_start"] + 4, u["off_start"] + 6, "undecodable")]} for u in units]
 
-    out = transform.decode_stage(t["records"], t["discontinuities"], facts, halves)
-    assert out["conflicts"].isEmpty()
+    stage = lambda decoder: transform.decode_stage(t["records"], t["discontinuities"], facts, decoder)
+    out = stage(halves)
     assert {(u.off_start, u.off_end, u.reason) for u in out["undecoded"].collect()} == {(4, 6, "undecodable"), (53, 55, "undecodable"), (6, 10, "skipped"), (10, 49, "gap"), (55, 59, "skipped")}
     assert [r.spans[0].off_start for r in out["records"].orderBy("unit").collect()] == [0, 49]
-    clash = transform.decode_stage(t["records"], t["discontinuities"], facts, lambda us: [{"payload": b"", "ts": 0, "cites": [(0, 5)], "undecoded": [(4, 6, "skipped")]}])
-    assert [(c.off_start, c.off_end) for c in clash["conflicts"].collect()] == [(4, 5)]
+    # what is cited and marked, a record that cites nothing, and a unit that cites without payload fail
+    with pytest.raises(ValueError, match=r"\[4, 5\) is both"):
+        stage(lambda us: [{"payload": b"", "ts": 0, "cites": [(0, 5)], "undecoded": [(4, 6, "skipped")]}])
+    for lost in ({"payload": b"x", "ts": 0}, {"payload": b"x", "ts": 0, "cites": []}, {"cites": (0, 5)}, {"seam": {}, "undecoded": [(0, 1, "skipped")]}):
+        with pytest.raises(Exception, match="cite"):
+            stage(lambda us, lost=lost: [{"payload": b"", "ts": 0, "cites": (0, 5)}, lost])["records"].collect()
+
+
+def test_decoders_seams_hints_and_spans(spark, tmp_path):
+    t = container.tables(container.load(spark, put(tmp_path, "raw", raw_file(((1001, 10), (1050, 10))))))
+    facts = offsets.stream_facts(t["participants"], t["records"], t["decoders"], t["sources"])
+    sid = t["sessions"].first().session_id
+
+    def units(us):
+        a, b = us
+        own = {"source_id": 0, "in_session_id": int(sid), "in_pid": 0}
+        return [
+            {"payload": b"one", "ts": 1, "cites": (0, 3), "seam": {"reason": "never before a first"}, "flags": 4},
+            {"payload": b"two", "ts": 2, "cites": [(3, 5), {**own, "off_start": 6, "off_end": 7}, [8, 9]], "hints": {"seq_start": 77, "ack": 5}},
+            {"discontinuity": {"width": 9, "reason": "lost"}},
+            {"payload": b"three", "ts": 3, "cites": {**own, "off_start": 49, "off_end": 59}, "seam": {"width": None, "reason": "hole"}, "content_type": "dec:x"},
+            {"payload": b"far", "ts": 4, "cites": {"source_id": 5, "in_session_id": 1, "in_pid": 2, "off_start": 0, "off_end": 99}},
+        ]
+
+    out = transform.decode_stage(t["records"], t["discontinuities"], facts, units)
+    rec = out["records"].orderBy("position").collect()
+    assert [(r.position, bytes(r.payload), r.flags, r.seq_start, r.ack, r.content_type) for r in rec] == [(1, b"one", 4, None, None, None), (2, b"two", 0, 77, 5, None), (5, b"three", 0, None, None, "dec:x"), (6, b"far", 0, None, None, None)]
+    assert [[(s.off_start, s.off_end) for s in r.spans] for r in rec] == [[(0, 3)], [(3, 5), (6, 7), (8, 9)], [(49, 59)], [(0, 99)]]
+    assert [(b.position, b.width, b.reason) for b in out["discontinuities"].orderBy("position").collect()] == [(3, 9, "lost"), (4, None, "hole")]
+    assert {(u.off_start, u.off_end, u.reason) for u in out["undecoded"].collect()} == {(5, 6, "skipped"), (7, 8, "skipped"), (9, 10, "skipped"), (10, 49, "gap")}
 
 
 def test_self_input(spark, tmp_path):

@@ -225,12 +225,21 @@ def test_content(spark):
     for bad in (lambda: reg.register_mime("a/b; c=d", None), lambda: reg.register_mime("", None), lambda: reg.register_dec("", "t", None)):
         with pytest.raises(ValueError):
             bad()
-    got = df.select(content.scheme("label").alias("s"), content.value("label").alias("v"), reg.content("payload", "label", F.lit("d")).alias("c"), content.prim_fault("payload", content.value("label")).alias("f")).collect()
+    got = df.select(content.scheme("label").alias("s"), content.value("label").alias("v"), reg.text("payload", "label", F.lit("d")).alias("c"), content.prim_fault("payload", content.value("label")).alias("f")).collect()
     assert [r.c for r in got] == ["1234", "-1", None, str(2**64 - 1), str(-(2**63)), "-128", None, None, "1", "7A", None, None]
     assert [(r.s, r.v) for r in got][8:] == [("mime", " Application/JSON; q=1"), ("dec", "t:1"), ("", "plain"), (None, None)]
     assert [r.f is None for r in got][:8] == [True, True, False, True, True, True, True, False]
-    clock = spark.createDataFrame([(0, 1000, None), (-1, 1000, None), (1, 3, 7), (10**18, 10**9, None)], "t bigint, hz bigint, e bigint").select(F.unix_micros(content.wallclock("t", "hz", "e"))).collect()
-    assert [r[0] for r in clock] == [0, -1000, 8 * 10**6 // 3, 10**15]
+    times = [(0, 1000, None), (-1, 1000, None), (1, 3, 7), (10**18, 10**9, None), (54, 2**32, None), (-54, 2**32, 3), (-(10**9) - 1, 3, None), (7, 2**62 + 1, -9)]
+    # ticks whose remainder comes within a hair of the next microsecond
+    times += [(t, 2**32, 0) for t in range(2**20, 2**20 + 200000, 4001)] + [(54370672, 2**32, None)]
+    clock = spark.createDataFrame(times, "t bigint, hz bigint, e bigint").select(F.unix_micros(content.wallclock("t", "hz", "e"))).collect()
+    assert [r[0] for r in clock] == [(t + (e or 0)) * 10**6 // hz for t, hz, e in times]
+    read = df.select("payload", reg.content("payload", "label", F.lit("d")).alias("c"), reg.text("payload", "label", F.lit("d")).alias("t")).collect()
+    assert all(r.c == (r.t.encode() if r.t is not None else r.payload) for r in read)
+    sure = df.where("label in ('prim:u32', 'prim:bytes')").where("octet_length(payload) = 4")
+    assert sure.count() and all(r.c is not None for r in sure.select(reg.content("payload", "label", strict=True).alias("c")).collect())
+    with pytest.raises(Exception, match="no reading of"):
+        df.select(reg.content("payload", "label", strict=True)).collect()
     assert spark.range(1).select(content.digest(F.lit(b"abc"), "blake2b")).first()[0].startswith("blake2b:ba80a5")
     assert [bytes(r[0]) for r in spark.createDataFrame([(b"",), (b"a",), (b"abcd",)], "b binary").select(content.padded("b")).collect()] == [b"", b"a\0\0\0", b"abcd"]
     n = spark.createDataFrame([(-1,), (0,), (2**32,)], "n bigint").select(content.in_range("n", "u32"), content.in_range("n", "i64")).collect()
