@@ -7,7 +7,7 @@ coalesced intervals, so overlapping citations report a stretch once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CAPTURE, FILE_INPUT, STREAM
@@ -46,20 +46,52 @@ def _range(start: str, end: str) -> Column:
     return F.format_string("[%d, %d)", F.col(start).cast("bigint"), F.col(end).cast("bigint"))
 
 
+def _said(category: str, offset: Column, message: Column) -> Column:
+    return F.struct(*_finding(category, offset, message))
+
+
+def _told(rows: DataFrame, keys: list[str], findings: list[tuple[Column, Column]]) -> DataFrame:
+    """One row for each finding whose condition holds; a row may have several."""
+    said = F.filter(F.array(*[F.when(holds, finding) for holds, finding in findings]), lambda x: x.isNotNull())
+    return rows.select(*keys, F.inline(said))
+
+
+def _gap(start: Column, end: Column) -> Column:
+    what = F.concat(F.format_string("[%d, %d)", start.cast("bigint"), end.cast("bigint")), F.lit(" is neither cited nor undecoded"))
+    return _said("coverage-gap", start, what)
+
+
 def check_extents(records: DataFrame, undecoded: DataFrame, sources: DataFrame, session_ends: DataFrame) -> DataFrame:
-    """What a file says of its own coverage: disagreeing extents, interior gaps of cited streams, extents beyond or below the reach."""
+    """What a file says of its own coverage: disagreeing extents, interior gaps of cited streams, extents beyond or below the reach.
+
+    Covered ranges and declared extents of an input stream come together once, in
+    order of place, and one pass over them tells all.
+    """
     covered = ledger(records, undecoded, sources)
-    reach = covered.groupBy(*INPUT).agg(F.max("off_end").alias("reach"), F.max(F.col("cited").cast("int")).alias("cited"))
-    said = declared(session_ends).groupBy(*INPUT).agg(F.count_distinct("extent").alias("n"), F.min("extent").alias("extent"))
-    both = reach.join(said, INPUT, "full").withColumns({"reach": F.coalesce("reach", F.lit(0)), "cited": F.coalesce("cited", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
-    disagree = both.where("n > 1").select(*INPUT, *_finding("extents-disagree", F.lit(0), F.lit("sessions declare different lengths for one input stream")))
-    agreed = both.where("n <= 1")
-    asked = agreed.where("cited = 1").select(*INPUT, F.col("reach").alias("extent"))
-    gaps = intervals.complement(covered.join(asked.select(*INPUT), INPUT, "left_semi"), asked, INPUT)
-    gaps = gaps.select(*INPUT, *_finding("coverage-gap", F.col("off_start"), F.concat(_range("off_start", "off_end"), F.lit(" is neither cited nor undecoded"))))
-    beyond = agreed.where("extent > reach").select(*INPUT, *_finding("extent-exceeds-coverage", F.col("reach"), F.format_string("extent %d is declared, [0, %d) is accounted for", "extent", "reach")))
-    below = agreed.where("extent < reach").select(*INPUT, *_finding("extent-below-coverage", F.col("extent"), F.format_string("extent %d is declared, citations reach %d", "extent", "reach")))
-    return disagree.unionByName(gaps).unionByName(beyond).unionByName(below)
+    none = F.lit(None).cast("bigint")
+    rows = covered.select(*INPUT, "off_start", "off_end", "cited", none.alias("extent"))
+    rows = rows.unionByName(declared(session_ends).select(*INPUT, none.alias("off_start"), none.alias("off_end"), F.lit(None).cast("boolean").alias("cited"), "extent"))
+    order = Window.partitionBy(*INPUT).orderBy("off_start", "off_end")
+    whole = Window.partitionBy(*INPUT)
+    seen = rows.select(
+        *INPUT, "off_start",
+        F.coalesce(F.max("off_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("so_far"),
+        F.row_number().over(order).alias("nth"),
+        F.coalesce(F.max("off_end").over(whole), F.lit(0)).alias("reach"),
+        F.coalesce(F.max("cited").over(whole), F.lit(False)).alias("cited"),
+        F.min("extent").over(whole).alias("extent"), F.max("extent").over(whole).alias("most"),
+    )
+    agreed, first = ~F.coalesce(F.col("extent") != F.col("most"), F.lit(False)), F.col("nth") == 1
+    return _told(
+        seen,
+        INPUT,
+        [
+            (first & ~agreed, _said("extents-disagree", F.lit(0), F.lit("sessions declare different lengths for one input stream"))),
+            (agreed & F.col("cited") & (F.col("off_start") > F.col("so_far")), _gap(F.col("so_far"), F.col("off_start"))),
+            (first & agreed & (F.col("extent") > F.col("reach")), _said("extent-exceeds-coverage", F.col("reach"), F.format_string("extent %d is declared, [0, %d) is accounted for", "extent", "reach"))),
+            (first & agreed & (F.col("extent") < F.col("reach")), _said("extent-below-coverage", F.col("extent"), F.format_string("extent %d is declared, citations reach %d", "extent", "reach"))),
+        ],
+    )
 
 
 def input_source(sources: DataFrame, raw_digest: str | None = None) -> DataFrame:
@@ -78,23 +110,36 @@ def check_coverage(records: DataFrame, undecoded: DataFrame, session_ends: DataF
     pid, extent).
     """
     key = ["path", *RAW]
-    raw = raw_extents.select(F.col("session_id").cast("bigint").alias("in_session_id"), F.col("pid").alias("in_pid"), F.col("extent").cast("bigint").alias("extent"))
+    number = lambda *c: [F.col(x).cast("bigint").alias(x) for x in c]
     cited = spans(records).join(source, ["path", "source_id"], "left_semi").select(*key, "off_start", "off_end")
-    marked = undecoded.join(source, ["path", "source_id"], "left_semi").where("off_start < off_end").select(*key, *[F.col(c).cast("bigint").alias(c) for c in ("off_start", "off_end")])
-    both = cited.unionByName(marked)
-    streams = _of_each(source, raw)
-    known = streams.select(*key, "extent").unionByName(both.select(*key).distinct().join(streams.select(*key), key, "left_anti").withColumn("extent", F.lit(0).cast("bigint")))
-    overlap = intervals.intersect(cited, marked, key).select(*key, *_finding("coverage-overlap", F.col("off_start"), F.concat(_range("off_start", "off_end"), F.lit(" is both cited and undecoded"))))
-    gap = intervals.complement(both, known, key).select(*key, *_finding("coverage-gap", F.col("off_start"), F.concat(_range("off_start", "off_end"), F.lit(" is neither cited nor undecoded"))))
-    excess = both.join(known, key).where("off_end > extent").select(*key, *_finding("coverage-excess", F.col("off_start"), F.concat(_range("off_start", "off_end"), F.lit(" reaches past the stream"))))
-    said = declared(session_ends).join(source, ["path", "source_id"], "left_semi").select(*key, F.col("extent").alias("said")).distinct()
-    differs = said.join(streams.select(*key, "extent"), key).where("said <> extent").select(*key, *_finding("extent-mismatch", F.col("said"), F.format_string("extent %d is declared, the input has %d", "said", "extent")))
-    return overlap.unionByName(gap).unionByName(excess).unionByName(differs)
-
-
-def _of_each(source: DataFrame, raw: DataFrame) -> DataFrame:
-    """The input's streams for each file that cites it: an equi-join, as there is one input."""
-    return source.select("path").distinct().withColumn("__one", F.lit(1)).join(raw.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    marked = undecoded.join(source, ["path", "source_id"], "left_semi").where("off_start < off_end").select("path", *number(*RAW, "off_start", "off_end"))
+    # the input's streams stand for each file that cites it: a row with the files' paths goes to them
+    citing = source.agg(F.collect_set("path").alias("paths"))
+    raw = raw_extents.select(F.col("session_id").cast("bigint").alias("in_session_id"), F.col("pid").cast("bigint").alias("in_pid"), F.col("extent").cast("bigint").alias("known"))
+    streams = raw.crossJoin(F.broadcast(citing)).select(F.explode("paths").alias("path"), *RAW, "known")
+    told = declared(session_ends).join(source, ["path", "source_id"], "left_semi").select("path", *number(*RAW), F.col("extent").alias("said")).distinct()
+    rows = cited.unionByName(marked).unionByName(streams, allowMissingColumns=True).unionByName(told, allowMissingColumns=True)
+    order = Window.partitionBy(*key).orderBy("off_start", "off_end")
+    whole = Window.partitionBy(*key)
+    seen = rows.select(
+        *key, "off_start", "off_end", "said",
+        F.coalesce(F.max("off_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("so_far"),
+        F.row_number().over(order).alias("nth"),
+        F.coalesce(F.max("off_end").over(whole), F.lit(0)).alias("reach"),
+        F.max("known").over(whole).alias("known"),
+    ).withColumn("extent", F.coalesce("known", F.lit(0)))
+    alone = _told(
+        seen,
+        key,
+        [
+            ((F.col("off_start") > F.col("so_far")) & (F.col("so_far") < F.col("extent")), _gap(F.col("so_far"), F.least("off_start", "extent"))),
+            ((F.col("nth") == 1) & (F.col("reach") < F.col("extent")), _gap(F.col("reach"), F.col("extent"))),
+            (F.col("off_end") > F.col("extent"), _said("coverage-excess", F.col("off_start"), F.concat(_range("off_start", "off_end"), F.lit(" reaches past the stream")))),
+            (F.col("said") != F.col("known"), _said("extent-mismatch", F.col("said"), F.format_string("extent %d is declared, the input has %d", "said", "known"))),
+        ],
+    )
+    overlap = intervals.intersect(cited, marked, key)
+    return alone.unionByName(overlap.select(*key, *_finding("coverage-overlap", F.col("off_start"), F.concat(_range("off_start", "off_end"), F.lit(" is both cited and undecoded")))))
 
 
 def check_splice(records: DataFrame, source: DataFrame, raw_breaks: DataFrame) -> DataFrame:
@@ -105,7 +150,8 @@ def check_splice(records: DataFrame, source: DataFrame, raw_breaks: DataFrame) -
     key = ["path", "block_seq", "session_id", "sender_pid", *RAW]
     wide = spans(records).join(source, ["path", "source_id"], "left_semi").groupBy(*key).agg(F.min("off_start").alias("low"), F.max("off_end").alias("high"))
     breaks = raw_breaks.select(F.col("session_id").cast("bigint").alias("in_session_id"), F.col("pid").alias("in_pid"), F.col("off_start").alias("position"), "width")
-    crossed = wide.join(breaks, RAW).where("low < position and high > position + width")
+    places = breaks.withColumn("after", F.col("position") + 1)
+    crossed = intervals.overlapping(wide, places, RAW, ("low", "high"), ("position", "after")).where("low < position and high > position + width")
     return crossed.select(*key, *_finding("discontinuity-splice", F.col("position"), F.format_string("[%d, %d) crosses the break at %d", "low", "high", "position")))
 
 
@@ -118,8 +164,6 @@ def fill(cited: DataFrame, gaps: DataFrame, extents: DataFrame, keys: list[str]
 
 def unmarked_breaks(records: DataFrame, discontinuities: DataFrame, undecoded: DataFrame, facts: DataFrame) -> DataFrame:
     """Neighbouring records of a decoded stream without a break between whose citations of one input leave out a hole."""
-    from pyspark.sql import Window
-
     from ..functions.content import recoverability
 
     w = Window.partitionBy(*STREAM).orderBy("block_seq")
@@ -135,5 +179,5 @@ def unmarked_breaks(records: DataFrame, discontinuities: DataFrame, undecoded: D
     pairs = pairs.where("last_nth = nth - 1 and broke = 0 and last_high < low")
     explicit = F.coalesce("reason_class", recoverability("reason", "reason_class"))
     holes = undecoded.where("off_start < off_end").withColumn("class", explicit).where("class = 'hole'").select(*INPUT, "off_start", "off_end")
-    hit = pairs.join(holes, INPUT, "left").where("off_start < low and last_high < off_end")
+    hit = intervals.overlapping(pairs, holes, INPUT, ("last_high", "low"), ("off_start", "off_end"))
     return hit.select("path", "session_id", "pid", "block_seq", "last_high", "low").distinct()

@@ -48,80 +48,102 @@ def _less(a: int, b: int) -> bool:
     return a != b and (a - b) % SEQ_SPACE >= HALF
 
 
-def _merged(rows: list[dict]) -> list[tuple[int, int | None]]:
-    """(block_seq, rank) of a session's records, in stored order; a stall leaves the rest without rank."""
-    pids = sorted({r["sender_pid"] for r in rows})
-    lines = [[r for r in rows if r["sender_pid"] == p] for p in pids]
-    at, rank, out = [0] * len(lines), 0, []
-
-    def head(i):
-        return lines[i][at[i]] if at[i] < len(lines[i]) else None
-
+def _merged(seq: list, pid: list, ts: list, start: list, ack: list, length: list) -> list[int | None]:
+    """The rank of each record of a session, given in stored order; a stall leaves the rest without rank."""
+    lines: dict[int, list[int]] = {}
+    for i, p in enumerate(pid):
+        lines.setdefault(p, []).append(i)
+    pids = sorted(lines)
+    queues = [lines[p] for p in pids]
+    at, rank, out, two = [0] * len(pids), 0, [None] * len(pid), len(pids) == 2
     while True:
-        ready = []
-        for i in range(len(lines)):
-            own = head(i)
-            if own is None:
+        best = None
+        for k, queue in enumerate(queues):
+            if at[k] == len(queue):
                 continue
-            peer = head(1 - i) if len(lines) == 2 else None
-            free = own["ack"] is None or peer is None or peer["seq_start"] is None or _less(own["ack"], (peer["seq_start"] + peer["length"]) % SEQ_SPACE)
-            if free:
-                ready.append((own["ts"], own["sender_pid"], i))
-        if not ready:
-            break
-        i = min(ready)[2]
+            i = queue[at[k]]
+            if two and ack[i] is not None and at[1 - k] < len(queues[1 - k]):
+                j = queues[1 - k][at[1 - k]]
+                if start[j] is not None and not _less(ack[i], (start[j] + length[j]) % SEQ_SPACE):
+                    continue  # it waits for what it acknowledges
+            if best is None or (ts[i], pids[k]) < best[0]:
+                best = (ts[i], pids[k]), k, i
+        if best is None:
+            return out
         rank += 1
-        out.append((lines[i][at[i]]["block_seq"], rank))
-        at[i] += 1
-    return out + [(r["block_seq"], None) for i, line in enumerate(lines) for r in line[at[i] :]]
+        out[best[2]] = rank
+        at[best[1]] += 1
 
 
-def _merge_sorted(batches):
-    """Rows come session by session in stored order; one session is held at a time."""
-    now, held, out = None, [], []
+_LEAN = ["block_seq", "sender_pid", "ts", "seq_start", "ack", "length"]
 
-    def table(rows):
-        path, session, seq, rank = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(session, pa.int64()), pa.array(seq, pa.int64()), pa.array(rank, pa.int64())], names=["path", "session_id", "block_seq", "merge_rank"])
 
-    for batch in batches:
-        for r in batch.to_pylist():
-            key = r["path"], r["session_id"]
-            if key != now:
-                out += [(*now, *x) for x in _merged(held)] if held else []
-                now, held = key, []
-            held.append(r)
-        if len(out) >= 10_000:
-            yield table(out)
-            out = []
-    out += [(*now, *x) for x in _merged(held)] if held else []
-    if out:
-        yield table(out)
+def _merge_sorted(batches):
+    """Rows come session by session in stored order; the numbers of one session are held at a time."""
+    now, held = None, [[] for _ in _LEAN]
 
+    def ranked():
+        n = len(held[0])
+        yield pa.RecordBatch.from_arrays([pa.array([now[0]] * n, pa.string()), pa.array([now[1]] * n, pa.int64()), pa.array(held[0], pa.int64()), pa.array(_merged(*held), pa.int64())], names=["path", "session_id", "block_seq", "merge_rank"])
 
-def causal_merge(records: DataFrame, participants: DataFrame | None = None, *, strict: bool = True) -> DataFrame:
-    """records with ``merge_rank`` in causal order.
+    def whole(parts):
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()
 
-    A session whose heads wait for each other is inconsistent: with ``strict``
-    the job fails, else what cannot be released has a null rank.
-    """
+    done, rows = [], 0
+    for batch in batches:
+        path, session = batch.column("path").to_pylist(), batch.column("session_id").to_pylist()
+        columns = [batch.column(c).to_pylist() for c in _LEAN]
+        i, n = 0, len(path)
+        while i < n:
+            j = i + 1
+            while j < n and session[j] == session[i] and path[j] == path[i]:
+                j += 1
+            if (path[i], session[i]) != now:
+                if held[0]:
+                    done += ranked()
+                    rows += len(held[0])
+                now, held = (path[i], session[i]), [[] for _ in _LEAN]
+            for column, values in zip(held, columns, strict=True):
+                column += values[i:j]
+            i = j
+        if rows >= 10_000:
+            yield from whole(done)
+            done, rows = [], 0
+    if held[0]:
+        done += ranked()
+    if done:
+        yield from whole(done)
+
+
+def merge_ranks(records: DataFrame, participants: DataFrame | None = None) -> DataFrame:
+    """path, session_id, block_seq, merge_rank of records in causal order; no payload is moved.  What cannot be released has a null rank."""
+    lean = records.select("path", F.col("session_id").cast("bigint").alias("session_id"), "block_seq", "sender_pid", "ts", "seq_start", "ack", _length().alias("length"))
+    dealt = lean.repartition(*SESSION)
     session = Window.partitionBy(*SESSION)
-    dealt = records.repartition(*SESSION)
     if participants is not None:
-        people = participants.groupBy(*SESSION).agg(F.size(F.collect_set("pid")).alias("__people"))
+        people = participants.groupBy(F.col("path"), F.col("session_id").cast("bigint").alias("session_id")).agg(F.size(F.collect_set("pid")).alias("__people"))
         dealt = dealt.join(people, SESSION)
     else:
         dealt = dealt.withColumn("__people", F.size(F.collect_set("sender_pid").over(session)))
     known = dealt.withColumn("__acked", (F.col("__people") == 2) & (F.max(F.col("ack").isNotNull().cast("int")).over(session) == 1)).drop("__people")
-    plain = _window_merge(known.where("not __acked")).drop("__acked")
-    lean = known.where("__acked").select("path", F.col("session_id").cast("bigint").alias("session_id"), "block_seq", "sender_pid", "ts", "seq_start", "ack", _length().alias("length"))
+    out = [*SESSION, "block_seq", "merge_rank"]
+    plain = _window_merge(known.where("not __acked")).withColumn("merge_rank", F.col("merge_rank").cast("bigint")).select(*out)
     # many small sessions make long batches, a group for each would cost more than its merge
-    ranks = lean.sortWithinPartitions(*SESSION, "block_seq").mapInArrow(_merge_sorted, "path string, session_id bigint, block_seq bigint, merge_rank bigint")
+    acked = known.where("__acked").drop("__acked").sortWithinPartitions(*SESSION, "block_seq")
+    return plain.unionByName(acked.mapInArrow(_merge_sorted, "path string, session_id bigint, block_seq bigint, merge_rank bigint"))
+
+
+def causal_merge(records: DataFrame, participants: DataFrame | None = None, *, strict: bool = True) -> DataFrame:
+    """records with ``merge_rank`` in causal order.
+
+    A session whose heads wait for each other is inconsistent: with ``strict``
+    the job fails, else what cannot be released has a null rank.
+    """
     rank = F.col("merge_rank")
     if strict:
         rank = F.when(rank.isNull(), F.raise_error(F.lit("the merge stalls: two records each acknowledge bytes the other has not sent yet")).cast("bigint")).otherwise(rank)
-    acked = known.where("__acked").drop("__acked").join(ranks, [*SESSION, "block_seq"]).withColumn("merge_rank", rank)
-    return plain.withColumn("merge_rank", F.col("merge_rank").cast("bigint")).unionByName(acked.select(*plain.columns))
+    ranks = merge_ranks(records, participants).withColumn("merge_rank", rank)
+    return records.join(ranks, [*SESSION, "block_seq"]).select(*records.columns, "merge_rank")
 
 
 def timeline(records: DataFrame, sessions: DataFrame, participants: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..schema import STREAM
 from ..stages import cut
+from . import intervals
 
 #: Longer chains are refused; a file that leads back to itself would never end.
 MOST_HOPS = 32
@@ -26,7 +27,7 @@ def resolve_spans(wanted: DataFrame, ranges: DataFrame, participants: DataFrame,
     Overlapping records of a parent give all their spans.
     """
     step = wanted.select("id", *STREAM, F.col("off_start").alias("lo"), F.col("off_end").alias("hi"))
-    records = ranges.select(*STREAM, "block_seq", "off_start", "off_end", "spans")
+    records = cut(ranges.select(*STREAM, "block_seq", "off_start", "off_end", "spans"))  # each hop reads them
     up = (
         participants.where("origin is not null")
         .select(*STREAM, F.col("origin.source_id").alias("source_id"), F.col("origin.session_id").cast("bigint").alias("up_session"), F.col("origin.pid").alias("up_pid"))
@@ -34,16 +35,15 @@ def resolve_spans(wanted: DataFrame, ranges: DataFrame, participants: DataFrame,
         .join(files.select("uri", F.col("path").alias("up_path")), "uri")
         .select(*STREAM, "up_path", "up_session", "up_pid")
     )
+    place = F.expr("lo = hi and off_start = lo and off_end = hi")
     out = None
     for _ in range(MOST_HOPS):
-        hit = step.join(records, STREAM).where("off_start < hi and lo < off_end or (lo = hi and off_start = lo and off_end = hi)")
+        # a handful of files deep; each hop is cut so that plans stay small
+        hit = cut(intervals.overlapping(step, records, STREAM, ("lo", "hi"), ("off_start", "off_end"), also=place))
         found = hit.where("size(spans) > 0").select("id", F.col("path").alias("file"), "block_seq", F.inline("spans"))
         out = found if out is None else out.unionByName(found)
         deeper = hit.where("coalesce(size(spans), 0) <= 0").join(up, STREAM)
         step = deeper.select("id", F.col("up_path").alias("path"), F.col("up_session").alias("session_id"), F.col("up_pid").alias("pid"), F.col("off_start").alias("lo"), F.col("off_end").alias("hi"))
-        # a handful of files deep; each hop is cut so that plans stay small
-        step = cut(step)
         if step.isEmpty():
             return out
     raise ValueError("the chain of files is too long, or leads back to itself")
-

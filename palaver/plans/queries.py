@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +21,12 @@ ORACLES: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            synth.forget()
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -112,7 +118,6 @@ def break_positions(spark, sf_dir):
  SELECT k, seq, CASE WHEN blank THEN last ELSE a END AS off_start, CASE WHEN blank THEN last ELSE b END AS off_end FROM z""")
 def hinted_ranges(spark, sf_dir):
     """Hole-inclusive offsets across the wrap of sequence numbers; records without one are empty at the running end."""
-    rec = synth.hinted_records(spark, sf_dir)
     rec = synth.lines(spark, sf_dir)
     rec = synth.records(
         rec, "lines", block_seq=F.col("seq"), session_id=F.col("k"), sender_pid=F.lit(0), payload=F.encode(F.expr("repeat('x', cast(b - a as int))"), "utf-8"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import EXTRA
+from ..stages import cut
 
 ROLES = ["system", "user", "assistant"]
 LANGS = ["de", "en", "es", "fr"]
@@ -86,8 +87,23 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
 
 
+#: Lines of the query that runs now, by folder: it reads them in several places and makes them once.
+_LINES: dict[str, DataFrame] = {}
+
+
+def forget() -> None:
+    """A query begins: nothing is kept from the one before."""
+    _LINES.clear()
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k (stream), seq (place in it), [a, b) and flags of each line."""
+    if sf_dir not in _LINES:
+        _LINES[sf_dir] = cut(_lines(spark, sf_dir))
+    return _LINES[sf_dir]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     a = (F.col("l_partkey") % 50).cast("bigint")
     return table(spark, sf_dir, "lineitem").select(
