@@ -37,9 +37,11 @@ def info(spark: SparkSession, path: str, out=print) -> int:
         out(line.text)
         for stream in line.streams:
             out(f"  stream {stream.pid}: {stream.provenance or 'unresolvable'} {stream.layer or 'unresolvable'}")
-    for d in container.diagnostics(blocks).collect():
+    broken = False
+    for d in container.diagnostics(blocks).toLocalIterator():
+        broken |= d.category == "broken-file"
         print(f"note: {d.category}: {d.message}", file=sys.stderr)
-    return 0
+    return 2 if broken else 0
 
 
 def summary(t: dict[str, DataFrame]) -> DataFrame:
@@ -53,7 +55,7 @@ def summary(t: dict[str, DataFrame]) -> DataFrame:
     ends = t["session_ends"].select(*key, F.coalesce("reason", F.lit("yes")).alias("end"))
     s = t["sessions"].join(streams, key, "left").join(people, key, "left").join(counts, key, "left").join(ends, key, "left")
     text = F.concat(
-        F.lit("session "), F.col("session_id").cast("string"), F.lit(": proto="), F.coalesce("proto", F.lit("?")), F.coalesce(F.concat(F.lit(" key='"), F.col("flow_key"), F.lit("'")), F.lit("")),
+        F.lit("session "), container.unsigned(F.col("session_id")).cast("string"), F.lit(": proto="), F.coalesce("proto", F.lit("?")), F.coalesce(F.concat(F.lit(" key='"), F.col("flow_key"), F.lit("'")), F.lit("")),
         F.lit(" participants=["), F.coalesce("people", F.lit("")), F.lit("] records="), F.coalesce("n", F.lit(0)).cast("string"),
         F.when(F.coalesce("flags", F.lit(0)).bitwiseAND(F.lit(1)) == 1, " sequenced").otherwise(""), F.coalesce(F.concat(F.lit(" end="), F.col("end")), F.lit("")),
     )
@@ -73,8 +75,9 @@ def convert(spark: SparkSession, path: str, folder: str, to: str, out=print) ->
     written, lost = container.convert(spark, path, folder, face=to)
     for r in written.collect():
         out(f"{r.file}: {r.blocks} blocks, {r.bytes} bytes")
-    notes = lost.collect()
-    for d in notes:
+    notes = 0
+    for d in lost.toLocalIterator():
+        notes += 1
         print(f"note: {d.category}: {d.message}", file=sys.stderr)
     return 1 if notes else 0
 
@@ -89,20 +92,20 @@ def validate(spark: SparkSession, path: str, *, strict: bool = False, verify: bo
         count += 1
         out(f"{where}: {category}: {message}")
 
-    for d in container.diagnostics(blocks).collect():
+    for d in container.diagnostics(blocks).toLocalIterator():
         say(d.path, d.category, d.message)
     for f in conformance.findings(t, blocks).orderBy("path", "block_seq").toLocalIterator():
         say(f.path, f.category, f"{f.rule} {f.message}" + (f" (block {f.block_seq})" if f.block_seq is not None else ""))
     if verify:
         flagged = t["sessions"].where(F.coalesce("flags", F.lit(0)).bitwiseAND(F.lit(1)) == 1).select("path", "session_id")
-        for v in order.verify_sequenced(t["records"].join(flagged, ["path", "session_id"], "left_semi")).orderBy("path", "block_seq").collect():
+        for v in order.verify_sequenced(t["records"].join(flagged, ["path", "session_id"], "left_semi")).orderBy("path", "block_seq").toLocalIterator():
             say(v.path, "sequenced-order", f"session {v.session_id}, block {v.block_seq}: {v.rule}")
     if raw:
         u = container.tables(container.load(spark, raw))
         facts = offsets.stream_facts(u["participants"], u["records"], u["decoders"], u["sources"])
         extents = offsets.stream_extent(offsets.record_ranges(u["records"], u["discontinuities"], facts), u["participants"])
         source = coverage.input_source(t["sources"], container.digests(spark, raw).first().digest)
-        for f in coverage.check_coverage(t["records"], t["undecoded"], t["session_ends"], source, extents).orderBy("in_session_id", "in_pid", "offset").collect():
+        for f in coverage.check_coverage(t["records"], t["undecoded"], t["session_ends"], source, extents).orderBy("in_session_id", "in_pid", "offset").toLocalIterator():
             say(f.path, f.category, f"input stream (session {f.in_session_id}, pid {f.in_pid}): {f.message}")
     return 1 if count else 0
 

@@ -223,15 +223,16 @@ def check_version(row: dict) -> None:
         raise Broken("version {}.{} is not supported".format(*version))
 
 
-def diagnostic(category: str, message: str, offset: int) -> dict:
+def diagnostic(category: str, message: str, offset: int | None) -> dict:
     """A row without block type."""
     return {"block_type": None, "offset": offset, "parse_error": f"{category}: {message}"}
 
 
-def scan(source, *, strict: bool = False, at: int = 0, seq: int = 0) -> Iterator[dict]:
+def scan(source, *, strict: bool = False, at: int = 0, seq: int = 0, kinds: frozenset[int] | None = None) -> Iterator[dict]:
     """Wide rows of a binary stream, with offset and block_seq; needs only read().
 
-    A stream that begins at a later block is told that block's place.
+    A stream that begins at a later block is told that block's place.  Blocks of
+    other than the wanted ``kinds`` are passed over unparsed.
 
     Broken bodies come with parse_error and their content, a cut end and bytes
     behind the end as diagnostics.
@@ -260,17 +261,20 @@ def scan(source, *, strict: bool = False, at: int = 0, seq: int = 0) -> Iterator
             return
         if (seq == 0) != (kind == S.FILE_HEADER):
             raise Broken("the first block is not a file header" if seq == 0 else "a second file header")
-        try:
-            row = parse_content(kind, content)
-        except ValueError as e:
+        wanted = kinds is None or kind in kinds
+        if wanted or seq == 0:
+            try:
+                row = parse_content(kind, content)
+            except ValueError as e:
+                if seq == 0:
+                    raise Broken(str(e)) from None
+                if strict:
+                    raise
+                row = {"block_type": kind, "content": content, "parse_error": f"invalid-block: {e}"}
             if seq == 0:
-                raise Broken(str(e)) from None
-            if strict:
-                raise
-            row = {"block_type": kind, "content": content, "parse_error": f"invalid-block: {e}"}
-        if seq == 0:
-            check_version(row)
-        yield row | {"offset": at, "block_seq": seq}
+                check_version(row)
+            if wanted:
+                yield row | {"offset": at, "block_seq": seq}
         ended = kind == S.END
         at, seq = at + 8 + size, seq + 1
 

@@ -11,28 +11,64 @@ from ..stages import cut
 from . import codec, datasource, jsonl
 
 
-def read(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame:
-    """Wide rows of all containers below a path, of either face; a diagnostic is a row without block type."""
-    datasource.register(spark)
-    return spark.read.format(datasource.NAME).option("strict", str(strict).lower()).load(path)
+def read(spark: SparkSession, path: str, *, strict: bool = False, split: int = datasource.SPLIT, kinds: list[int] | None = None, payload: bool = True) -> DataFrame:
+    """Wide rows of all containers below a path, of either face; a diagnostic is a row without block type.
+
+    A file that cannot be read on ends in a diagnostic ``broken-file`` and leaves
+    the others alone; with ``strict`` it fails the job.  ``kinds`` (block types)
+    and ``payload`` leave out what a question does not need.
+    """
+    return datasource.scan(spark, path, strict=strict, split=split, kinds=None if kinds is None else frozenset(kinds), payload=payload)
 
 
-def load(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame:
+def load(spark: SparkSession, path: str, **how) -> DataFrame:
     """read(), parsed once: what many rules and operators look at is kept in the checkpoint folder."""
-    return cut(read(spark, path, strict=strict))
+    return cut(read(spark, path, **how))
+
+
+def _signed(x: Column) -> Column:
+    """Ids as BIGINT with the same 64 bits, so that ids from 2**63 on are negative and none is lost."""
+    top = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    whole = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    wide_ = x.cast("decimal(20,0)")
+    return F.when(wide_ >= top, wide_ - whole).otherwise(wide_).cast("bigint")
+
+
+def unsigned(x: Column) -> Column:
+    """The id that such a BIGINT stands for."""
+    wide_ = x.cast("decimal(20,0)")
+    return F.when(wide_ < 0, wide_ + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide_).cast("decimal(20,0)")
+
+
+#: Ids of sessions, alone and inside structs.
+_IDS = {"session_id": None, "origin": "session_id", "spans": "in_session_id", "extents": "in_session_id"}
+
+
+def _with_ids(column: str, how) -> Column:
+    x, inner = F.col(column), _IDS.get(column)
+    if column == "session_id":
+        return how(x)
+    if column == "origin":
+        return F.when(x.isNotNull(), x.withField(inner, how(x[inner])))
+    if column in ("spans", "extents"):
+        return F.transform(x, lambda e: e.withField(inner, how(e[inner])))
+    return x
 
 
 def _narrow(column: str) -> Column:
-    """BIGINT for unsigned 64-bit numbers; larger ones fail the cast."""
+    """BIGINT for unsigned 64-bit numbers: ids keep their 64 bits, larger offsets and rates fail the cast."""
+    if column == "session_id":
+        return _signed(F.col(column))
     if S.BLOCK_COLUMNS[column] == "decimal(20,0)":
         return F.col(column).cast("bigint")
+    x = _with_ids(column, _signed)
     if column == "spans":
-        return F.col(column).cast("array<struct<source_id:int,in_session_id:bigint,in_pid:int,off_start:bigint,off_end:bigint>>")
+        return x.cast("array<struct<source_id:int,in_session_id:bigint,in_pid:int,off_start:bigint,off_end:bigint>>")
     if column == "extents":
-        return F.col(column).cast("array<struct<source_id:int,in_session_id:bigint,in_pid:int,extent:bigint>>")
+        return x.cast("array<struct<source_id:int,in_session_id:bigint,in_pid:int,extent:bigint>>")
     if column == "origin":
-        return F.col(column).cast("struct<source_id:int,session_id:bigint,pid:int>")
-    return F.col(column)
+        return x.cast("struct<source_id:int,session_id:bigint,pid:int>")
+    return x
 
 
 def tables(blocks: DataFrame, *, narrow: bool = True) -> dict[str, DataFrame]:
@@ -61,9 +97,10 @@ def diagnostics(blocks: DataFrame) -> DataFrame:
 
 
 def wide(df: DataFrame) -> DataFrame:
-    """df with every column of the wide schema, those it lacks null."""
-    have = set(df.columns)
-    return df.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in S.BLOCK_COLUMNS.items()])
+    """df with every column of the wide schema, those it lacks null; ids are unsigned again."""
+    kinds = dict(df.dtypes)
+    again = lambda c: _with_ids(c, unsigned) if c in _IDS and kinds[c] != "void" else F.col(c)
+    return df.select(*[(again(c) if c in kinds else F.lit(None)).cast(t).alias(c) for c, t in S.BLOCK_COLUMNS.items()])
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -153,10 +190,21 @@ def digests(spark: SparkSession, path: str, algorithm: str = "sha256") -> DataFr
 
 
 def faces(spark: SparkSession, path: str) -> DataFrame:
-    """(path, face): binary by its magic, else jsonl by its first character, else null."""
-    head = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 9, 4).alias("magic"), F.decode(F.substring("content", 1, 64), "utf-8").alias("text"))
-    magic = F.lit(S.MAGIC.to_bytes(4, "little"))
-    return head.select("path", F.when(F.col("magic") == magic, "binary").when(F.ltrim("text").startswith("{"), "jsonl").alias("face"))
+    """(path, face): binary by its magic, else jsonl by its first character, else null; the first bytes of each file are read."""
+
+    def sniff(batches):
+        system, _ = datasource.filesystem(path)
+        for batch in batches:
+            names, out = batch.column(0).to_pylist(), []
+            for name in names:
+                with system.open_input_file(name) as source:
+                    head = source.read(64)
+                out.append("binary" if head[8:12] == S.MAGIC.to_bytes(4, "little") else "jsonl" if head.lstrip()[:1] == b"{" else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["path", "face"])
+
+    found = datasource.files(path)
+    listing = spark.createDataFrame([(f,) for f in found], "path string")
+    return listing.repartition(max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(sniff, "path string, face string")
 
 
 def self_inputs(t: dict[str, DataFrame]) -> DataFrame:

@@ -1,9 +1,11 @@
-"""The Spark data source of containers: batch, and tailing of files that grow.
-
-A batch partition is one file, or some hundred megabytes of whole blocks of a
-larger binary one, read block by block.  A stream's offset is, for
-each file, the byte behind its last whole block and that block's number, so a
-cut tail waits for the next micro-batch.
+"""Scans of containers: batch, and tailing of files that grow.
+
+A batch scan lists files on the driver and no more.  Tasks walk the block headers
+of binary files above ``split`` bytes and cut them into parts of whole blocks,
+each of which is read by a task of its own; a JSON-lines file is one part.  The
+data source of the same name reads a file in a task.  A stream's offset is, for
+each file, the byte behind its last whole block or line, and how many there are
+before it, so a cut tail waits for the next micro-batch.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from __future__ import annotations
 import io
 import itertools
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .. import schema as S
@@ -51,21 +54,34 @@ def face_of(head: bytes) -> str:
     raise codec.Broken("neither face of a container")
 
 
-def rows_of(source, *, strict: bool = False):
+def rows_of(source, *, strict: bool = False, kinds: frozenset[int] | None = None):
     """Wide rows of an open file of either face."""
     face = face_of(source.read(12))
     source.seek(0)
     if face == "binary":
-        yield from codec.scan(source, strict=strict)
+        yield from codec.scan(source, strict=strict, kinds=kinds)
     else:
         text = io.TextIOWrapper(source, encoding="utf-8", errors="strict", newline="\n")
-        yield from jsonl.scan(iter(text.readline, ""), strict=strict)
+        for row in jsonl.scan(iter(text.readline, ""), strict=strict):
+            if kinds is None or row["block_type"] is None or row["block_type"] in kinds:
+                yield row
+
+
+def _safe(rows, strict: bool):
+    """rows; where a file cannot be read on, a diagnostic of that file ends them, unless ``strict``."""
+    try:
+        yield from rows
+    except codec.Broken as e:
+        if strict:
+            raise
+        yield codec.diagnostic("broken-file", str(e), None)
 
 
-def _batches(rows, path: str):
+def _batches(rows, path: str, payload: bool = True):
     held = []
     for r in rows:
-        held.append(r | {"path": path})
+        r = r | {"path": path} if payload else r | {"path": path, "payload": None}
+        held.append(r)
         if len(held) == ROWS or len(r.get("payload") or b"") > 1 << 20:
             yield codec.batch(held)
             held = []
@@ -73,8 +89,70 @@ def _batches(rows, path: str):
         yield codec.batch(held)
 
 
+def parts_of(source, size: int, split: int):
+    """(first byte, number of the first block, end or None) of parts of whole blocks, found by their lengths alone."""
+    if size <= split or source.read(12)[8:12] != S.MAGIC.to_bytes(4, "little"):
+        return [(0, 0, None)]
+    out, begin, first, at, seq = [], 0, 0, 0, 0
+    while at + 8 <= size:
+        source.seek(at)
+        kind, _, n = codec.FRAME.unpack(source.read(8))
+        if at - begin >= split:
+            out.append((begin, first, at))
+            begin, first = at, seq
+        if kind == S.END or n % 4 or at + 8 + n > size:
+            break  # what stands here and behind is judged by the last part
+        at, seq = at + 8 + n, seq + 1
+    return [*out, (begin, first, None)]
+
+
+def read_part(system, path: str, at: int, seq: int, end: int | None, strict: bool, kinds=None):
+    with system.open_input_file(path) as source:
+        if not at:
+            rows = rows_of(source, strict=strict, kinds=kinds)
+        else:
+            source.seek(at)
+            rows = codec.scan(source, strict=strict, at=at, seq=seq, kinds=kinds)
+        # a diagnostic without a place belongs to the part that met it
+        yield from rows if end is None else itertools.takewhile(lambda r: r["offset"] is None or r["offset"] < end, rows)
+
+
+def scan(spark: SparkSession, uri: str, *, strict: bool = False, split: int = SPLIT, kinds: frozenset[int] | None = None, payload: bool = True) -> DataFrame:
+    """Wide rows of all containers below ``uri``.
+
+    ``kinds`` are the block types wanted: others are passed over unparsed, and
+    what is wrong in them is not told; without ``payload`` payloads stay behind.
+    """
+    system, _ = filesystem(uri)
+    found = [(path, system.get_file_info(path).size) for path in files(uri)]
+    if not found:
+        return spark.createDataFrame([], S.BLOCK_SCHEMA)
+
+    def walk(batches):
+        system, _ = filesystem(uri)
+        for batch in batches:
+            out = []
+            for path, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with system.open_input_file(path) as source:
+                    out += [(path, *part) for part in parts_of(source, size, split)]
+            if out:
+                names = ["path", "begin", "first", "stop"]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+
+    def read(batches):
+        system, _ = filesystem(uri)
+        for batch in batches:
+            for path, at, seq, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _batches(_safe(read_part(system, path, at, seq, end, strict, kinds), strict), path, payload)
+
+    here = 4 * spark.sparkContext.defaultParallelism
+    listing = spark.createDataFrame(found, "path string, size long").repartition(min(len(found), max(here, len(found) // 1000)))
+    tasks = max(min(len(found), here), sum(size for _, size in found) // split + 1)
+    return listing.mapInArrow(walk, "path string, begin long, first long, stop long").repartition(tasks, "path", "begin").mapInArrow(read, S.BLOCK_SCHEMA)
+
+
 class BlockSource(DataSource):
-    """Option ``path``: a file or folder; ``strict``: a violation fails the job instead of becoming a diagnostic; ``splitBytes``."""
+    """Option ``path``: a file or folder; ``strict``: a violation fails the job instead of becoming a diagnostic."""
 
     @classmethod
     def name(cls) -> str:
@@ -93,46 +171,17 @@ class BlockSource(DataSource):
 class _Batch(DataSourceReader):
     def __init__(self, options):
         self.uri, self.strict = options["path"], options.get("strict", "false").lower() == "true"
-        self.split = int(options.get("splitBytes", SPLIT))
 
     def partitions(self):
-        system, _ = filesystem(self.uri)
-        return [InputPartition((path, *part)) for path in files(self.uri) for part in self._parts(system, path)]
-
-    def _parts(self, system, path):
-        """(first byte, number of the first block, end or None): whole blocks, found by their lengths alone."""
-        size = system.get_file_info(path).size
-        if size <= self.split:
-            return [(0, 0, None)]
-        with system.open_input_file(path) as source:
-            if face_of(source.read(12)) != "binary":
-                return [(0, 0, None)]
-            out, begin, first, at, seq = [], 0, 0, 0, 0
-            while at + 8 <= size:
-                source.seek(at)
-                kind, _, n = codec.FRAME.unpack(source.read(8))
-                if at - begin >= self.split:
-                    out.append((begin, first, at))
-                    begin, first = at, seq
-                if kind == S.END or n % 4 or at + 8 + n > size:
-                    break  # what stands here and behind is judged by the last part
-                at, seq = at + 8 + n, seq + 1
-        return [*out, (begin, first, None)]
+        return [InputPartition(path) for path in files(self.uri)]
 
     def read(self, partition):
-        path, at, seq, end = partition.value
         system, _ = filesystem(self.uri)
-        with system.open_input_file(path) as source:
-            if not at:
-                rows = rows_of(source, strict=self.strict)
-            else:
-                source.seek(at)
-                rows = codec.scan(source, strict=self.strict, at=at, seq=seq)
-            yield from _batches(rows if end is None else itertools.takewhile(lambda r: r["offset"] < end, rows), path)
+        yield from _batches(_safe(read_part(system, partition.value, 0, 0, None, self.strict), self.strict), partition.value)
 
 
 class _Tail(DataSourceStreamReader):
-    """Binary files only: lines have no length to skip by."""
+    """Files of both faces; what is behind the last whole block or line waits."""
 
     def __init__(self, options):
         self.uri = options["path"]
@@ -148,12 +197,17 @@ class _Tail(DataSourceStreamReader):
             at, seq = self.last.get(path, [0, 0])
             size = system.get_file_info(path).size
             with system.open_input_file(path) as source:
-                while at + 8 <= size:
+                if size < 12 or face_of(source.read(12)) == "binary":
+                    while at + 8 <= size:
+                        source.seek(at)
+                        _, _, n = codec.FRAME.unpack(source.read(8))
+                        if at + 8 + n > size:
+                            break
+                        at, seq = at + 8 + n, seq + 1
+                else:
                     source.seek(at)
-                    _, _, n = codec.FRAME.unpack(source.read(8))
-                    if at + 8 + n > size:
-                        break
-                    at, seq = at + 8 + n, seq + 1
+                    for line in _lines(source, size - at):
+                        at, seq = at + len(line), seq + 1
             out[path] = [at, seq]
         self.last = out
         return out
@@ -165,19 +219,31 @@ class _Tail(DataSourceStreamReader):
         path, at, seq, end = partition.value
         system, _ = filesystem(self.uri)
 
-        def rows():
+        def blocks(source):
             nonlocal at, seq
-            with system.open_input_file(path) as source:
-                source.seek(at)
-                while at < end:
-                    kind, _, n = codec.FRAME.unpack(source.read(8))
-                    content = source.read(n)
+            while at < end:
+                kind, _, n = codec.FRAME.unpack(source.read(8))
+                content = source.read(n)
+                try:
+                    row = codec.parse_content(kind, content)
+                except ValueError as e:
+                    row = {"block_type": kind, "content": content, "parse_error": f"invalid-block: {e}"}
+                yield row | {"offset": at, "block_seq": seq}
+                at, seq = at + 8 + n, seq + 1
+
+        def lines(source):
+            for i, line in enumerate(_lines(source, end - at), start=seq):
+                if line.strip():
                     try:
-                        row = codec.parse_content(kind, content)
+                        yield jsonl.loads(line.decode())[0] | {"offset": i + 1, "block_seq": i}
                     except ValueError as e:
-                        row = {"block_type": kind, "content": content, "parse_error": f"invalid-block: {e}"}
-                    yield row | {"offset": at, "block_seq": seq}
-                    at, seq = at + 8 + n, seq + 1
+                        yield codec.diagnostic("invalid-line", str(e), i + 1)
+
+        def rows():
+            with system.open_input_file(path) as source:
+                binary = face_of(source.read(12)) == "binary"
+                source.seek(at)
+                yield from blocks(source) if binary else lines(source)
 
         yield from _batches(rows(), path)
 
@@ -185,5 +251,18 @@ class _Tail(DataSourceStreamReader):
         pass
 
 
+def _lines(source, size: int):
+    """The whole lines, with their ends, of the next ``size`` bytes."""
+    rest = b""
+    while size > 0:
+        piece = source.read(min(size, 1 << 20))
+        if not piece:
+            return
+        size -= len(piece)
+        *whole, rest = (rest + piece).split(b"\n")
+        for line in whole:
+            yield line + b"\n"
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BlockSource)

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the checkpoint folder; only where none is set and all runs on this machine, as in tests, in a temporary one."""
-    spark = df.sparkSession
+    root(df.sparkSession)
+    return df.checkpoint()
+
+
+def root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palaver-checkpoint-"))
-    return df.checkpoint()
+        own = tempfile.mkdtemp(prefix="palaver-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def folder(spark: SparkSession) -> str:
+    """A fresh folder in the shared one."""
+    return f"{root(spark).rstrip('/')}/palaver-{uuid.uuid4().hex}"

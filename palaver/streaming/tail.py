@@ -1,8 +1,10 @@
 """Structured Streaming over containers.
 
 Blocks have no event time that orders them, so there are no watermarks: a
-session's state lives from its declaration to its end block, and a session that
-never ends is let go by a processing-time timeout.
+session's state lives from its declaration to its end block.  An ended session
+keeps its id for ``ENDED`` and one that never ends its state for ``OPEN``
+milliseconds of processing time after its last block; what comes later is told
+as a block of an undeclared session.
 """
 
 from __future__ import annotations
@@ -13,15 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schema as S
+from ..operators.order import _merged
 from ..sources import datasource
 
 HALF = S.SEQ_SPACE // 2
+ENDED, OPEN = 3600 * 1000, 24 * 3600 * 1000
 _OUT = "path string, session_id bigint, block_seq bigint, rule string, message string"
 _STATE = "declared boolean, ended boolean, pids string, seqs string"
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Wide rows of binary containers as they grow; a block is read when it is whole."""
+    """Wide rows of containers of either face as they grow; a block or line is read when it is whole."""
     datasource.register(spark)
     return spark.readStream.format(datasource.NAME).option("path", path).load()
 
@@ -69,14 +73,13 @@ def _check(key, frames, state: GroupState):
                     continue
                 last[int(r.pid)] = seq
     state.update((declared, ended, ",".join(map(str, sorted(people))), ",".join(f"{p}:{s}" for p, s in sorted(last.items()))))
-    if not ended:
-        state.setTimeoutDuration(24 * 3600 * 1000)
+    state.setTimeoutDuration(ENDED if ended else OPEN)
     if out:
         yield pd.DataFrame(out, columns=["path", "session_id", "block_seq", "rule", "message"])
 
 
 def check_sessions(stream: DataFrame) -> DataFrame:
-    """Findings of rules C2, C3 and C4 on sessions as blocks arrive; an ended session keeps its id and nothing else."""
+    """Findings of rules C2, C3 and C4 on sessions as blocks arrive; an ended session keeps its id for a while and nothing else."""
     kinds = [S.SESSION, S.PARTICIPANT, S.SESSION_END, S.RECORD, S.DISCONTINUITY, S.NAME]
     lean = stream.where(F.col("block_type").isin(kinds) & F.col("parse_error").isNull()).select("path", F.col("session_id").cast("bigint").alias("session_id"), "block_seq", "block_type", "pid", F.col("seq_start").cast("double").alias("seq_start"))
     return lean.groupBy("path", "session_id").applyInPandasWithState(_check, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
@@ -85,3 +88,40 @@ def check_sessions(stream: DataFrame) -> DataFrame:
 def session_counts(stream: DataFrame) -> DataFrame:
     """Records and bytes of each session so far."""
     return stream.where(F.col("block_type") == S.RECORD).groupBy("path", "session_id").agg(F.count("*").alias("record_count"), F.sum(F.octet_length("payload")).alias("bytes"))
+
+
+_HELD = ["block_seq", "sender_pid", "ts", "seq_start", "ack", "length"]
+
+
+def _rank(key, frames, state: GroupState):
+    """Ranks of a session's records once it has ended, or has been let go; until then their numbers are held, payloads are not."""
+    path, session = key
+    held, ended = [[] for _ in _HELD], state.hasTimedOut
+    if state.exists:
+        held = [list(c) for c in state.get]
+    if not state.hasTimedOut:
+        rows = pd.concat(list(frames)).sort_values("block_seq")
+        ends = rows.loc[rows["block_type"] == S.SESSION_END, "block_seq"]
+        ended = len(ends) > 0
+        rows = rows[rows["block_type"] == S.RECORD]
+        if ended:  # what stands behind the end is none of the session's
+            rows = rows[rows["block_seq"] < ends.min()]
+        for column, name in zip(held, _HELD, strict=True):
+            column += [None if pd.isna(x) else int(x) for x in rows[name]]
+    if not ended:
+        state.update(tuple(held))
+        state.setTimeoutDuration(OPEN)
+        return
+    if state.exists:
+        state.remove()
+    if held[0]:
+        yield pd.DataFrame({"path": path, "session_id": session, "block_seq": held[0], "merge_rank": pd.array(_merged(*held), dtype="Int64")})
+
+
+def merge_sessions(stream: DataFrame) -> DataFrame:
+    """(path, session_id, block_seq, merge_rank): the causal order of each session's records, when its end block arrives."""
+    lean = stream.where(F.col("block_type").isin(S.RECORD, S.SESSION_END) & F.col("parse_error").isNull()).select(
+        "path", F.col("session_id").cast("bigint").alias("session_id"), "block_seq", "block_type", F.col("pid").alias("sender_pid"), "ts", "seq_start", "ack", F.coalesce(F.octet_length("payload"), F.lit(0)).alias("length")
+    )
+    kinds = ", ".join(f"{c} array<bigint>" for c in _HELD)
+    return lean.groupBy("path", "session_id").applyInPandasWithState(_rank, "path string, session_id bigint, block_seq bigint, merge_rank bigint", kinds, "append", GroupStateTimeout.ProcessingTimeTimeout)

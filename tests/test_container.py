@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palaver import cli, schema as S
 from palaver.operators import conformance, coverage, offsets, order, transform
-from palaver.sources import build, codec, container, jsonl
+from palaver.sources import build, codec, container, datasource, jsonl
 from palaver.streaming import tail
 
 
@@ -57,27 +57,60 @@ def test_cut_and_strict(spark, tmp_path):
         container.read(spark, str(tmp_path / "cut.bin"), strict=True).collect()
     (tmp_path / "other").write_bytes(b"something else")
     with pytest.raises(Exception, match="neither face"):
-        container.read(spark, str(tmp_path / "other")).collect()
+        container.read(spark, str(tmp_path / "other"), strict=True).collect()
+
+
+def test_a_broken_file_leaves_the_others(spark, tmp_path):
+    (tmp_path / "other").write_bytes(b"something else")
+    rows = raw_file()
+    (tmp_path / "late").write_bytes(frames(rows[:-1]) + b"\x20\0\0\0\x03\0\0\0abc")
+    put(tmp_path, "whole", rows)
+    blocks = container.read(spark, str(tmp_path))
+    bad = {os.path.basename(d.path): d for d in container.diagnostics(blocks).collect()}
+    assert set(bad) == {"other", "late"} and {d.category for d in bad.values()} == {"broken-file"} and "multiple of four" in bad["late"].message
+    assert {os.path.basename(r.path): r.n for r in blocks.where("parse_error is null").groupBy("path").agg(F.count("*").alias("n")).collect()} == {"whole": len(rows), "late": len(rows) - 1}
+    with pytest.raises(Exception, match="multiple of four"):
+        container.read(spark, str(tmp_path / "late"), strict=True).collect()
+    assert cli.info(spark, str(tmp_path / "other"), lambda x: None) == 2
+
+
+def test_only_what_is_asked_for(spark, tmp_path):
+    put(tmp_path, "a", raw_file(((1001, 10), (1011, 10))))
+    container.convert(spark, str(tmp_path / "a"), str(tmp_path / "l"), face="jsonl")[0].collect()
+    for path in (str(tmp_path / "a"), str(tmp_path / "l")):
+        some = container.read(spark, path, kinds=[S.SESSION, S.RECORD], payload=False).collect()
+        whole = container.read(spark, path).where(F.col("block_type").isin(S.SESSION, S.RECORD)).collect()
+        assert [r.block_seq for r in some] == [r.block_seq for r in whole] and all(r.payload is None for r in some) and any(r.payload for r in whole)
+        assert [r.seq_start for r in some] == [r.seq_start for r in whole]
 
 
 def test_a_large_file_is_read_by_several_tasks(spark, tmp_path):
     rows = raw_file([(1001 + 10 * i, 10) for i in range(20)])
     data = frames(rows)
+    datasource.register(spark)
     for name, body in (("whole", data), ("cut", data[:-3]), ("more", data + b"tail")):
         (tmp_path / name).write_bytes(body)
         one = container.read(spark, str(tmp_path / name))
-        many = spark.read.format("payload_blocks").option("splitBytes", 150).load(str(tmp_path / name))
-        assert many.rdd.getNumPartitions() > 4 and one.rdd.getNumPartitions() == 1
+        many = container.read(spark, str(tmp_path / name), split=150)
+        plain = spark.read.format("payload_blocks").load(str(tmp_path / name))
+        assert many.select(F.spark_partition_id()).distinct().count() > 2 and plain.rdd.getNumPartitions() == 1
         key = lambda r: (r.offset, r.block_seq is None)
-        assert sorted(one.collect(), key=key) == sorted(many.collect(), key=key)
+        assert sorted(one.collect(), key=key) == sorted(many.collect(), key=key) == sorted(plain.collect(), key=key)
 
 
 def test_numbers_beyond_bigint(spark, tmp_path):
     rows = [header(), row(S.SESSION, session_id=2**64 - 1)]
     blocks = container.read(spark, put(tmp_path, "x", rows))
     assert int(container.tables(blocks, narrow=False)["sessions"].first().session_id) == 2**64 - 1
+    # ids keep their 64 bits as BIGINT and come back; offsets that large fail
+    t = container.tables(blocks)
+    assert t["sessions"].first().session_id == -1
+    assert int(container.wide(t["sessions"]).first().session_id) == 2**64 - 1
+    far = put(tmp_path, "far", [*rows, row(S.RECORD, session_id=2**64 - 1, pid=0, source_id=0, ts=0, payload=b"", spans=[span(0, 5, session=2**63)]), row(S.UNDECODED, source_id=0, session_id=0, pid=0, off_start=2**63, off_end=2**64 - 1)])
+    t = container.tables(container.read(spark, far))
+    assert t["records"].first().spans[0].in_session_id == -(2**63) and int(container.wide(t["records"].withColumnRenamed("sender_pid", "pid")).first().spans[0].in_session_id) == 2**63
     with pytest.raises(Exception, match="OVERFLOW|overflow|out of range"):
-        container.tables(blocks)["sessions"].collect()
+        t["undecoded"].collect()
 
 
 RAW, DEC = raw_file(), decoded_file()
@@ -306,15 +339,35 @@ def test_tail_of_a_growing_file(spark, tmp_path):
     data = frames(rows)
     folder = tmp_path / "grow"
     folder.mkdir()
-    found, counts = [], []
+    found, counts, ranks = [], [], []
     for n, cut in enumerate((len(data) // 2, len(data) - 3, len(data))):
         (folder / "f").write_bytes(data[:cut])
-        for stream, sink, mode, name in ((tail.check_sessions(tail.blocks(spark, str(folder))), found, "append", "c"), (tail.session_counts(tail.blocks(spark, str(folder))), counts, "complete", "n")):
+        for stream, sink, mode, name in ((tail.check_sessions(tail.blocks(spark, str(folder))), found, "append", "c"), (tail.session_counts(tail.blocks(spark, str(folder))), counts, "complete", "n"), (tail.merge_sessions(tail.blocks(spark, str(folder))), ranks, "append", "m")):
             q = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _, sink=sink: sink.append(df.collect())).option("checkpointLocation", str(tmp_path / f"ck-{name}")).trigger(availableNow=True).start()
             q.awaitTermination(120)
             assert q.exception() is None
     assert {(r.block_seq, r.rule) for b in found for r in b} == {(4, "C3"), (7, "C3"), (8, "C2")}
     assert [r.record_count for r in counts[-1]] == [3]
+    assert [[(r.block_seq, r.merge_rank) for r in b] for b in ranks if b] == [[(4, 2), (5, 1)]]
+
+
+def test_tail_of_growing_lines(spark, tmp_path):
+    put(tmp_path, "a", raw_file(((1001, 10), (1011, 10))))
+    container.convert(spark, str(tmp_path / "a"), str(tmp_path / "l"), face="jsonl")[0].collect()
+    (whole,) = [p for p in (tmp_path / "l").iterdir() if p.name[0] not in "._"]
+    data = whole.read_bytes() + b"no json\n"
+    folder = tmp_path / "grow"
+    folder.mkdir()
+    got = []
+    for cut in (20, len(data) // 2, len(data)):
+        (folder / "f").write_bytes(data[:cut])
+        q = tail.blocks(spark, str(folder)).writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    want = container.read(spark, str(whole)).collect()
+    bad = [r for r in got if r.parse_error]
+    assert len(bad) == 1 and bad[0].parse_error.startswith("invalid-line")
+    assert [(r.block_seq, r.block_type, r.payload) for r in got if not r.parse_error] == [(r.block_seq, r.block_type, r.payload) for r in want]
 
 
 def test_command_line(spark, tmp_path, capsys):
