@@ -576,11 +576,16 @@ def primitives(spark, sf_dir):
     return d.select("doc_id", num(4, "u32").alias("u32"), num(2, "i16").alias("i16"), num(1, "u8").alias("u8"), num(2, "u32").alias("wrong"), content.prim_fault(at(2), F.lit("u32")).alias("fault"))
 
 
-@query("SELECT event_id, epoch_us(ts) // 1000 * 30 // 1000 AS ticks, make_timestamp(CAST(floor((epoch_us(ts) // 1000 * 30 // 1000 + 7) * 1000000 / 30.0) AS BIGINT)) AS wall FROM events WHERE FALSE UNION ALL SELECT event_id, event_id * 37, make_timestamp((event_id * 37 + 7) * 1000000 // 30) FROM events")
+_RATES = "[30, 1000000, 4294967296, 3]"
+
+
+@query(f"""WITH t AS (SELECT event_id, CAST(event_id * 37 * 1000003 - 500000000 AS HUGEINT) AS ticks, CAST({_RATES}[1 + event_id % 4] AS HUGEINT) AS hz FROM events)
+ SELECT event_id, CAST(ticks AS BIGINT) AS ticks, make_timestamp(CAST(((ticks + 7) * 1000000 - (((ticks + 7) * 1000000) % hz + hz) % hz) // hz AS BIGINT)) AS wall FROM t""")
 def wallclock(spark, sf_dir):
-    """ticks of a thirtieth of a second, seven after the epoch."""
-    e = synth.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 37).alias("ticks"))
-    return e.select("event_id", "ticks", content.wallclock("ticks", F.lit(30), F.lit(7)).cast("timestamp_ntz").alias("wall"))
+    """ticks before and after the epoch, seven later, at rates up to 2**32."""
+    hz = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in (30, 1_000_000, 1 << 32, 3)]), (F.col("event_id") % 4 + 1).cast("int"))
+    e = synth.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 37 * 1000003 - 500_000_000).alias("ticks"), hz.alias("hz"))
+    return e.select("event_id", "ticks", content.wallclock("ticks", "hz", F.lit(7)).cast("timestamp_ntz").alias("wall"))
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS sha, 'md5:' || md5(text) AS md5, CAST((4 - octet_length(encode(text)) % 4) % 4 AS BIGINT) AS pad, CASE source WHEN 'src1' THEN 'bytes' WHEN 'src2' THEN 'hole' END AS class FROM documents")
@@ -605,7 +610,7 @@ def _stored(spark, sf_dir):
 
 @query(f"WITH {CONV} SELECT session_id, pid, row_number() OVER (PARTITION BY session_id ORDER BY block_seq) AS place, text FROM conv")
 def binary_round_trip(spark, sf_dir):
-    """Written as blocks and parsed again."""
+    """Records as blocks and parsed again, in memory; stored.binary_scan writes files."""
     from ..sources import codec
 
     blocks = codec.parse(codec.encode(_stored(spark, sf_dir)))
@@ -614,7 +619,7 @@ def binary_round_trip(spark, sf_dir):
 
 @query(f"WITH {CONV} SELECT session_id, pid, row_number() OVER (PARTITION BY session_id ORDER BY block_seq) AS place, text FROM conv")
 def jsonl_round_trip(spark, sf_dir):
-    """Written as JSON lines and parsed again."""
+    """Records as JSON lines and parsed again, in memory; stored.jsonl_scan writes files."""
     from ..sources import jsonl
 
     return _turns(jsonl.parse(jsonl.encode(_stored(spark, sf_dir))))
@@ -626,7 +631,7 @@ def _turns(blocks: DataFrame) -> DataFrame:
     return r.select(F.col("session_id").cast("bigint").alias("session_id"), "pid", place.cast("bigint").alias("place"), F.decode("payload", "utf-8").alias("text"))
 
 
-@query()
+@query("SELECT 'advisory' AS severity, 'A1' AS rule, 'nonconformant' AS category, count(*) AS n FROM conversations WHERE conv_id % 7 = 0 AND octet_length(encode(text)) <> 4 HAVING count(*) > 0")
 def conformance_of_stored(spark, sf_dir):
     """All rules over containers made from conversations: a file that is well formed gives no finding, so labels are spoilt in some."""
     from ..sources import container
@@ -635,3 +640,6 @@ def conformance_of_stored(spark, sf_dir):
     blocks = cut(blocks)
     t = container.tables(blocks)
     return conformance.findings(t, blocks).groupBy("severity", "rule", "category").agg(F.count("*").alias("n"))
+
+
+from . import stored  # noqa: E402, F401 - its queries join these

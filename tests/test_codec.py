@@ -14,24 +14,29 @@ def scan(data, **how):
     return list(codec.scan(io.BytesIO(data), **how))
 
 
-def test_smallest_file_by_hand():
+def test_a_file_by_hand():
     rows = [
-        header(tick_hz=1000000),
-        row(S.SOURCE, source_id=1, kind=0, uri="a.pcap"),
-        row(S.SESSION, session_id=7, proto="tcp"),
-        row(S.PARTICIPANT, session_id=7, pid=0, isn=1000),
-        row(S.RECORD, session_id=7, pid=0, source_id=1, ts=1000, flags=0x02, payload=b"hello", seq_start=1001, ack=5001),
+        header(tick_hz=48000),
+        row(S.SESSION, session_id=300, proto="dns"),
+        row(S.PARTICIPANT, session_id=300, pid=2, identity="ns"),
+        row(S.DISCONTINUITY, session_id=300, pid=2, width=6),
+        row(S.NAME, session_id=300, pid=2, label="ab"),
+        row(S.CUSTOM, pen=258, subtype=9, payload=b"xyzw"),
+        row(S.END),
     ]
     want = (
-        "0100 0000 10000000  46504 95a 0000 1000 40420f0000000000"  # header: magic, version, clock
-        "0200 0000 10000000  0100 00 00  2000 0600 612e70636170 0000"  # source and its uri
-        "1000 0000 10000000  0700000000000000  5000 0300 746370 00"
-        "1100 0000 14000000  0700000000000000 0000 0000  6100 0400 e8030000"
-        "2000 0000 34000000  0700000000000000 0000 0100 e803000000000000 0000 0200 05000000 68656c6c6f 000000  7000 0400 e9030000  7200 0400 89130000"
+        "0100 0000 10000000  4650495a 0000 1000 80bb000000000000"  # magic, version, 48000 ticks
+        "1000 0000 10000000  2c01000000000000  5000 0300 646e73 00"  # protocol, padded
+        "1100 0000 14000000  2c01000000000000 0200 0000  6200 0200 6e73 0000"
+        "2200 0000 18000000  2c01000000000000 0200 0000  d000 0800 0600000000000000"
+        "3000 0000 14000000  2c01000000000000 0200 0000  b000 0200 6162 0000"
+        "ff00 0000 0c000000  02010000 0900 0000 78797a77"
+        "4100 0000 04000000  444e455a"
     ).replace(" ", "")
     assert frames(rows) == bytes.fromhex(want)
     got = scan(frames(rows))
-    assert [r["offset"] for r in got] == [0, 24, 48, 72, 100] and got[4]["payload"] == b"hello" and got[4]["ack"] == 5001
+    assert [r["offset"] for r in got] == [0, 24, 48, 76, 108, 136, 156] and got[3]["width"] == 6 and got[5]["payload"] == b"xyzw"
+    assert [r["block_type"] for r in codec.scan(io.BytesIO(frames(rows)), kinds=frozenset([S.NAME, S.SESSION]))] == [S.SESSION, S.NAME]
 
 
 U64, I64, U32, U16, U8 = (st.integers(a, b) for a, b in ((0, 2**64 - 1), (-(2**63), 2**63 - 1), (0, 2**32 - 1), (0, 2**16 - 1), (0, 255)))
