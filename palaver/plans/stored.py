@@ -168,6 +168,35 @@ def tailed_counts(spark, sf_dir):
     return tail.session_counts(b).select(F.col("session_id").cast("int").alias("session_id"), "record_count", F.col("bytes").cast("bigint").alias("bytes"))
 
 
+@query("SELECT n_nationkey AS session_id, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS merge_rank, c_custkey * 3 - 5 AS ts FROM nation JOIN customer ON c_nationkey = n_nationkey")
+def tailed_ranks(spark, sf_dir):
+    """Streaming: the causal order of sessions, as their end blocks arrive."""
+    from ..streaming import tail
+
+    source, kept, at = _written(spark, sf_dir, "jsonl"), folder(spark), folder(spark)
+    q = tail.merge_sessions(tail.blocks(spark, source)).writeStream.format("parquet").option("path", kept).option("checkpointLocation", at).trigger(availableNow=True).start()
+    q.awaitTermination()
+    ranks = spark.read.parquet(kept)
+    records = container.tables(container.read(spark, source, kinds=[S.RECORD], payload=False))["records"]
+    return ranks.join(records.select("path", "session_id", "block_seq", "ts"), ["path", "session_id", "block_seq"]).select(F.col("session_id").cast("int").alias("session_id"), "merge_rank", "ts")
+
+
+@query("SELECT n_nationkey AS session_id, 'C3' AS rule, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 4 = 1 GROUP BY ALL UNION ALL SELECT n_nationkey, 'C2', 1 FROM nation WHERE n_nationkey % 4 = 2")
+def tailed_findings(spark, sf_dir):
+    """Streaming: rules C2 and C3 on open sessions; a fourth of the nations has no participant, another declares it twice."""
+    from ..streaming import tail
+
+    b = _blocks(spark, sf_dir)
+    person = (F.col("block_type") == S.PARTICIPANT) & (F.col("session_id") % 4 == 1)
+    twice = b.where((F.col("block_type") == S.PARTICIPANT) & (F.col("session_id") % 4 == 2))
+    b = b.where(F.col("block_type").isin(S.FILE_HEADER, S.SESSION, S.PARTICIPANT, S.RECORD, S.SESSION_END) & ~person).unionByName(twice)
+    source, kept, at = folder(spark), folder(spark), folder(spark)
+    container.write(b, source).write.format("noop").mode("overwrite").save()
+    q = tail.check_sessions(tail.blocks(spark, source)).writeStream.format("parquet").option("path", kept).option("checkpointLocation", at).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(kept).groupBy(F.col("session_id").cast("int").alias("session_id"), "rule").agg(F.count("*").alias("n"))
+
+
 # ---- rules, one for each query; an order's lines are the blocks of a file
 
 _SEEN = "b AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, CASE WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_orderkey % 11 = 0 THEN 65 ELSE 32 END AS t FROM orders)"

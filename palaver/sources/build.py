@@ -74,20 +74,34 @@ def build(t: dict[str, DataFrame], *, check: bool = True, close: bool = True) ->
         parts.append(container.wide(t["headers"].select("path", F.lit(0).cast("bigint").alias("block_seq"), F.lit(S.END).alias("block_type"))))
     blocks = cut(container.union(parts))  # every rule reads it
     if check:
-        found = conformance.findings(container.tables(blocks), blocks).where("severity = 'error'").limit(20).collect()
+        own = container.tables(blocks)
+        found = conformance.findings(own, blocks).where("severity = 'error'").unionByName(_sequenced_order(own)).limit(20).collect()
         if found:
             raise Invalid(found)
     return blocks
 
 
-def derive(t: dict[str, DataFrame], path: str, *, uri: str, digest: str | None, produced_by: str, produced_at: int) -> dict[str, DataFrame]:
-    """Header, source, sessions and participants of a file derived from the one in t: same clock and ids, no isn."""
+def _sequenced_order(t: dict[str, DataFrame]) -> DataFrame:
+    """What a session that is flagged sequenced must not do: acknowledge what was acknowledged before, or go back."""
+    from ..operators import order
+
+    flagged = t["sessions"].where(F.coalesce("flags", F.lit(0)).bitwiseAND(F.lit(1)) == 1).select("path", "session_id")
+    bad = order.verify_sequenced(t["records"].join(flagged, ["path", "session_id"], "left_semi")).where("rule = 'already-acked'")
+    none = F.lit(None)
+    return bad.select("path", "block_seq", F.lit("error").alias("severity"), F.lit("O8").alias("rule"), F.lit("sequenced-order").alias("category"), none.cast("bigint").alias("offset"), F.lit("a record behind the acknowledgement of its bytes").alias("message"))
+
+
+def derive(t: dict[str, DataFrame], path: str, *, uri: str, digest: str | None, produced_by: str, produced_at: int, sequenced: str | None = None) -> dict[str, DataFrame]:
+    """Header, source, sessions and participants of a file derived from the one in t: same clock and ids, no isn.
+
+    With ``sequenced`` (what the order rests on) sessions promise that their stored order is causal; ``transform.linearize`` gives it.
+    """
     spark = t["headers"].sparkSession
     h = t["headers"].select("tick_hz", "time_epoch").first()
     return {
         "headers": header(spark, path, tick_hz=int(h.tick_hz), time_epoch=h.time_epoch, produced_by=produced_by, produced_at=produced_at),
         "sources": spark.createDataFrame([(path, 0, 0, S.FILE_INPUT, uri, digest)], "path string, block_seq bigint, source_id int, kind int, uri string, digest string"),
-        "sessions": t["sessions"].select(F.lit(path).alias("path"), "block_seq", "session_id", "proto", "flow_key", F.lit(0).alias("flags")),
+        "sessions": t["sessions"].select(F.lit(path).alias("path"), "block_seq", "session_id", "proto", "flow_key", F.lit(int(sequenced is not None)).alias("flags"), F.lit(sequenced).cast("string").alias("sequenced_basis")),
         "participants": t["participants"].select(F.lit(path).alias("path"), "block_seq", "session_id", "pid", "endpoints", "identity", "tcp_role"),
     }
 

@@ -182,29 +182,46 @@ def convert(spark: SparkSession, source: str, folder: str, *, face: str) -> tupl
     return write(named, folder, face=face), diagnostics(blocks)
 
 
+def _each_file(spark: SparkSession, path: str, look, column: str) -> DataFrame:
+    """(path, column): what ``look`` says of each open file below path; files are dealt to tasks and listed on the driver."""
+
+    def run(batches):
+        system, _ = datasource.filesystem(path)
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                with system.open_input_file(name) as source:
+                    out.append(look(source))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["path", column])
+
+    found = datasource.files(path)
+    listing = spark.createDataFrame([(f,) for f in found], "path string")
+    return listing.repartition(max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, f"path string, {column} string")
+
+
 def digests(spark: SparkSession, path: str, algorithm: str = "sha256") -> DataFrame:
-    """(path, digest) of whole files."""
-    from ..functions.content import digest
+    """(path, digest) of whole files, read piece by piece."""
+    import hashlib
+
+    hashlib.new(algorithm)  # fails here for unknown ones, not on executors
+
+    def look(source):
+        h = hashlib.new(algorithm)
+        while piece := source.read(8 << 20):
+            h.update(piece)
+        return f"{algorithm}:{h.hexdigest()}"
 
-    return spark.read.format("binaryFile").load(path).select("path", digest("content", algorithm).alias("digest"))
+    return _each_file(spark, path, look, "digest")
 
 
 def faces(spark: SparkSession, path: str) -> DataFrame:
     """(path, face): binary by its magic, else jsonl by its first character, else null; the first bytes of each file are read."""
 
-    def sniff(batches):
-        system, _ = datasource.filesystem(path)
-        for batch in batches:
-            names, out = batch.column(0).to_pylist(), []
-            for name in names:
-                with system.open_input_file(name) as source:
-                    head = source.read(64)
-                out.append("binary" if head[8:12] == S.MAGIC.to_bytes(4, "little") else "jsonl" if head.lstrip()[:1] == b"{" else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["path", "face"])
+    def look(source):
+        head = source.read(64)
+        return "binary" if head[8:12] == S.MAGIC.to_bytes(4, "little") else "jsonl" if head.lstrip()[:1] == b"{" else None
 
-    found = datasource.files(path)
-    listing = spark.createDataFrame([(f,) for f in found], "path string")
-    return listing.repartition(max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(sniff, "path string, face string")
+    return _each_file(spark, path, look, "face")
 
 
 def self_inputs(t: dict[str, DataFrame]) -> DataFrame:
@@ -213,3 +230,36 @@ def self_inputs(t: dict[str, DataFrame]) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     here = F.regexp_replace("uri", r"^(\./)+", "")
     return inputs.where((here == name) | (F.col("uri") == F.col("path"))).select("path", "block_seq", "source_id", "uri")
+
+
+#: Longer chains of inputs are refused; a file that leads back to itself would never end.
+MOST_HOPS = 32
+
+
+def open_inputs(spark: SparkSession, path: str, *, resolve=None) -> tuple[DataFrame, DataFrame]:
+    """(blocks, files): a container with all that its sources name, and theirs, and the catalogue (uri, path) that opened them.
+
+    ``resolve`` (uri, path of the file that names it) gives the path of an input, or
+    None for one that cannot be opened; by default a relative uri is next to the
+    file that names it.  What one file names is bounded by its ids, and comes to
+    the driver file by file up the chain.
+    """
+    resolve = resolve or (lambda uri, near: uri if "/" in uri and (uri.startswith("/") or "://" in uri) else f"{near.rsplit('/', 1)[0]}/{uri}")
+    blocks = load(spark, path)
+    seen, todo, files = {r.path for r in blocks.select("path").distinct().collect()}, blocks, set()
+    for _ in range(MOST_HOPS):
+        named = todo.where((F.col("block_type") == S.SOURCE) & (F.col("kind") == S.FILE_INPUT) & F.col("uri").isNotNull()).select("uri", "path").distinct()
+        new, todo = set(), None
+        for uri, near in ((r.uri, r.path) for r in named.collect()):
+            target = resolve(uri, near)
+            if target is not None:
+                files.add((uri, target))
+                new.add(target)
+        for target in sorted(new - seen):
+            one = load(spark, target)
+            todo = one if todo is None else todo.unionByName(one)
+        seen |= new
+        if todo is None:
+            return blocks, spark.createDataFrame(sorted(files), "uri string, path string")
+        blocks = blocks.unionByName(todo)
+    raise ValueError("the chain of files is too long")

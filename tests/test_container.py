@@ -9,7 +9,7 @@ from model import decoded_file, frames, header, raw_file, row, span
 from pyspark.sql import functions as F
 
 from palaver import cli, schema as S
-from palaver.operators import conformance, coverage, offsets, order, transform
+from palaver.operators import conformance, coverage, offsets, order, provenance, transform
 from palaver.sources import build, codec, container, datasource, jsonl
 from palaver.streaming import tail
 
@@ -385,3 +385,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["info", str(tmp_path / "nothing")]) == 2
 
 
+
+
+def test_inputs_are_opened_by_their_uris(spark, tmp_path):
+    """A note on a decoded file on a capture: the chain is opened from its last file, and spans are followed through it."""
+    put(tmp_path, "raw", raw_file(((1001, 40),)))
+    dec = decoded_file(((0, 40),), (), 40)
+    put(tmp_path, "dec", dec)
+    note = [header(produced_by="t", produced_at=1), row(S.SOURCE, source_id=0, kind=1, uri="dec"), row(S.DECODER, decoder_id=1, output_layer=0, name="d"), row(S.SESSION, session_id=7)]
+    note += [row(S.PARTICIPANT, session_id=7, pid=0, origin={"source_id": 0, "session_id": 7, "pid": 0}), row(S.RECORD, session_id=7, pid=0, source_id=0, ts=0, payload=b"n" * 40, decoder_id=1), row(S.SESSION_END, session_id=7), row(S.END)]
+    blocks, files = container.open_inputs(spark, put(tmp_path, "note", note))
+    assert {os.path.basename(r.path) for r in blocks.select("path").distinct().collect()} == {"note", "dec", "raw"}
+    assert {r.uri for r in files.collect()} == {"dec", "raw"}
+    t = container.tables(blocks)
+    facts = offsets.stream_facts(t["participants"], t["records"], t["decoders"], t["sources"])
+    ranges = offsets.record_ranges(t["records"], t["discontinuities"], facts)
+    wanted = ranges.where(F.col("path").endswith("note")).select(F.lit(1).alias("id"), "path", "session_id", "pid", "off_start", "off_end")
+    (found,) = provenance.resolve_spans(wanted, ranges, t["participants"], t["sources"], files).collect()
+    assert os.path.basename(found.file) == "dec" and (found.off_start, found.off_end) == (0, 40)
+
+
+def test_a_promise_of_order_is_kept(spark, tmp_path):
+    """A sequenced session whose stored order lets an acknowledgement run ahead is not written; linearized it is."""
+    rows = [header(), row(S.SOURCE, source_id=0, kind=0, uri="cap"), row(S.SESSION, session_id=7), *[row(S.PARTICIPANT, session_id=7, pid=p, isn=99) for p in (0, 1)]]
+    rows += [row(S.RECORD, session_id=7, pid=p, source_id=0, ts=t, payload=b"x" * 10, seq_start=s, ack=a) for p, t, s, a in ((1, 1, 100, 110), (0, 2, 100, None), (0, 3, 110, 110))]
+    t = container.tables(container.load(spark, put(tmp_path, "two", [*rows, row(S.SESSION_END, session_id=7), row(S.END)])))
+    t["sessions"] = t["sessions"].withColumn("flags", F.lit(1))
+    t["custom_blocks"] = t["custom_blocks"].limit(0)
+    use = {k: v for k, v in t.items() if k not in ("ends", "unknown_blocks", "names", "undecoded", "discontinuities")}
+    with pytest.raises(build.Invalid, match="O8"):
+        build.build(use)
+    use["records"] = transform.linearize(t["records"], t["participants"])
+    made = container.tables(build.build(use))["records"].orderBy("block_seq").collect()
+    assert [(r.sender_pid, r.ts) for r in made] == [(0, 2), (1, 1), (0, 3)]
