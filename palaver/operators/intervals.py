@@ -70,19 +70,29 @@ def subtract(a: DataFrame, b: DataFrame, keys: list[str], start: str = "off_star
     return overlay(a, b, keys, start, end).where("in_a and not in_b").select(*keys, start, end)
 
 
-def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str, str], b_range: tuple[str, str], *, also: Column | None = None) -> DataFrame:
+def bin_width(*sides: tuple[DataFrame, str, str]) -> int:
+    """A power of two about as wide as the ranges of the side with longer ones are on the mean."""
+    means = [df.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 1 for df, start, end in sides]
+    return 1 << max(0, math.ceil(math.log2(max(1.0, *map(float, means)))))
+
+
+def in_bins(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """df with a row for each bin that its range meets, as ``__bin``; an empty range lies in the bin of its place."""
+    return df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end) - 1) / width))))
+
+
+def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str, str], b_range: tuple[str, str], *, also: Column | None = None, width: int | None = None) -> DataFrame:
     """Pairs of rows of a and b with equal keys whose ranges overlap (or that ``also`` holds for); other names must differ.
 
-    Ranges are put in bins of a power of two about as wide as the longer side's
-    ranges are on the mean, and meet by key and bin, so a long key does not bring
+    Ranges are put in bins and meet by key and bin, so a long key does not bring
     all pairs of its rows together.  A pair is given in the bin where the later
-    of both begins.  An empty range lies in the bin of its place.
+    of both begins.  With ``width`` b is in bins of that width already.
     """
     (a0, a1), (b0, b1) = a_range, b_range
-    length = lambda df, x, y: df.agg(F.avg(F.col(y) - F.col(x))).first()[0] or 1
-    width = 1 << max(0, math.ceil(math.log2(max(1.0, float(max(length(a, a0, a1), length(b, b0, b1)))))))
-    bins = lambda x, y: F.explode(F.sequence(F.floor(F.col(x) / width), F.floor(F.greatest(F.col(x), F.col(y) - 1) / width))).alias("__bin")
-    both = a.select("*", bins(a0, a1)).join(b.select("*", bins(b0, b1)), [*keys, "__bin"])
+    if width is None:
+        width = bin_width((a, a0, a1), (b, b0, b1))
+        b = in_bins(b, b0, b1, width)
+    both = in_bins(a, a0, a1, width).join(b, [*keys, "__bin"])
     meet = (F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1))
     meet = meet | also if also is not None else meet
     return both.where(meet & (F.col("__bin") == F.floor(F.greatest(F.col(a0), F.col(b0)) / width))).drop("__bin")

@@ -27,7 +27,10 @@ def resolve_spans(wanted: DataFrame, ranges: DataFrame, participants: DataFrame,
     Overlapping records of a parent give all their spans.
     """
     step = wanted.select("id", *STREAM, F.col("off_start").alias("lo"), F.col("off_end").alias("hi"))
-    records = cut(ranges.select(*STREAM, "block_seq", "off_start", "off_end", "spans"))  # each hop reads them
+    records = ranges.select(*STREAM, "block_seq", "off_start", "off_end", "spans")
+    # each hop reads them: they are dealt to their bins once
+    width = intervals.bin_width((records, "off_start", "off_end"), (step, "lo", "hi"))
+    records = cut(intervals.in_bins(records, "off_start", "off_end", width).repartition(*STREAM, "__bin"))
     up = (
         participants.where("origin is not null")
         .select(*STREAM, F.col("origin.source_id").alias("source_id"), F.col("origin.session_id").cast("bigint").alias("up_session"), F.col("origin.pid").alias("up_pid"))
@@ -39,7 +42,7 @@ def resolve_spans(wanted: DataFrame, ranges: DataFrame, participants: DataFrame,
     out = None
     for _ in range(MOST_HOPS):
         # a handful of files deep; each hop is cut so that plans stay small
-        hit = cut(intervals.overlapping(step, records, STREAM, ("lo", "hi"), ("off_start", "off_end"), also=place))
+        hit = cut(intervals.overlapping(step, records, STREAM, ("lo", "hi"), ("off_start", "off_end"), also=place, width=width))
         found = hit.where("size(spans) > 0").select("id", F.col("path").alias("file"), "block_seq", F.inline("spans"))
         out = found if out is None else out.unionByName(found)
         deeper = hit.where("coalesce(size(spans), 0) <= 0").join(up, STREAM)
