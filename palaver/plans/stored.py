@@ -181,14 +181,18 @@ def tailed_ranks(spark, sf_dir):
     return ranks.join(records.select("path", "session_id", "block_seq", "ts"), ["path", "session_id", "block_seq"]).select(F.col("session_id").cast("int").alias("session_id"), "merge_rank", "ts")
 
 
-@query("SELECT n_nationkey AS session_id, 'C3' AS rule, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 4 = 1 GROUP BY ALL UNION ALL SELECT n_nationkey, 'C2', 1 FROM nation WHERE n_nationkey % 4 = 2")
+@query("SELECT n_nationkey AS session_id, 'C3' AS rule, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 4 = 1 GROUP BY ALL UNION ALL SELECT n_nationkey, 'C2', 1 FROM nation WHERE n_nationkey % 4 = 2 UNION ALL SELECT n_nationkey, 'C11', 1 FROM nation WHERE n_nationkey % 10 = 7 UNION ALL SELECT n_nationkey, 'C7', count(*) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 8 = 3 GROUP BY ALL")
 def tailed_findings(spark, sf_dir):
-    """Streaming: rules C2 and C3 on open sessions; a fourth of the nations has no participant, another declares it twice."""
+    """Streaming: rules C2, C3, C7 and C11 on open sessions: nations without a participant, with two, with an origin beside spans, and in an order that rests on nothing."""
     from ..streaming import tail
 
     b = _blocks(spark, sf_dir)
     person = (F.col("block_type") == S.PARTICIPANT) & (F.col("session_id") % 4 == 1)
     twice = b.where((F.col("block_type") == S.PARTICIPANT) & (F.col("session_id") % 4 == 2))
+    spoilt = {"sequenced_basis": F.when(F.col("session_id") % 10 != 7, F.col("sequenced_basis"))}
+    origin = F.struct(F.lit(1).alias("source_id"), F.col("session_id"), F.lit(0).alias("pid"))
+    spoilt["origin"] = F.when((F.col("block_type") == S.PARTICIPANT) & (F.col("session_id") % 8 == 3), origin).otherwise(F.col("origin")).cast(S.ORIGIN)
+    b, twice = b.withColumns(spoilt), twice.withColumns(spoilt)
     b = b.where(F.col("block_type").isin(S.FILE_HEADER, S.SESSION, S.PARTICIPANT, S.RECORD, S.SESSION_END) & ~person).unionByName(twice)
     source, kept, at = folder(spark), folder(spark), folder(spark)
     container.write(b, source).write.format("noop").mode("overwrite").save()

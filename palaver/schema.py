@@ -4,7 +4,8 @@ A container is a sequence of blocks; each kind of block is a table here.  Every
 key is prefixed with ``path``, as ids are unique in one file only, and every
 block-derived table keeps ``block_seq``, the place of the block in its file.
 Unsigned 64-bit numbers are DECIMAL(20,0) in the codec and BIGINT in the
-operators; a value that does not fit fails the cast.
+operators: ids with the same 64 bits, other values as they are, and one that does
+not fit fails the cast.
 """
 
 from __future__ import annotations

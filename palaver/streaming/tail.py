@@ -21,7 +21,7 @@ from ..sources import datasource
 HALF = S.SEQ_SPACE // 2
 ENDED, OPEN = 3600 * 1000, 24 * 3600 * 1000
 _OUT = "path string, session_id bigint, block_seq bigint, rule string, message string"
-_STATE = "declared boolean, ended boolean, pids string, seqs string"
+_STATE = "declared boolean, ended boolean, pids string, seqs string, origins string, promised boolean, hinted boolean"
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -35,13 +35,14 @@ def _before(a: int, b: int) -> bool:
 
 
 def _check(key, frames, state: GroupState):
-    """Rules on sessions, participants and sequence numbers of one session, in stored order."""
+    """Rules on sessions, participants, provenance, sequence numbers and promised order of one session, in stored order."""
     path, session = key
     if state.hasTimedOut:
         state.remove()
         return
-    declared, ended, pids, seqs = state.get if state.exists else (False, False, "", "")
+    declared, ended, pids, seqs, origins, promised, hinted = state.get if state.exists else (False, False, "", "", "", False, False)
     people = set(map(int, pids.split(","))) if pids else set()
+    given = set(map(int, origins.split(","))) if origins else set()
     last = dict(tuple(map(int, x.split(":"))) for x in seqs.split(",")) if seqs else {}
     rows = pd.concat(list(frames)).sort_values("block_seq")
     out = []
@@ -51,6 +52,8 @@ def _check(key, frames, state: GroupState):
         if kind == S.SESSION:
             if declared:
                 say("C2", "session id declared twice")
+            elif not ended:
+                promised = bool(r.promised)
             declared = True
             continue
         if not declared or ended:
@@ -60,28 +63,43 @@ def _check(key, frames, state: GroupState):
             if int(r.pid) in people:
                 say("C2", "participant id declared twice")
             people.add(int(r.pid))
+            if r.has_origin:
+                given.add(int(r.pid))
         elif kind == S.SESSION_END:
-            ended, people, last = True, set(), {}
+            if promised and not hinted:
+                say("C11", "sequenced without hints or a basis")
+            ended, people, last, given = True, set(), {}, set()
         else:
             if int(r.pid) not in people:
                 say("C3", "undeclared participant")
                 continue
+            if kind == S.RECORD and r.has_spans and int(r.pid) in given:
+                say("C7", "both origin and spans")
+            hinted |= kind == S.RECORD and bool(r.has_hints)
             if kind == S.RECORD and pd.notna(r.seq_start):
                 seq = int(r.seq_start)
                 if int(r.pid) in last and _before(seq, last[int(r.pid)]) and not _before(last[int(r.pid)], seq):
                     say("C4", "seq_start before that of the record before")
                     continue
                 last[int(r.pid)] = seq
-    state.update((declared, ended, ",".join(map(str, sorted(people))), ",".join(f"{p}:{s}" for p, s in sorted(last.items()))))
+    state.update((declared, ended, ",".join(map(str, sorted(people))), ",".join(f"{p}:{s}" for p, s in sorted(last.items())), ",".join(map(str, sorted(given))), promised, hinted))
     state.setTimeoutDuration(ENDED if ended else OPEN)
     if out:
         yield pd.DataFrame(out, columns=["path", "session_id", "block_seq", "rule", "message"])
 
 
 def check_sessions(stream: DataFrame) -> DataFrame:
-    """Findings of rules C2, C3 and C4 on sessions as blocks arrive; an ended session keeps its id for a while and nothing else."""
+    """Findings of rules C2, C3, C4, C7 (origin and spans) and C11 on sessions as blocks arrive.
+
+    What a session alone can tell is told at the block that breaks the rule, C11
+    at the session's end.  An ended session keeps its id for a while and nothing
+    else.
+    """
     kinds = [S.SESSION, S.PARTICIPANT, S.SESSION_END, S.RECORD, S.DISCONTINUITY, S.NAME]
-    lean = stream.where(F.col("block_type").isin(kinds) & F.col("parse_error").isNull()).select("path", F.col("session_id").cast("bigint").alias("session_id"), "block_seq", "block_type", "pid", F.col("seq_start").cast("double").alias("seq_start"))
+    lean = stream.where(F.col("block_type").isin(kinds) & F.col("parse_error").isNull()).select("path", F.col("session_id").cast("bigint").alias("session_id"), "block_seq", "block_type", "pid", F.col("seq_start").cast("double").alias("seq_start"),
+        F.col("origin").isNotNull().alias("has_origin"), (F.coalesce(F.size("spans"), F.lit(0)) > 0).alias("has_spans"), (F.col("seq_start").isNotNull() | F.col("ack").isNotNull()).alias("has_hints"),
+        ((F.coalesce("flags", F.lit(0)).bitwiseAND(F.lit(1)) == 1) & F.col("sequenced_basis").isNull()).alias("promised"),
+    )
     return lean.groupBy("path", "session_id").applyInPandasWithState(_check, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
