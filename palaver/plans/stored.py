@@ -116,6 +116,12 @@ def split_scan(spark, sf_dir):
     return _shown(container.read(spark, _written(spark, sf_dir, "binary"), split=4096))
 
 
+@query(_sql())
+def split_lines_scan(spark, sf_dir):
+    """Files of JSON lines read in parts of some thousand bytes."""
+    return _shown(container.read(spark, _written(spark, sf_dir, "jsonl"), split=4096))
+
+
 @query("SELECT concat('file-', r_regionkey) AS file, face FROM region, (SELECT unnest(['binary', 'jsonl']) AS face) f")
 def face_sniffing(spark, sf_dir):
     """S15."""

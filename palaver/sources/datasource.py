@@ -1,9 +1,8 @@
 """Scans of containers: batch, and tailing of files that grow.
 
 A batch scan lists files on the driver and no more.  Tasks walk the block headers
-of binary files above ``split`` bytes and cut them into parts of whole blocks,
-each of which is read by a task of its own; a JSON-lines file is one part.  The
-data source of the same name reads a file in a task.  A stream's offset is, for
+or the lines of files above ``split`` bytes and cut them into parts of whole
+blocks, each of which is read by a task of its own.  The data source of the same name reads a file in a task.  A stream's offset is, for
 each file, the byte behind its last whole block or line, and how many there are
 before it, so a cut tail waits for the next micro-batch.
 """
@@ -90,29 +89,62 @@ def _batches(rows, path: str, payload: bool = True):
 
 
 def parts_of(source, size: int, split: int):
-    """(first byte, number of the first block, end or None) of parts of whole blocks, found by their lengths alone."""
-    if size <= split or source.read(12)[8:12] != S.MAGIC.to_bytes(4, "little"):
-        return [(0, 0, None)]
+    """(first byte, lines and blocks before it, end or None) of parts of whole blocks, found by their lengths or ends alone."""
+    if size <= split:
+        return [(0, 0, 0, None)]
+    head = source.read(12)
+    if head.lstrip()[:1] == b"{":
+        source.seek(0)
+        return _line_parts(source, size, split)
+    if head[8:12] != S.MAGIC.to_bytes(4, "little"):
+        return [(0, 0, 0, None)]
     out, begin, first, at, seq = [], 0, 0, 0, 0
     while at + 8 <= size:
         source.seek(at)
         kind, _, n = codec.FRAME.unpack(source.read(8))
         if at - begin >= split:
-            out.append((begin, first, at))
+            out.append((begin, 0, first, at))
             begin, first = at, seq
         if kind == S.END or n % 4 or at + 8 + n > size:
             break  # what stands here and behind is judged by the last part
         at, seq = at + 8 + n, seq + 1
-    return [*out, (begin, first, None)]
+    return [*out, (begin, 0, first, None)]
+
+
+def _line_parts(source, size: int, split: int):
+    out, begin, before, at, lines, seq = [], 0, (0, 0), 0, 0, 0
+    for line in _lines(source, size):
+        if at - begin >= split:
+            out.append((begin, *before, at))
+            begin, before = at, (lines, seq)
+        if b'"end"' in line and _ends(line):
+            break  # what stands behind is judged by the last part
+        at, lines, seq = at + len(line), lines + 1, seq + bool(line.strip())
+    return [*out, (begin, *before, None)]
+
+
+def _ends(line: bytes) -> bool:
+    try:
+        return jsonl.loads(line.decode())[0]["block_type"] == S.END
+    except ValueError:
+        return False
 
 
-def read_part(system, path: str, at: int, seq: int, end: int | None, strict: bool, kinds=None):
+def read_part(system, path: str, at: int, lines: int, seq: int, end: int | None, strict: bool, kinds=None):
     with system.open_input_file(path) as source:
-        if not at:
-            rows = rows_of(source, strict=strict, kinds=kinds)
-        else:
-            source.seek(at)
-            rows = codec.scan(source, strict=strict, at=at, seq=seq, kinds=kinds)
+        if not at and end is None:
+            yield from rows_of(source, strict=strict, kinds=kinds)
+            return
+        binary = face_of(source.read(12)) == "binary"
+        source.seek(at)
+        if not binary:
+            size = (end if end is not None else source.size()) - at
+            text = (line.decode() for line in _lines(source, size, rest=end is None))
+            for row in jsonl.scan(text, strict=strict, number=lines, seq=seq, last=end is None):
+                if kinds is None or row["block_type"] is None or row["block_type"] in kinds:
+                    yield row
+            return
+        rows = codec.scan(source, strict=strict, at=at, seq=seq, kinds=kinds)
         # a diagnostic without a place belongs to the part that met it
         yield from rows if end is None else itertools.takewhile(lambda r: r["offset"] is None or r["offset"] < end, rows)
 
@@ -136,19 +168,19 @@ def scan(spark: SparkSession, uri: str, *, strict: bool = False, split: int = SP
                 with system.open_input_file(path) as source:
                     out += [(path, *part) for part in parts_of(source, size, split)]
             if out:
-                names = ["path", "begin", "first", "stop"]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+                names = ["path", "begin", "lines", "first", "stop"]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if i else pa.string()) for i, v in enumerate(zip(*out, strict=True))], names=names)
 
     def read(batches):
         system, _ = filesystem(uri)
         for batch in batches:
-            for path, at, seq, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from _batches(_safe(read_part(system, path, at, seq, end, strict, kinds), strict), path, payload)
+            for path, *part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _batches(_safe(read_part(system, path, *part, strict, kinds), strict), path, payload)
 
     here = 4 * spark.sparkContext.defaultParallelism
     listing = spark.createDataFrame(found, "path string, size long").repartition(min(len(found), max(here, len(found) // 1000)))
     tasks = max(min(len(found), here), sum(size for _, size in found) // split + 1)
-    return listing.mapInArrow(walk, "path string, begin long, first long, stop long").repartition(tasks, "path", "begin").mapInArrow(read, S.BLOCK_SCHEMA)
+    return listing.mapInArrow(walk, "path string, begin long, lines long, first long, stop long").repartition(tasks, "path", "begin").mapInArrow(read, S.BLOCK_SCHEMA)
 
 
 class BlockSource(DataSource):
@@ -177,7 +209,7 @@ class _Batch(DataSourceReader):
 
     def read(self, partition):
         system, _ = filesystem(self.uri)
-        yield from _batches(_safe(read_part(system, partition.value, 0, 0, None, self.strict), self.strict), partition.value)
+        yield from _batches(_safe(read_part(system, partition.value, 0, 0, 0, None, self.strict), self.strict), partition.value)
 
 
 class _Tail(DataSourceStreamReader):
@@ -251,17 +283,23 @@ class _Tail(DataSourceStreamReader):
         pass
 
 
-def _lines(source, size: int):
-    """The whole lines, with their ends, of the next ``size`` bytes."""
-    rest = b""
+def _lines(source, size: int, *, rest: bool = False):
+    """The whole lines, with their ends, of the next ``size`` bytes; with ``rest`` also what stands behind the last end."""
+    held = []
     while size > 0:
         piece = source.read(min(size, 1 << 20))
         if not piece:
-            return
+            break
         size -= len(piece)
-        *whole, rest = (rest + piece).split(b"\n")
-        for line in whole:
-            yield line + b"\n"
+        first, *more = piece.split(b"\n")
+        held.append(first)
+        if more:
+            yield b"".join(held) + b"\n"
+            for line in more[:-1]:
+                yield line + b"\n"
+            held = [more[-1]]
+    if rest and any(held):
+        yield b"".join(held)
 
 
 def register(spark: SparkSession) -> None:

@@ -98,6 +98,25 @@ def test_a_large_file_is_read_by_several_tasks(spark, tmp_path):
         assert sorted(one.collect(), key=key) == sorted(many.collect(), key=key) == sorted(plain.collect(), key=key)
 
 
+def test_long_lines_are_read_by_several_tasks(spark, tmp_path):
+    """Blank lines, an invalid line, a cut end, lines behind the end, and a line in the middle that is no JSON: as in one piece."""
+    put(tmp_path, "raw", raw_file([(1001 + 10 * i, 10) for i in range(20)]))
+    container.convert(spark, str(tmp_path / "raw"), str(tmp_path / "l"), face="jsonl")[0].collect()
+    (whole,) = [p for p in (tmp_path / "l").iterdir() if p.name[0] not in "._"]
+    lines = whole.read_bytes().splitlines(keepends=True)
+    odd = [*lines[:6], b"\n", b" \n", b'{"type": "record", "session_id": "x"}\n', *lines[6:]]
+    for name, body in (("whole", lines), ("odd", odd), ("cut", [*odd[:-3], odd[-3][:9]]), ("more", [*odd, b"{}\n", *lines[5:9]]), ("broken", [*lines[:9], b"{no json\n", *lines[9:]]), ("open", [*lines[:-1], lines[-1].rstrip()])):
+        (tmp_path / name).write_bytes(b"".join(body))
+        one = container.read(spark, str(tmp_path / name)).collect()
+        for split in (100, 700):
+            key = lambda r: (r.offset or 1 << 40, r.block_seq is None)
+            got = container.read(spark, str(tmp_path / name), split=split)
+            if name != "broken":
+                assert sorted(got.collect(), key=key) == sorted(one, key=key), (name, split)
+            else:
+                assert [d.category for d in container.diagnostics(got).collect()] == ["broken-file"]
+
+
 def test_numbers_beyond_bigint(spark, tmp_path):
     rows = [header(), row(S.SESSION, session_id=2**64 - 1)]
     blocks = container.read(spark, put(tmp_path, "x", rows))
