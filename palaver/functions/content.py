@@ -64,16 +64,27 @@ def prim_fault(payload, token) -> Column:
     )
 
 
-def wallclock(ticks, tick_hz, epoch=None) -> Column:
-    """Timestamp of a tick count, microseconds rounded down; exact for all 64-bit ticks and rates."""
+def wallclock(ticks, tick_hz, epoch=None, *, strict: bool = False) -> Column:
+    """Timestamp of a tick count, microseconds rounded down; exact for all 64-bit ticks and rates.
+
+    A moment that 64 bits of microseconds do not hold (some 292,000 years from
+    1970) has no timestamp and is null; with ``strict`` the job fails there.
+    """
     start = F.coalesce(_c(epoch), F.lit(0)) if epoch is not None else F.lit(0)
     wide = lambda x: x.cast("decimal(38,0)")
     total, hz = wide(start) + wide(_c(ticks)), wide(_c(tick_hz))
+    # seconds that no timestamp reaches, on either side of 1970: beyond them div would not fit either
+    most = hz * F.lit((1 << 63) // 1_000_000 + 1)
+    near = F.when((hz <= 0) | (total >= -most) & (total < most), total)
     # whole numbers only: a quotient of decimals is rounded before it could be rounded down
-    rest = F.pmod(total, hz)
-    seconds = F.call_function("div", total - rest, hz)
+    rest = F.pmod(near, hz)
+    seconds = F.call_function("div", near - rest, hz)
     micros = F.call_function("div", wide(rest) * F.lit(1_000_000), hz)
-    return F.timestamp_micros(seconds * 1_000_000 + micros)
+    whole = (wide(seconds) * F.lit(1_000_000) + wide(micros)).try_cast("bigint")
+    if strict:
+        known = total.isNotNull() & hz.isNotNull()
+        whole = F.when(whole.isNull() & known, F.raise_error(F.lit("a moment that no timestamp holds")).cast("bigint")).otherwise(whole)
+    return F.timestamp_micros(whole)
 
 
 def unix_seconds(when: int | datetime) -> int:

@@ -252,3 +252,19 @@ def test_content(spark):
     kinds = spark.createDataFrame([("skipped", None), ("gap", None), ("own", "hole"), ("own", None), (None, None)], "r string, c string").select(content.recoverability("r", "c")).collect()
     assert [r[0] for r in kinds] == ["bytes", "hole", "hole", None, None]
     assert S.REASONS["truncated"] == "hole"
+
+
+def test_moments_beyond_timestamps(spark):
+    """One that no timestamp holds is null and does not fail the others; the last ones that fit are there."""
+    top = 2**63
+    times = [(-1, 3, None), (top - 1, 10**6, 0), (top - 1, 10**6, 1), (-top, 10**6, 0), (-top, 10**6, -1), (top - 1, 1, top - 1), (-top, 1, -top), (top - 1, 3, 7), (top - 1, top - 1, top - 1), (None, 3, 0), (5, 10**6 + 1, -top)]
+    df = spark.createDataFrame(times, "t bigint, hz bigint, e bigint")
+    exact = [None if t is None else (t + (e or 0)) * 10**6 // hz for t, hz, e in times]
+    want = [x if x is not None and -top <= x < top else None for x in exact]
+    assert want.count(None) == 6
+    assert [r[0] for r in df.select(F.unix_micros(content.wallclock("t", "hz", "e"))).collect()] == want
+    with pytest.raises(Exception, match="no timestamp holds"):
+        df.select(F.unix_micros(content.wallclock("t", "hz", "e", strict=True))).collect()
+    held = [x for x in zip(times, want, strict=True) if x[0][0] is None or x[1] is not None]
+    kept = spark.createDataFrame([t for t, _ in held], "t bigint, hz bigint, e bigint").select(F.unix_micros(content.wallclock("t", "hz", "e", strict=True))).collect()
+    assert [r[0] for r in kept] == [x for _, x in held]
