@@ -103,6 +103,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _LINES[sf_dir]
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, seq, a and b of each line, dealt by k.  Lines that agree in all that is sorted by here have equal ranges, so it does not matter which of them stands first."""
+    a, by = (F.col("l_partkey") % 50).cast("bigint"), LINE_ORDER[:4]
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), *by)
+    seq = F.row_number().over(Window.partitionBy("k").orderBy(*by)).cast("bigint")
+    return line.select("k", seq.alias("seq"), a.alias("a"), (a + F.col("l_quantity").cast("bigint")).alias("b"))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     a = (F.col("l_partkey") % 50).cast("bigint")

@@ -254,6 +254,41 @@ def test_content(spark):
     assert S.REASONS["truncated"] == "hole"
 
 
+def test_resolve_leaves_rows_where_they_are(spark, monkeypatch):
+    """Inputs that are dealt by session meet without another shuffle, and chains give the same in one plan and hop by hop."""
+    spans = "array<struct<source_id:int,in_session_id:bigint,in_pid:int,off_start:bigint,off_end:bigint>>"
+    session = spark.range(20, numPartitions=1).select(F.col("id").alias("s")).repartition("s")
+    rows = lambda path, n, width, said: session.select(
+        F.lit(path).alias("path"), F.col("s").alias("session_id"), F.lit(0).alias("pid"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block_seq")
+    ).select("*", (F.col("block_seq") * width).alias("off_start"), (F.col("block_seq") * width + width).alias("off_end")).withColumn("spans", said.cast(spans))
+    own = F.array(F.struct(F.lit(0), F.col("session_id") + 100, F.lit(0), "off_start", "off_end"))
+    ranges = rows("a", 2, 10, F.array()).unionByName(rows("b", 5, 4, F.array())).unionByName(rows("c", 3, 8, own))
+    origin = F.struct(F.lit(0).alias("source_id"), F.col("s").alias("session_id"), F.lit(0).alias("pid"))
+    ppl = session.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("path"), F.col("s").alias("session_id"), F.lit(0).alias("pid"), origin.alias("origin"))
+    src = spark.createDataFrame([("a", -9, 0, 1, "of b", None), ("b", -9, 0, 1, "of c", None)], SRC)
+    files = spark.createDataFrame([("of b", "b"), ("of c", "c")], "uri string, path string")
+    wanted = rows("a", 2, 10, F.array()).select("session_id", "block_seq", "off_start", "off_end", F.lit("a").alias("path"), F.lit(0).alias("pid"), F.col("session_id").alias("own"), F.col("block_seq").alias("turn"))
+    resolve = lambda: provenance.resolve_spans(wanted, ranges, ppl, src, files, ids=("own", "turn"), width=8)
+    meet = lambda x, y: x[0] < y[1] and y[0] < x[1]
+    cut_at = lambda n, width: [(i * width, i * width + width) for i in range(n)]
+    want = sorted((s, t, "c", s + 100, *c) for s in range(20) for t, a in enumerate(cut_at(2, 10)) for b in cut_at(5, 4) if meet(a, b) for c in cut_at(3, 8) if meet(b, c))
+    got = lambda df: sorted(tuple(r) for r in df.select("own", "turn", "file", "in_session_id", "off_start", "off_end").collect())
+    conf = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        counted = resolve().groupBy("own", "turn").count()
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert got(resolve()) == want
+    monkeypatch.setattr(provenance, "PLANNED_HOPS", 1)
+    assert got(resolve()) == want
+
+
 def test_moments_beyond_timestamps(spark):
     """One that no timestamp holds is null and does not fail the others; the last ones that fit are there."""
     top = 2**63
