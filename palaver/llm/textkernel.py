@@ -83,20 +83,25 @@ def split_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def hash_words(w: Words, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, eight bytes a step."""
+    """A 64-bit hash of each word's bytes, eight bytes a step.
+
+    A step is one to one in its eight bytes and in what was before, so words of
+    one length that differ in one step only never meet.
+    """
     if not len(w.start):
         return np.zeros(0, np.uint64)
     eight = np.ndarray((len(w.raw) - 7,), dtype="<u8", buffer=w.raw, strides=(1,))
     length = w.end - w.start
-    h = (length.astype(np.uint64) + _U(seed)) * _BASE
+    h = np.full(len(length), seed, np.uint64) * _BASE
     active = np.flatnonzero(length <= LONG_WORD)
     at = w.start[active]
     left = length[active]
     while len(active):
         block = eight[at] & _MASKS[np.minimum(left, 8)]
-        h[active] = mix((h[active] ^ block) * _BASE + block)
+        h[active] = mix((h[active] ^ block) * _BASE)
         more = left > 8
         active, at, left = active[more], at[more] + 8, left[more] - 8
+    h += length.astype(np.uint64) * _C1
     for i in np.flatnonzero(length > LONG_WORD):
         h[i] = xxhash.xxh3_64_intdigest(w.raw[w.start[i] : w.end[i]].tobytes(), seed)
     return h

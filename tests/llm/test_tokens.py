@@ -111,3 +111,30 @@ def test_tokenizers_that_join_words():
         t = texts()
         ids, first = coder.encode(*tk.string_buffers(pa.array(t, pa.string())))
         assert [ids[first[k] : first[k + 1]].tolist() for k in range(len(t))] == [whole.encode(x or "", add_special_tokens=False).ids for x in t]
+
+
+def alike():
+    """Words that differ in their 8th or 16th byte, or in length, only."""
+    last = "".join(map(chr, range(33, 127)))
+    return [a + c for a in ("abcdefg", "version", "abcdefghabcdefg") for c in last] + ["a" * n for n in range(1, 40)] + ["\x00" * n for n in range(1, 20)]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_words_that_are_alike_have_their_own_hashes(seed):
+    raw, offsets = tk.string_buffers(pa.array([" ".join(alike())]))
+    with np.errstate(over="ignore"):
+        h = tk.hash_words(tk.split_words(raw, offsets), seed)
+    assert len(h) == len(alike()) == len(np.unique(h))
+
+
+def test_shards_of_words_that_are_alike(spark, plain):
+    words = alike()
+    texts = [*words, " ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = sorted(map(tuple, sstable.scan_shards(spark, sstable.write_shards(df)).collect()))
+    want, at = [], 0
+    for d, x in enumerate(texts):
+        ids = np.array([*plain(x), 2], "<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
