@@ -114,3 +114,12 @@ def test_in_spark(spark):
     used, lengths = check(rows, packed.collect(), 64)
     assert table.bound <= used == table.sequences <= best_fit_decreasing(lengths, 64)
     assert op.pack(df.limit(0))[0].collect() == []
+
+
+def test_words_that_are_alike(spark):
+    """Words that differ in their 8th or 16th byte only keep their own ids."""
+    words = [a + c for a in ("abcdefg", "version", "abcdefghabcdefg") for c in map(chr, range(33, 127))]
+    rows = list(enumerate([*words, " ".join(words)]))
+    packed, table = op.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), capacity=64)
+    used, _ = check(rows, packed.collect(), 64)
+    assert table.bound <= used == table.sequences
